@@ -71,12 +71,31 @@ def answer_columns(answer_table: Column) -> Column:
     return F.array_join(F.map_keys(answer_table), ", ")
 
 
-def clean_prediction(prediction: Column) -> Column:
-    """Drop a CSV code fence and bring line ends, blank lines and padding to one form."""
+def _prediction_lines(prediction: Column) -> tuple[Column, Column]:
     fenced = prediction.startswith(CODE_FENCE)
     body = F.when(fenced, F.substring(prediction, F.lit(7), F.length(prediction) - F.lit(9))).otherwise(prediction)
-    lines = F.filter(F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n"), lambda x: F.trim(x) != "")
-    return F.concat(F.array_join(F.transform(lines, F.rtrim), "\n"), F.lit("\n"))
+    lines = F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n")
+    return body, F.filter(lines, lambda x: F.trim(x) != "")
+
+
+def _field_count(line: Column) -> Column:
+    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
+
+
+def prediction_parses(prediction: Column) -> Column:
+    """Whether a prediction reads as CSV: it has a header, and no line has more fields than it."""
+    _, lines = _prediction_lines(prediction)
+    return (F.size(lines) > 0) & ~F.exists(lines, lambda x: _field_count(x) > _field_count(F.element_at(lines, 1)))
+
+
+def clean_prediction(prediction: Column) -> Column:
+    """Drop a CSV code fence and bring line ends, blank lines and padding to one form.
+
+    What does not read as CSV is kept as it is, without the fence.
+    """
+    body, lines = _prediction_lines(prediction)
+    clean = F.concat(F.array_join(F.transform(lines, F.rtrim), "\n"), F.lit("\n"))
+    return F.when(prediction_parses(prediction), clean).otherwise(body)
 
 
 def token_count(text: Column) -> Column:
@@ -86,7 +105,8 @@ def token_count(text: Column) -> Column:
 
 def truncate_tokens(text: Column, limit: int) -> Column:
     """The text up to and including its first ``limit`` tokens, spacing between them kept."""
-    return F.regexp_extract(text, r"^((?:\s*(?:\w+|[^\w\s])){0," + str(limit) + r"})", 1)
+    pieces = F.regexp_extract_all(text, F.lit(r"(\s*(?:\w+|[^\w\s]))"), F.lit(1))
+    return F.array_join(F.slice(pieces, 1, limit), "")
 
 
 def message_tokens(text: Column, per_message: int = 10) -> Column:

@@ -29,22 +29,41 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """v / |v|; a zero vector stays zero."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.coalesce(F.try_divide(x, length), F.lit(0.0)))
+    # the one-element array binds v and its length once; a bare lambda would work out |v| per component
+    bound = F.array(F.struct(v.alias("v"), norm(v).alias("n")))
+    scaled = F.transform(
+        bound, lambda b: F.transform(b["v"], lambda x: F.coalesce(F.try_divide(x, b["n"]), F.lit(0.0)))
+    )
+    return scaled[0]
 
 
-def weighted_mean(parts: Sequence[tuple[Column, float]]) -> Column:
-    """Sum of weight * vector over the sum of weights; one part is returned as it is."""
+def weighted_mean(parts: Sequence[tuple[Column, float]], dim: int | None = None) -> Column:
+    """Sum of weight * vector over the sum of weights; one part is returned as it is.
+
+    With a known small ``dim`` the components are written out, which generated code handles best.
+    """
     if not parts:
         raise ValueError("no embeddings to combine")
     if len(parts) == 1:
         return parts[0][0]
-    total = float(sum(w for _, w in parts))
-    scaled = [F.transform(v, lambda x, w=w: x * F.lit(float(w))) for v, w in parts]
-    acc = scaled[0]
-    for vec in scaled[1:]:
-        acc = F.zip_with(acc, vec, lambda x, y: x + y)
-    return F.transform(acc, lambda x: x / F.lit(total))
+    total = F.lit(float(sum(w for _, w in parts)))
+
+    def add(terms: list[Column]) -> Column:
+        acc = terms[0]
+        for term in terms[1:]:
+            acc = acc + term
+        return acc
+
+    if dim is not None and dim <= _CODEGEN_DIMS:
+        return F.array(*[add([v[i] * F.lit(float(w)) for v, w in parts]) / total for i in range(dim)])
+
+    def scale(vec: Column, weight: float) -> Column:
+        return F.transform(vec, lambda x: x * F.lit(weight))
+
+    acc = scale(parts[0][0], float(parts[0][1]))
+    for vec, weight in parts[1:]:
+        acc = F.zip_with(acc, scale(vec, float(weight)), lambda x, y: x + y)
+    return F.transform(acc, lambda x: x / total)
 
 
 def hashed_text(dim: int = 16) -> TextModel:

@@ -106,7 +106,7 @@ def _with_parts(cells: DataFrame, weights: Mapping[str, float], embedder: Embedd
             column = f"_part{i}"
             df = embed_texts(df, texts[part], column, embedder)
         parts.append((F.col(column), float(weight)))
-    return df.withColumn("_vec", weighted_mean(parts))
+    return df.withColumn("_vec", weighted_mean(parts, embedder.dim))
 
 
 def _pooled(df: DataFrame, keys: Sequence[str], finest: bool, dim: int) -> DataFrame:
@@ -162,7 +162,7 @@ def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder) -
     block_key = [*TABLE, *CONFIG, "row_block"]
     blocks = mean_vector(keyed, block_key, "vec", embedder.dim, "rows")
     parts = [(F.col("own"), float(sum(weights.values()))), (F.col("rows"), float(row_weight))]
-    return own.join(blocks, block_key).select(*tile_key, tile_id, weighted_mean(parts).alias("vec"))
+    return own.join(blocks, block_key).select(*tile_key, tile_id, weighted_mean(parts, embedder.dim).alias("vec"))
 
 
 def embed_zero(components: DataFrame, keys: Sequence[str], dim: int = 10) -> DataFrame:

@@ -9,19 +9,39 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import csv_field, csv_line_of_array, tile_text, token_count
+from tessera.functions.text import csv_field, csv_line_of_array, tile_text, token_count, value_text
 from tessera.operators.rectangles import TABLE, expand_rows
+from tessera.sources.lake import Lake
 
 QUESTION = ["lake", "gt_name"]
 NEAR_END = 10
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
-    """Cells as one row per table row: ``fields``, the CSV fields in column order (never wider than the table)."""
+    """Cells as one row per table row: ``names`` and ``values`` in column order (never wider than the table)."""
     packed = cells.groupBy(*TABLE, "row_id").agg(F.array_sort(F.collect_list(F.struct("col_pos", "col_name", "value"))).alias("_c"))
     return packed.select(*TABLE, "row_id", F.col("_c.col_name").alias("names"), F.col("_c.value").alias("values"))
 
 
+def wide_rows(lake: Lake) -> DataFrame:
+    """The same straight from wide tables: a projection, no shuffle."""
+    parts = []
+    for name, df in lake.tables.items():
+        types = {f.name: f.dataType for f in df.schema.fields}
+        columns = lake.columns(name)
+        parts.append(
+            df.select(
+                F.lit(lake.name).alias("lake"), F.lit(name).alias("table_name"), "row_id",
+                F.array(*[F.lit(c) for c in columns]).alias("names"),
+                F.array(*[value_text(F.col(c), types[c]) for c in columns]).alias("values"),
+            )
+        )
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united
+
+
 def csv_lines(rows: DataFrame) -> DataFrame:
     """One CSV line per table row; a table of any size stays spread over the cluster."""
     return rows.select(*TABLE, "row_id", csv_line_of_array(F.col("values")).alias("line"))
@@ -127,6 +147,7 @@ def pack_closure(ranked: DataFrame, spans: DataFrame, tokens: DataFrame, budget:
         return _walk_closure(tiles, rows, budget)
 
     schema = "lake string, gt_name string, used long, ranks array<int>, n_tables int, n_cells long"
+    needed = needed.toDF(*needed.columns)  # fresh column identities: both sides come from the candidates
     packed = members.groupBy(*QUESTION).cogroup(needed.groupBy(*QUESTION)).applyInPandas(walk, schema)
     # a question none of whose tiles can fit still gets its (empty) result
     zero = F.lit(0)

@@ -121,6 +121,17 @@ def rect_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def intersect(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key and table the common rows (one span each) of the common columns, in the order of ``a``'s columns."""
+    on = list(dict.fromkeys([*keys, *TABLE]))
+    cols_b = b.select(*on, F.col("cols").alias("_cb")).distinct()
+    common = a.select(*on, "cols").distinct().join(cols_b, on).select(*on, F.array_intersect("cols", "_cb").alias("cols"))
+    rows_a = expand_rows(a.select(*on, "row_lo", "row_hi"))
+    rows_b = expand_rows(b.select(*on, "row_lo", "row_hi"))
+    rows = rows_a.join(rows_b, [*on, "row_id"], "left_semi")
+    return rows_to_spans(rows.join(common.filter(F.size("cols") > 0), on))
+
+
 def union_columns(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Union of the column sets per key, in table order (never longer than the table is wide)."""
     exploded = spans.select(*keys, "cols").distinct().select(*keys, F.explode("cols").alias("col"))

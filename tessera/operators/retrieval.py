@@ -114,7 +114,7 @@ def retrieve(
         stats = _product_stats(questions, tiles)
         relative = F.try_divide(F.col("score") - F.col("mean"), F.col("spread")) / 2 + 0.5
         found = scored.join(stats, ["lake", "gt_name"]).select(
-            "lake", "gt_name", "tile_id", F.round(1 - relative, _DIGITS).alias("distance")
+            "lake", "gt_name", "tile_id", (1 - relative).alias("distance")
         )
         if threshold is not None:
             found = found.filter(F.col("distance") <= threshold)

@@ -1,0 +1,324 @@
+"""Linearising, packing, requests and responses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.text import clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
+from tessera.operators import evaluation, packing, provenance, requests, retrieval, slicing
+from tessera.operators.rectangles import tile_hits
+from tessera.plans.corpus import DIM_BLOCKS, STAR_COLUMNS, TOKEN, dims_lake, order_cells, sql_order_cells, sql_tables, star_lake, table
+from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents
+from tessera.plans.registry import query
+from tessera.sources.lake import catalog, catalog_of_cells
+from tessera.streaming.rates import flag_limits, windowed_rate
+
+
+def _sql_field(expr: str) -> str:
+    return (
+        f"case when {expr} is null then '' when regexp_matches({expr}, '[\",\\r\\n]') then '\"' || replace({expr}, '\"', '\"\"') || '\"' else {expr} end"
+    )
+
+
+def _sql_tokens(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '{TOKEN}'))"
+
+
+_CSV_TABLES = ["nation", "supplier", "events"]
+
+
+@query(
+    "linearize_csv",
+    f"with {sql_tables(_CSV_TABLES)} "
+    + " union all ".join(
+        f"select '{t}' as table_name, row_id, " + " || ',' || ".join(_sql_field(f"{c}::varchar") for c in STAR_COLUMNS[t]) + f" as line from t_{t}" for t in _CSV_TABLES
+    ),
+)
+def linearize_csv(spark, sf_dir):
+    return packing.csv_lines(packing.wide_rows(star_lake(spark, sf_dir, _CSV_TABLES))).drop("lake")
+
+
+@query(
+    "linearize_tiles",
+    f"with {sql_order_cells()}, line as (select table_name, row_id, string_agg({_sql_field('value')}, ',' order by col_pos) as line, string_agg(col_name, ',' order by col_pos) as header from cells group by all),"
+    " tile as (select table_name, count(*) * 4 as num_cells, any_value(header) as header, string_agg(line, chr(10) order by row_id) as body from line group by table_name)"
+    " select table_name, num_cells, case when num_cells <= 40 then 'table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10) end as text from tile",
+)
+def linearize_tiles(spark, sf_dir):
+    cells = order_cells(spark, sf_dir)
+    spans = slicing.grid_tiles(slicing.grid(catalog_of_cells(cells), [("none", 1)])).select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
+    return packing.linearize_tiles(spans, packing.table_rows(cells), max_cells=40).select("table_name", "num_cells", "text")
+
+
+@query("linearize_list", "select doc_id, lang || ',' || source || ',' || n_chars as answer from documents")
+def linearize_list(spark, sf_dir):
+    values = F.array("lang", "source", F.col("n_chars").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", list_answer(values).alias("answer"))
+
+
+_SQL_LINES = "list_filter(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '')"
+_SQL_COUNT = "len(string_split(regexp_replace({x}, '\"[^\"]*\"', '', 'g'), ','))"
+
+
+@query(
+    "clean_prediction",
+    "with p as (select doc_id, case when doc_id % 2 = 0 then '```csv' || chr(10) || text || '```' else text end as prediction from documents),"
+    " b as (select doc_id, case when starts_with(prediction, '```csv') then substr(prediction, 7, length(prediction) - 9) else prediction end as body from p),"
+    f" l as (select doc_id, body, {_SQL_LINES} as lines from b)"
+    f" select doc_id, md5(case when len(lines) > 0 and len(list_filter(lines, lambda x: {_SQL_COUNT.format(x='x')} > {_SQL_COUNT.format(x='lines[1]')})) = 0"
+    " then array_to_string(list_transform(lines, lambda x: rtrim(x)), chr(10)) || chr(10) else body end) as prediction_md5 from l",
+)
+def clean_prediction(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    fenced = F.concat(F.lit("```csv\n"), F.col("text"), F.lit("```"))
+    prediction = F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text"))
+    return docs.select("doc_id", prediction.alias("prediction")).select("doc_id", F.md5(clean(F.col("prediction"))).alias("prediction_md5"))
+
+
+@query("token_counts", f"select doc_id, {_sql_tokens('text')} as tokens, {_sql_tokens('text')} + 10 as message_tokens from documents")
+def token_counts(spark, sf_dir):
+    tokens = token_count(F.col("text")).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"), (tokens + 10).alias("message_tokens"))
+
+
+@query(
+    "truncate_tokens",
+    r"select doc_id, md5(array_to_string(regexp_extract_all(text, '\s*(?:\w+|[^\w\s])')[1:100], '')) as text_md5 from documents",
+)
+def truncate_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(truncate(F.col("text"), 100)).alias("text_md5"))
+
+
+_SQL_RANKED_TOKENS = (
+    f"{SQL_RANKED}, tok as (select 'doc-' || doc_id as tile_id, {_sql_tokens('text')} as tokens from documents),"
+    " rt as (select lake, gt_name, rank, tile_id, tokens from ranked join tok using (tile_id) where rank <= 2000)"
+)
+
+
+def _ranked_tokens(spark, sf_dir):
+    tokens = document_tiles(spark, sf_dir).select("lake", "tile_id", token_count(F.col("text")).cast("long").alias("tokens"))
+    return ranked_documents(spark, sf_dir).join(tokens, ["lake", "tile_id"])
+
+
+@query(
+    "running_tokens",
+    f"with {_SQL_RANKED_TOKENS} select lake, gt_name, rank, cast(sum(tokens) over (partition by lake, gt_name order by rank) as bigint) as running from rt",
+)
+def running_tokens(spark, sf_dir):
+    return packing.running_tokens(_ranked_tokens(spark, sf_dir)).select("lake", "gt_name", "rank", "running")
+
+
+@query(
+    "pack_greedy",
+    f"with recursive {_SQL_RANKED_TOKENS}, lim as (select lake, gt_name, count(*) as n_candidates from rt group by all),"
+    " walk as (select lake, gt_name, 0 as rank, 0::bigint as used, ''::varchar as ranks, 0 as last from lim"
+    " union all select w.lake, w.gt_name, rt.rank::int, case when w.used + rt.tokens <= 1000 then w.used + rt.tokens else w.used end,"
+    " case when w.used + rt.tokens <= 1000 then w.ranks || ',' || rt.rank else w.ranks end, case when w.used + rt.tokens <= 1000 then rt.rank::int else w.last end"
+    " from walk w join rt on rt.lake = w.lake and rt.gt_name = w.gt_name and rt.rank = w.rank + 1)"
+    " select lake, gt_name, n_candidates, used, substr(ranks, 2) as ranks, n_candidates - last <= 10 as near_end from walk join lim using (lake, gt_name) where rank = n_candidates",
+)
+def pack_greedy(spark, sf_dir):
+    packed = packing.pack_greedy(_ranked_tokens(spark, sf_dir), 1000)
+    return packed.select("lake", "gt_name", "n_candidates", "used", F.array_join("ranks", ",").alias("ranks"), "near_end")
+
+
+def closure_input(spark, sf_dir):
+    lake = dims_lake(spark, sf_dir)
+    tiles = slicing.grid_tiles(slicing.grid(catalog(lake), [("rowwise", 200)]))
+    truths = provenance.ground_truth_tiles(lake, DIM_BLOCKS)
+    hits = tile_hits(tiles, truths, ["tile_id"], ["gt_name"])
+    ranked = retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truths)
+    spans = tiles.select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
+    return ranked, spans, packing.row_tokens(packing.wide_rows(lake))
+
+
+@query("pack_closure")
+def pack_closure(spark, sf_dir):
+    packed = packing.pack_closure(*closure_input(spark, sf_dir), budget=400)
+    return packed.select("gt_name", "used", F.array_join("ranks", ",").alias("ranks"), "n_tables", "n_cells")
+
+
+_SQL_QUESTIONS = (
+    f"{SQL_RANKED}, inst as (select r.lake, r.gt_name, b.text as need, d.text as context, d.lang || ' ' || d.n_chars as answer from ranked r"
+    " join benchmark b on 'question-' || b.item_id = r.gt_name join documents d on 'doc-' || d.doc_id = r.tile_id where rank = 1)"
+)
+
+
+def _qa_instances(spark, sf_dir):
+    top = retrieval.rank(ranked_documents(spark, sf_dir, 1), 1)
+    docs = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc-"), F.col("doc_id")).alias("tile_id"), F.col("text").alias("context"), F.concat_ws(" ", "lang", "n_chars").alias("answer")
+    )
+    asked = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("question-"), F.col("item_id")).alias("gt_name"), F.col("text").alias("information_need"))
+    return top.join(docs, "tile_id").join(asked, "gt_name").withColumn("answer_columns", F.lit("lang, n_chars"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _request_sql(layout: str) -> str:
+    if layout == "list":
+        user, system = "need || chr(10) || chr(10) || context", requests.LIST_SYSTEM
+    else:
+        user = "need || chr(10) || chr(10) || 'The result table must have the following columns: lang, n_chars' || chr(10) || chr(10) || 'Context tables:' || chr(10) || chr(10) || context"
+        system = requests.TABLE_SYSTEM
+    return (
+        f"select '{layout}' as layout, lake, gt_name, least(4096, {_sql_tokens('answer')} + 20) as max_tokens, md5({user}) as user_md5, sha256(to_json({{'model': 'gpt-4-1106-preview',"
+        f" 'max_tokens': least(4096, {_sql_tokens('answer')} + 20), 'temperature': 0, 'messages': [{{'role': 'system', 'content': {_sql_text(system)}}},"
+        f" {{'role': 'user', 'content': {user}}}]}})::varchar) as request_hash from inst"
+    )
+
+
+@query("build_requests", f"with {_SQL_QUESTIONS} {_request_sql('list')} union all {_request_sql('table')}")
+def build_requests(spark, sf_dir):
+    instances = _qa_instances(spark, sf_dir)
+    parts = [
+        requests.build_requests(instances, layout).select(
+            F.lit(layout).alias("layout"), "lake", "gt_name", "max_tokens", F.md5("user_message").alias("user_md5"), "request_hash"
+        )
+        for layout in ("list", "table")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+# the texts of labelled documents have been asked before; copies of them are hits
+def _asked(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("text").alias("request"), F.sha2("text", 256).alias("request_hash"))
+
+
+def _answered(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return _asked(spark, sf_dir).join(labels, "doc_id")
+
+
+@query(
+    "request_cache_hits",
+    "with c as (select text, min_by(lang || '-' || doc_id, doc_id) as response from documents join labels using (doc_id) group by text)"
+    " select doc_id, c.text is not null as hit, response from documents d left join c on c.text = d.text",
+)
+def request_cache_hits(spark, sf_dir):
+    cache = _answered(spark, sf_dir).select("request_hash", "request", F.col("doc_id").alias("ts"), F.concat_ws("-", "lang", "doc_id").alias("response"))
+    hits, misses = requests.cache_lookup(_asked(spark, sf_dir), cache)
+    found = hits.select("doc_id", F.lit(True).alias("hit"), "response")
+    return found.unionByName(misses.select("doc_id", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("response")))
+
+
+@query(
+    "score_predictions",
+    "with r as (select text, min(case when quality = 1 then lang else 'unknown' end) as prediction from documents join labels using (doc_id) group by text),"
+    " s as (select source, coalesce(lang = prediction, false) as ok from documents left join r using (text))"
+    " select source, count(*) filter (where ok) as correct, count(*) filter (where not ok) as incorrect, count(*) as total, count(*) filter (where ok) / count(*) as accuracy from s group by source",
+)
+def score_predictions(spark, sf_dir):
+    prediction = F.when(F.col("quality") == 1, F.col("lang")).otherwise("unknown")
+    responses = _answered(spark, sf_dir).groupBy("request_hash").agg(F.min(prediction).alias("prediction"))
+    instances = _asked(spark, sf_dir).withColumnRenamed("lang", "answer")
+    return evaluation.answer_accuracy(evaluation.score_answers(instances, responses), ["source"])
+
+
+_MODEL_NAMES = [m[0] for m in requests.MODELS]
+_SQL_MODELS = "models(model, max_context, max_output, ip, op) as (values " + ", ".join(
+    f"('{m[0]}', {m[6]}, {'null' if m[7] is None else m[7]}, {m[4]}::double, {m[5]}::double)" for m in requests.MODELS
+) + ")"
+_SQL_REQUESTS = (
+    f"{_SQL_MODELS}, req as (select conv_id, turn, [{', '.join(repr(n) for n in _MODEL_NAMES)}][conv_id % 6 + 1] as model, {_sql_tokens('text')} + 10 as tokens_in,"
+    " case when turn % 3 = 0 then null else 100 + turn * 1000 end as max_tokens, case when turn % 2 = 1 then turn end as n from conversations),"
+    " r as (select req.*, max_context, max_output, ip, op, coalesce(max_tokens, least(greatest(0, max_context - tokens_in), max_output)) as tokens_out from req join models using (model))"
+)
+
+
+def _requests(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in _MODEL_NAMES])
+    max_tokens = F.when(F.col("turn") % 3 != 0, 100 + F.col("turn") * 1000)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.element_at(names, (F.col("conv_id") % 6 + 1).cast("int")).alias("model"),
+        requests.input_tokens(messages=[F.col("text")]).cast("long").alias("tokens_in"), max_tokens.alias("max_tokens"),
+        F.when(F.col("turn") % 2 == 1, F.col("turn")).alias("n"),
+    )
+
+
+@query("request_cost", f"with {_SQL_REQUESTS} select model, count(*) as n_requests, round(sum(coalesce(n, 1) * (tokens_in * (ip / 1000) + tokens_out * (op / 1000))), 6) as max_cost from r group by model")
+def request_cost(spark, sf_dir):
+    costs = requests.request_costs(_requests(spark, sf_dir), requests.number_of_choices(F.lit(None).cast("long"), F.col("n")))
+    return costs.groupBy("model").agg(F.count(F.lit(1)).alias("n_requests"), F.round(F.sum("max_cost"), 6).alias("max_cost"))
+
+
+@query(
+    "request_limit_flags",
+    f"with {_SQL_REQUESTS} select conv_id, turn, max_context < tokens_in as input_too_long, max_context = tokens_in as no_room_for_output, coalesce(max_output < max_tokens, false) as output_limit_exceeded,"
+    " coalesce(max_context < tokens_in + max_tokens, false) as context_exceeded, tokens_out, tokens_in + tokens_out as tokens_total from r",
+)
+def request_limit_flags(spark, sf_dir):
+    return requests.limit_flags(_requests(spark, sf_dir)).drop("model", "tokens_in", "max_tokens", "n")
+
+
+def _responses(spark, sf_dir):
+    names = F.array(*[F.lit(n) for n in _MODEL_NAMES])
+    model = F.element_at(names, (F.col("conv_id") % 6 + 1).cast("int"))
+    usage = F.when(F.col("turn") % 4 != 0, F.struct(F.length("text").alias("prompt_tokens"), F.col("turn").alias("completion_tokens")))
+    choices = F.when(F.col("turn") % 4 != 0, F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))))
+    body = F.to_json(F.struct(model.alias("model"), usage.alias("usage"), choices.alias("choices")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", body.alias("response"))
+
+
+@query(
+    "response_cost",
+    f"with {_SQL_MODELS} select conv_id, turn, case when turn % 4 = 0 then 0 else length(text) + turn end as tokens_total,"
+    f" round(case when turn % 4 = 0 then 0 else length(text) * (ip / 1000) + turn * (op / 1000) end, 9) as cost from conversations join models on model = [{', '.join(repr(n) for n in _MODEL_NAMES)}][conv_id % 6 + 1]",
+)
+def response_cost(spark, sf_dir):
+    costs = requests.response_costs(_responses(spark, sf_dir))
+    return costs.select("conv_id", "turn", "tokens_total", F.round("cost", 9).alias("cost"))
+
+
+@query("failed_responses", "select role, count(*) filter (where turn % 4 = 0) as failed, count(*) as n from conversations group by role")
+def failed_responses(spark, sf_dir):
+    return _responses(spark, sf_dir).groupBy("role").agg(
+        F.count_if(requests.is_failed(F.col("response"))).alias("failed"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("cache_retention", "select request_hash, ts from (select md5(event_id::varchar) as request_hash, ts from events) order by ts desc, request_hash desc limit 5000")
+def cache_retention(spark, sf_dir):
+    cache = table(spark, sf_dir, "events").select(F.md5(F.col("event_id").cast("string")).alias("request_hash"), "ts")
+    return requests.retain_cache(cache, 5000)
+
+
+def _log(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), "ts", F.floor("value").cast("long").alias("tokens"))
+
+
+@query(
+    "rolling_rate",
+    "select event_id, count(*) over w as n_requests, cast(sum(floor(value)::bigint) over w as bigint) as n_tokens from events"
+    " window w as (partition by event_type order by ts range between interval 600 seconds preceding and current row)",
+)
+def rolling_rate(spark, sf_dir):
+    return requests.rolling_rate(_log(spark, sf_dir), 600).select("event_id", "n_requests", "n_tokens")
+
+
+_SQL_WINDOWS = (
+    "w as (select {m} as model, to_timestamp((epoch(ts)::bigint // 10) * 10 - k * 10)::timestamp as window_start, count(*) as n_requests, cast(sum(floor(value)::bigint) as bigint) as n_tokens"
+    " from (select *, unnest(range(0, 7)) as k from (select *, date_trunc('second', ts) as sec from events)) group by all)"
+)
+
+
+@query("rolling_rate_windows", "with " + _SQL_WINDOWS.replace("{m}", "event_type").replace("epoch(ts)", "epoch(sec)") + " select model, strftime(window_start, '%Y-%m-%d %H:%M:%S') as window_start, n_requests, n_tokens from w")
+def rolling_rate_windows(spark, sf_dir):
+    rates = windowed_rate(_log(spark, sf_dir))
+    return rates.select("model", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_requests", "n_tokens")
+
+
+_MODEL_OF_TYPE = "['gpt-3.5-turbo-1106', 'gpt-4-0613'][(event_type = 'error')::int + 1]"
+
+
+@query(
+    "rolling_rate_flags",
+    "with " + _SQL_WINDOWS.replace("{m}", _MODEL_OF_TYPE).replace("epoch(ts)", "epoch(sec)")
+    + " select model, count(*) as n_windows, count(*) filter (where n_tokens > 0.0001 * case model when 'gpt-4-0613' then 300000 else 2000000 end) as over_tpm from w group by model",
+)
+def rolling_rate_flags(spark, sf_dir):
+    model = F.when(F.col("model") == "error", "gpt-4-0613").otherwise("gpt-3.5-turbo-1106")
+    flagged = flag_limits(windowed_rate(_log(spark, sf_dir).withColumn("model", model)), share=0.0001)
+    return flagged.groupBy("model").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if("over_tpm").alias("over_tpm"))
