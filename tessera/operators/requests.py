@@ -44,12 +44,16 @@ def models(spark: SparkSession) -> DataFrame:
 
 def with_model(df: DataFrame) -> DataFrame:
     """Add limits and prices. A model without an entry fails the query (six fixed rows: a broadcast is safe)."""
-    known = F.broadcast(models(df.sparkSession).withColumn("_known", F.lit(True)))
-    joined = df.join(known, "model", "left")
-    check = F.when(F.col("_known"), F.col("max_context")).otherwise(
-        F.raise_error(F.concat(F.lit("unknown model "), F.col("model"))).cast("long")
-    )
-    return joined.withColumn("max_context", check).drop("_known")
+    limits = models(df.sparkSession)
+    joined = df.join(F.broadcast(limits.withColumn("_known", F.lit(True))), "model", "left")
+    unknown = F.raise_error(F.concat(F.lit("unknown model "), F.col("model")))
+    # on every column: whichever of them a query keeps, the check stays with it
+    checked = {
+        f.name: F.when(F.col("_known"), F.col(f.name)).otherwise(unknown.cast(f.dataType))
+        for f in limits.schema.fields
+        if f.name != "model"
+    }
+    return joined.withColumns(checked).drop("_known")
 
 
 def unknown_models(df: DataFrame) -> DataFrame:

@@ -30,12 +30,12 @@ def with_configs(tables: DataFrame, configs: Sequence[tuple[str, int]]) -> DataF
 
 
 def tile_budget(tables: DataFrame, tpt: Column, distribution: str = "cell-based") -> DataFrame:
-    """Add ``budget``: ``tpt`` for every table, or the same average shared out by table size."""
-    if distribution == "table-based":
-        return tables.withColumn("budget", tpt.cast("long"))
-    if distribution != "cell-based":
+    """Add ``n_tables``, ``lake_cells`` and ``budget``: ``tpt`` for every table, or that average shared out by table size."""
+    if distribution not in ("table-based", "cell-based"):
         raise ValueError(f"unknown tile distribution: {distribution}")
     sized = tables.join(lake_sizes(tables.select("lake", "table_name", "num_cells").distinct()), "lake")
+    if distribution == "table-based":
+        return sized.withColumn("budget", tpt.cast("long"))
     # tiles * tables * cells can pass 2^63: integer division of decimals stays exact
     extra = F.expr(
         "(cast(_tiles - 1 as decimal(10,0)) * cast(n_tables as decimal(10,0)) * cast(num_cells as decimal(18,0)))"
