@@ -15,6 +15,7 @@ from tessera.plans.corpus import (
     sql_truth_cols, sql_truth_rows, star_lake,
 )
 from tessera.plans.registry import query
+from tessera.session import materialize
 from tessera.sources.lake import catalog, catalog_of_cells, melt
 
 TPTS = [1, 10, 50, 100, 500, 2000]
@@ -194,7 +195,8 @@ def split_tile(spark, sf_dir):
 
 
 def _divisive(spark, sf_dir, cells):
-    tables = catalog_of_cells(cells)
+    cells = materialize(cells, "cells")  # the stage that slicing starts from
+    tables = materialize(catalog_of_cells(cells), "tables")
     budgets = slicing.tile_budget(tables, F.lit(_DIVISIVE_TPT))
     vectors = embed_table(cells, "table-cells", EMBEDDER)
     tiles, members = divisive.slice_divisive(tables, vectors, budgets.select("lake", "table_name", "budget"), DIM)
