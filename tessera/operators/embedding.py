@@ -14,11 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import embedding_text, normalize_name
+from tessera.functions.text import embedding_text, normalize_name, value_text
 from tessera.functions.vectors import TextModel, hashed_text, mean_vector, weighted_mean, zero_vector
 from tessera.operators.rectangles import TABLE
-from tessera.operators.slicing import CONFIG, assign_to_grid, block_of
+from tessera.operators.slicing import CONFIG, assign_to_grid
 from tessera.operators.tiles import tile_cells
+from tessera.sources.lake import Lake, melt
 
 # Default weights of the parts of each component.
 DEFAULT_WEIGHTS: dict[str, dict[str, float]] = {
@@ -122,6 +123,45 @@ def embed_table(cells: DataFrame, component: str, embedder: Embedder) -> DataFra
     return _pooled(combined, TABLE_KEYS[component], component == "table-cells", embedder.dim)
 
 
+def _divided(vec: Column, n: int) -> Column:
+    return F.transform(vec, lambda x: x / F.lit(float(n)))
+
+
+def embed_wide_rows(lake: Lake, embedder: Embedder) -> DataFrame:
+    """``table-rows`` vectors straight from wide tables: a projection per row, nothing is shuffled."""
+    weights = _check("table-rows", embedder, TABLE_KEYS)
+    if embedder.costly:
+        return embed_table(melt(lake), "table-rows", embedder)
+
+    def name_vector(name: str) -> Column:
+        return embedder.model(normalize_name(F.lit(name), embedder.preprocess_names))
+
+    def total(vectors: Column) -> Column:
+        zero = F.array(*[F.lit(0.0)] * embedder.dim)
+        return F.aggregate(vectors, zero, lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y))
+
+    parts = []
+    for table, df in lake.tables.items():
+        columns = lake.columns(table)
+        types = {f.name: f.dataType for f in df.schema.fields}
+        sources = {
+            "cell-values": lambda: F.transform(
+                F.array(*[embedding_text(value_text(F.col(c), types[c])) for c in columns]), embedder.model
+            ),
+            "col-names": lambda: F.array(*[name_vector(c) for c in columns]),
+            "table-name": lambda: F.array(name_vector(table)),
+        }
+        sizes = {"cell-values": len(columns), "col-names": len(columns), "table-name": 1}
+        means = [(_divided(total(sources[part]()), sizes[part]), float(w)) for part, w in weights.items()]
+        parts.append(
+            df.select(F.lit(lake.name).alias("lake"), F.lit(table).alias("table_name"), "row_id", weighted_mean(means).alias("vec"))
+        )
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united
+
+
 def embed_tiles(cells: DataFrame, spans: DataFrame, component: str, embedder: Embedder) -> DataFrame:
     """``tile``, ``tile-rows``, ``tile-cols`` or ``tile-cells`` vectors of arbitrary tiles.
 
@@ -143,7 +183,9 @@ def embed_tiles(cells: DataFrame, spans: DataFrame, component: str, embedder: Em
 def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder) -> DataFrame:
     """Tile vectors of grid slicings, all configurations at once, without a membership join.
 
-    Parent rows are pooled per row block on their own and joined per block, not per cell.
+    The mean of the parent's row vectors over a row block is the mean over all cells of the block
+    (rows are equally wide), so row vectors are never built: two aggregations, both combined
+    map-side, and a join per block.
     """
     weights = dict(_check("tile", embedder, TILE_KEYS))
     row_weight = weights.pop("table-rows", None)
@@ -155,12 +197,9 @@ def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder) -
     tile_id = F.concat_ws("/", "table_name", "row_block", "col_block").alias("tile_id")
     if row_weight is None:
         return own.select(*tile_key, tile_id, F.col("own").alias("vec"))
-    rows = embed_table(cells, "table-rows", embedder)
-    keyed = rows.join(strides.select(*TABLE, *CONFIG, "row_stride"), TABLE).withColumn(
-        "row_block", block_of(F.col("row_id"), F.col("row_stride"))
-    )
+    row_weights = _check("table-rows", embedder, TABLE_KEYS)
     block_key = [*TABLE, *CONFIG, "row_block"]
-    blocks = mean_vector(keyed, block_key, "vec", embedder.dim, "rows")
+    blocks = mean_vector(_with_parts(assigned, row_weights, embedder, {}), block_key, "_vec", embedder.dim, "rows")
     parts = [(F.col("own"), float(sum(weights.values()))), (F.col("rows"), float(row_weight))]
     return own.join(blocks, block_key).select(*tile_key, tile_id, weighted_mean(parts, embedder.dim).alias("vec"))
 

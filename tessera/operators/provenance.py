@@ -42,28 +42,36 @@ def provenance_rows(lake: Lake, blocks: Sequence[Block]) -> DataFrame:
     """(lake, gt_name, table_name, row_id), every row once per ground truth.
 
     All plain predicates of a table are tested in one scan of that table; a predicate with a
-    subquery gets its own filter, which the optimizer turns into a semi-join.
+    subquery gets its own filter, which the optimizer turns into a semi-join. Rows are shuffled only
+    for ground truths that read a table through more than one such part.
     """
     spark = lake.any_session()
     parts = []
+    sources: list[tuple[str, str]] = []  # (ground truth, table) of every part
     plain: dict[str, list[Block]] = {}
     for block in blocks:
         if block.has_subquery:
             query = "SELECT row_id FROM {" + block.table + "} WHERE " + block.predicate
             part = spark.sql(query, **_tables(lake, query))
             parts.append(part.select(F.lit(block.gt_name).alias("gt_name"), F.lit(block.table).alias("table_name"), ROW_ID))
+            sources.append((block.gt_name, block.table))
         else:
             plain.setdefault(block.table, []).append(block)
     for table, group in plain.items():
         hits = F.array(*[F.when(F.expr(b.predicate), F.lit(b.gt_name)) for b in group])
         any_hit = " OR ".join(f"({b.predicate})" for b in group)
-        part = lake.tables[table].filter(any_hit).select(ROW_ID, F.explode(F.array_compact(hits)).alias("gt_name"))
+        names = F.array_distinct(F.array_compact(hits))  # several blocks of one ground truth: the row counts once
+        part = lake.tables[table].filter(any_hit).select(ROW_ID, F.explode(names).alias("gt_name"))
+        sources += [(gt, table) for gt in {b.gt_name for b in group}]
         parts.append(part.select("gt_name", F.lit(table).alias("table_name"), ROW_ID))
     united = parts[0]
     for part in parts[1:]:
         united = united.unionByName(part)
-    # blocks of one ground truth may select the same row of a table more than once
-    return united.distinct().select(F.lit(lake.name).alias("lake"), "gt_name", "table_name", ROW_ID)
+    repeated = sorted({s for s in sources if sources.count(s) > 1})
+    if repeated:
+        twice = F.struct("gt_name", "table_name").isin([F.struct(F.lit(g), F.lit(t)) for g, t in repeated])
+        united = united.filter(~twice).unionByName(united.filter(twice).distinct())
+    return united.select(F.lit(lake.name).alias("lake"), "gt_name", "table_name", ROW_ID)
 
 
 def provenance_columns(lake: Lake, blocks: Sequence[Block]) -> DataFrame:

@@ -135,6 +135,28 @@ def grid_confusion(strides: DataFrame, truth_rows: DataFrame, truth_cols: DataFr
     )
 
 
+def grid_hits(strides: DataFrame, truth_rows: DataFrame, truth_cols: DataFrame) -> DataFrame:
+    """Cells each touched grid tile shares with each truth: (lake, gt_name, config, tile_id, num_in).
+
+    Counted as (truth rows of the row block) x (truth columns of the column block). Tiles are not
+    expanded, and untouched ones do not appear.
+    """
+    key = ["lake", "gt_name", "table_name", *CONFIG]
+    rows = truth_rows.join(strides.select(*TABLE, *CONFIG, "row_stride"), TABLE)
+    per_row_block = rows.groupBy(*key, block_of(F.col("row_id"), F.col("row_stride")).alias("row_block")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    cols = truth_cols.join(strides.select(*TABLE, *CONFIG, "col_stride"), TABLE).withColumn("_col", F.explode("cols"))
+    per_col_block = cols.groupBy(*key, block_of(F.col("_col"), F.col("col_stride")).alias("col_block")).agg(
+        F.count(F.lit(1)).alias("_cols")
+    )
+    return per_row_block.join(per_col_block, key).select(
+        "lake", "gt_name", "table_name", *CONFIG,
+        F.concat_ws("/", "table_name", "row_block", "col_block").alias("tile_id"),
+        (F.col("_rows") * F.col("_cols")).alias("num_in"),
+    )
+
+
 def tile_confusion(tile_sizes: DataFrame, hits: DataFrame, lake_cells: DataFrame, config: Sequence[str] = ()) -> DataFrame:
     """The same for arbitrary tiles: ``hits`` holds num_in per touched (tile, truth), see ``tile_hits``."""
     keys = ["lake", "gt_name", *config]

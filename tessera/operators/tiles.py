@@ -38,6 +38,16 @@ def tile_cells(spans: DataFrame, cells: DataFrame) -> DataFrame:
     return inside.drop("cols")
 
 
+def tile_cells_of_rows(spans: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same from whole rows (``names``, ``values``): rows are joined first, and only the tile's cells are unrolled."""
+    members = expand_rows(spans.select(*TABLE, "tile_id", "row_lo", "row_hi", "cols"))
+    joined = rows.join(members, [*TABLE, "row_id"]).withColumn("col_pos", F.explode("cols"))
+    at = F.col("col_pos") + 1
+    return joined.select(
+        *TABLE, "tile_id", "row_id", "col_pos", F.element_at("names", at).alias("col_name"), F.element_at("values", at).alias("value")
+    )
+
+
 def tile_sizes(spans: DataFrame, keys: Sequence[str] = ("lake", "table_name", "tile_id")) -> DataFrame:
     """Cells per tile (spans of one tile do not overlap)."""
     return spans.groupBy(*keys).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("num_cells"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
 from tessera.operators import evaluation, packing, provenance, requests, retrieval, slicing
-from tessera.operators.rectangles import tile_hits
 from tessera.plans.corpus import DIM_BLOCKS, STAR_COLUMNS, TOKEN, dims_lake, order_cells, sql_order_cells, sql_tables, star_lake, table
 from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents
 from tessera.plans.registry import query
+from tessera.session import materialize
 from tessera.sources.lake import catalog, catalog_of_cells
 from tessera.streaming.rates import flag_limits, windowed_rate
 
@@ -45,7 +45,7 @@ def linearize_csv(spark, sf_dir):
     " select table_name, num_cells, case when num_cells <= 40 then 'table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10) end as text from tile",
 )
 def linearize_tiles(spark, sf_dir):
-    cells = order_cells(spark, sf_dir)
+    cells = materialize(order_cells(spark, sf_dir), "cells")
     spans = slicing.grid_tiles(slicing.grid(catalog_of_cells(cells), [("none", 1)])).select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
     return packing.linearize_tiles(spans, packing.table_rows(cells), max_cells=40).select("table_name", "num_cells", "text")
 
@@ -124,10 +124,11 @@ def pack_greedy(spark, sf_dir):
 
 def closure_input(spark, sf_dir):
     lake = dims_lake(spark, sf_dir)
-    tiles = slicing.grid_tiles(slicing.grid(catalog(lake), [("rowwise", 200)]))
-    truths = provenance.ground_truth_tiles(lake, DIM_BLOCKS)
-    hits = tile_hits(tiles, truths, ["tile_id"], ["gt_name"])
-    ranked = retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truths)
+    strides = slicing.grid(catalog(lake), [("rowwise", 200)])
+    tiles = slicing.grid_tiles(strides)
+    truth_cols = provenance.provenance_columns(lake, DIM_BLOCKS)
+    hits = materialize(slicing.grid_hits(strides, provenance.provenance_rows(lake, DIM_BLOCKS), truth_cols), "hits")
+    ranked = retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truth_cols)
     spans = tiles.select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
     return ranked, spans, packing.row_tokens(packing.wide_rows(lake))
 

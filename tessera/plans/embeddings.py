@@ -60,6 +60,11 @@ def embed_table_cells(spark, sf_dir):
 
 @query("embed_table_rows", f"with {_CELL_PARTS}, p as (select table_name, row_id, " + ", ".join(f"avg(c{i}) as v{i}" for i in R) + f" from parts group by all) select table_name, row_id, {_rounded()} from p")
 def embed_table_rows(spark, sf_dir):
+    return _out(embedding.embed_wide_rows(dims_lake(spark, sf_dir), EMBEDDER), "table_name", "row_id")
+
+
+@query("embed_table_rows_of_cells", f"with {_CELL_PARTS}, p as (select table_name, row_id, " + ", ".join(f"avg(c{i}) as v{i}" for i in R) + f" from parts group by all) select table_name, row_id, {_rounded()} from p")
+def embed_table_rows_of_cells(spark, sf_dir):
     return _out(embedding.embed_table(melt(dims_lake(spark, sf_dir)), "table-rows", EMBEDDER), "table_name", "row_id")
 
 

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import mean_vector
 from tessera.operators import embedding, retrieval, slicing
-from tessera.operators.rectangles import tile_hits
+from tessera.operators.provenance import provenance_columns, provenance_rows
 from tessera.plans.corpus import (
-    DIM, EMBEDDER, sql_catalog, sql_hash, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
+    BLOCKS, DIM, EMBEDDER, sql_catalog, sql_hash, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
 )
 from tessera.plans.registry import query
-from tessera.plans.tiles import truth_spans
+from tessera.session import materialize
 from tessera.sources.lake import catalog
 
 
@@ -120,11 +120,12 @@ _SQL_PERFECT = (
     f"with {_SQL_PERFECT} select * from (select gt_name, tile_id, round(distance, 9) as distance, row_number() over (partition by gt_name order by distance, tile_id) as rank from d) where rank <= 2000",
 )
 def retrieve_perfect(spark, sf_dir):
-    strides = slicing.grid(catalog(star_lake(spark, sf_dir)), [("rowwise", 100)])
-    tiles = slicing.grid_tiles(strides)
-    truths = truth_spans(spark, sf_dir)
-    hits = tile_hits(tiles, truths, ["tile_id"], ["gt_name"])
-    found = retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truths)
+    lake = star_lake(spark, sf_dir)
+    strides = slicing.grid(catalog(lake), [("rowwise", 100)])
+    tiles = slicing.grid_tiles(strides).select("lake", "tile_id", "num_cells")
+    truth_cols = provenance_columns(lake, BLOCKS)
+    hits = materialize(slicing.grid_hits(strides, provenance_rows(lake, BLOCKS), truth_cols), "hits")
+    found = retrieval.retrieve_perfect(hits, tiles, truth_cols.filter("gt_name <> 'no-such-parts'"))
     return found.select("gt_name", "tile_id", F.round("distance", 9).alias("distance"), "rank")
 
 

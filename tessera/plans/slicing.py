@@ -154,7 +154,8 @@ def _unit_frontier(spark, sf_dir):
     from tessera.functions.vectors import l2_normalize
 
     _, vectors = _order_vectors(spark, sf_dir)
-    return vectors.select("lake", "table_name", F.lit("r").alias("node"), "row_id", "col_pos", l2_normalize(F.col("vec")).alias("vec"))
+    unit = vectors.select("lake", "table_name", F.lit("r").alias("node"), "row_id", "col_pos", l2_normalize(F.col("vec")).alias("vec"))
+    return materialize(unit, "frontier")
 
 
 @query(
@@ -188,8 +189,8 @@ def split_priority(spark, sf_dir):
 @query("split_tile")
 def split_tile(spark, sf_dir):
     rule = divisive.SplitRule()
-    means = divisive.member_means(_unit_frontier(spark, sf_dir), DIM)
-    spread = divisive.axis_spread(means, rule)
+    means = materialize(divisive.member_means(_unit_frontier(spark, sf_dir), DIM), "members")
+    spread = materialize(divisive.axis_spread(means, rule), "spread")
     nodes = divisive.split_priority(spread, rule).filter(F.col("n") >= rule.clusters_per_step)
     return divisive.split_members(nodes, spread, means, rule, DIM).select("lake", "table_name", "axis", "member", "label")
 

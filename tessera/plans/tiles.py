@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import rectangles, slicing, tiles
+from tessera.operators.packing import wide_rows
 from tessera.operators.provenance import Block, ground_truth_tiles
 from tessera.plans.corpus import (
     BLOCKS, sql_catalog, sql_cells, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
 )
 from tessera.plans.registry import query
+from tessera.session import materialize
 from tessera.sources.lake import catalog, melt
 
 # results of a search: several overlapping tiles per question, named <question>#<ordinal>
@@ -58,7 +60,7 @@ SQL_TRUTH = f"{sql_truth_rows()}, {sql_truth_cols()}, truth_cells as (select lak
 def tile_extract(spark, sf_dir):
     lake = star_lake(spark, sf_dir)
     used = lake.only(sorted({b.table for b in RESULTS}))
-    return tiles.tile_cells(result_spans(spark, sf_dir), melt(used)).select("tile_id", "row_id", "col_pos", "value")
+    return tiles.tile_cells_of_rows(result_spans(spark, sf_dir), wide_rows(used)).select("tile_id", "row_id", "col_pos", "value")
 
 
 def _mixed(spark, sf_dir):
@@ -90,7 +92,7 @@ def tiles_by_kind(spark, sf_dir):
     " union all select 'tile', count(distinct tile_id) from mixed where table_name = 'customer' union all select 'kind', count(distinct kind) from mixed",
 )
 def tileset_distinct(spark, sf_dir):
-    mixed = _mixed(spark, sf_dir)
+    mixed = materialize(_mixed(spark, sf_dir), "tiles")
     parts = [
         ("lake", tiles.distinct_members(mixed, "lake")),
         ("table", tiles.distinct_members(mixed, "table", lake="star", kind="slice-tile")),
