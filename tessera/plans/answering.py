@@ -128,7 +128,7 @@ def closure_input(spark, sf_dir):
     tiles = slicing.grid_tiles(strides)
     truth_cols = provenance.provenance_columns(lake, DIM_BLOCKS)
     hits = materialize(slicing.grid_hits(strides, provenance.provenance_rows(lake, DIM_BLOCKS), truth_cols), "hits")
-    ranked = retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truth_cols)
+    ranked = materialize(retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truth_cols), "ranked")
     spans = tiles.select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
     return ranked, spans, packing.row_tokens(packing.wide_rows(lake))
 
