@@ -19,36 +19,43 @@ WORD = 62
 BLOCK = 65_536
 TABLE = ["lake", "table_name"]
 SPAN = [*TABLE, "tile_id", "row_lo", "row_hi", "cols"]
+_UNIT = "single_rows"
 
 
-def explode_range(df: DataFrame, count: Column, out: str, block: int = BLOCK) -> DataFrame:
+def explode_range(df: DataFrame, count: Column, out: str, spread: bool = True, block: int = BLOCK) -> DataFrame:
     """One output row per number 0..count-1.
 
-    Long ranges are cut into blocks and spread over the cluster before they are unrolled, so a
-    single input row never makes one task produce an unbounded number of rows.
+    With ``spread`` ranges are cut into blocks, and the blocks are distributed before they are
+    unrolled, so a single input row never makes one task produce an unbounded number of rows. The
+    partition count is explicit: block rows are tiny, and sizing by bytes would put them together
+    again. Pass ``spread=False`` where ranges are known to be short.
     """
-    tagged = df.withColumn("_n", count.cast("long"))
-    short = tagged.filter(F.col("_n").between(1, block)).withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    blocks = (
-        tagged.filter(F.col("_n") > block)
-        .withColumn("_start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(block).cast("long"))))
-        .repartition(F.xxhash64("_start", *df.columns))
-    )
-    long = blocks.withColumn(
-        out, F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + block, F.col("_n")) - 1))
-    ).drop("_start")
-    return short.unionByName(long).drop("_n")
+    zero = F.lit(0).cast("long")
+    tagged = df.withColumn("_n", count.cast("long")).filter("_n > 0")
+    if not spread:
+        return tagged.withColumn(out, F.explode(F.sequence(zero, F.col("_n") - 1))).drop("_n")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = tagged.withColumn("_start", F.explode(F.sequence(zero, F.col("_n") - 1, F.lit(block).cast("long"))))
+    placed = blocks.repartition(tasks, F.xxhash64("_start", *df.columns))
+    last = F.least(F.col("_start") + block, F.col("_n")) - 1
+    return placed.withColumn(out, F.explode(F.sequence(F.col("_start"), last))).drop("_n", "_start")
+
+
+def _has_unit_spans(spans: DataFrame) -> bool:
+    return bool(spans.schema["row_lo"].metadata.get(_UNIT))
 
 
 def expand_rows(spans: DataFrame) -> DataFrame:
-    """Span frame to one row per covered table row (``row_id``)."""
-    rows = explode_range(spans, F.col("row_hi") - F.col("row_lo"), "_i")
+    """Span frame to one row per covered table row (``row_id``); nothing is moved for spans made of single rows."""
+    rows = explode_range(spans, F.col("row_hi") - F.col("row_lo"), "_i", spread=not _has_unit_spans(spans))
     return rows.withColumn("row_id", F.col("row_lo") + F.col("_i")).drop("_i", "row_lo", "row_hi")
 
 
 def rows_to_spans(rows: DataFrame) -> DataFrame:
-    """One span per ``row_id``."""
-    return rows.withColumn("row_lo", F.col("row_id")).withColumn("row_hi", F.col("row_id") + 1).drop("row_id")
+    """One span per ``row_id``. The column is marked, so that expanding it again needs no distribution."""
+    low = F.col("row_id").alias("row_lo", metadata={_UNIT: True})
+    others = [c for c in rows.columns if c != "row_id"]
+    return rows.select(*others, low, (F.col("row_id") + 1).alias("row_hi"))
 
 
 def column_words(cols: Column) -> Column:

@@ -63,7 +63,7 @@ def block_of(position: Column, stride: Column) -> Column:
 def grid_tiles(strides: DataFrame) -> DataFrame:
     """The tiles of a grid as a span frame (one span per tile)."""
     row_blocks = explode_range(strides, F.ceil(F.col("n_rows") / F.col("row_stride")), "row_block")
-    blocks = explode_range(row_blocks, F.ceil(F.col("n_cols") / F.col("col_stride")), "col_block")
+    blocks = explode_range(row_blocks, F.ceil(F.col("n_cols") / F.col("col_stride")), "col_block", spread=False)
     row_lo = F.col("row_block") * F.col("row_stride")
     row_hi = F.least(row_lo + F.col("row_stride"), F.col("n_rows"))
     col_lo = F.col("col_block") * F.col("col_stride")

@@ -60,8 +60,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LAKES: dict[tuple, Lake] = {}
+
+
 def star_lake(spark: SparkSession, sf_dir: str, names: list[str] = STAR, lake: str = "star") -> Lake:
-    return Lake(lake, {n: read_table(spark, f"{sf_dir}/{n}.parquet") for n in names})
+    """One lake object per session, so that files are listed and counted once."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, tuple(names), lake)
+    if key not in _LAKES:
+        _LAKES[key] = Lake(lake, {n: read_table(spark, f"{sf_dir}/{n}.parquet") for n in names})
+    return _LAKES[key]
 
 
 def dims_lake(spark: SparkSession, sf_dir: str) -> Lake:

@@ -22,6 +22,7 @@ class Lake:
 
     name: str
     tables: Mapping[str, DataFrame] = field(default_factory=dict)
+    _known: dict = field(default_factory=dict, compare=False, repr=False)  # catalog, once it has been read
 
     def columns(self, table: str) -> list[str]:
         return [c for c in self.tables[table].columns if c != ROW_ID]
@@ -66,8 +67,10 @@ def catalog(lake: Lake) -> DataFrame:
     """(lake, table_name, n_rows, n_cols, num_cells), one row per table.
 
     The row counts come from one job over the file footers; the result is a local relation, so
-    the planner knows its size in every later join.
+    the planner knows its size in every later join. It is read once per lake object.
     """
+    if "catalog" in lake._known:
+        return lake._known["catalog"]
     parts = [
         df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows")
         for t, df in lake.tables.items()
@@ -80,7 +83,8 @@ def catalog(lake: Lake) -> DataFrame:
         n_cols = len(lake.columns(r["table_name"]))
         rows.append((lake.name, r["table_name"], r["n_rows"], n_cols, r["n_rows"] * n_cols))
     schema = "lake string, table_name string, n_rows long, n_cols int, num_cells long"
-    return lake.any_session().createDataFrame(rows, schema)
+    lake._known["catalog"] = lake.any_session().createDataFrame(rows, schema)
+    return lake._known["catalog"]
 
 
 def column_catalog(lake: Lake) -> DataFrame:

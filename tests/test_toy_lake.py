@@ -109,6 +109,9 @@ def test_wide_column_sets_use_several_words(spark):
 def test_long_ranges_are_blocked(spark):
     df = spark.createDataFrame([("a", 10), ("b", 3), ("c", 0)], "k string, n long")
     found = rectangles.explode_range(df, F.col("n"), "i", block=4)
+    assert sorted((r["k"], r["i"]) for r in rectangles.explode_range(df, F.col("n"), "i", spread=False).collect()) == sorted(
+        (r["k"], r["i"]) for r in found.collect()
+    )
     assert sorted((r["k"], r["i"]) for r in found.collect()) == sorted([("a", i) for i in range(10)] + [("b", i) for i in range(3)])
 
 
