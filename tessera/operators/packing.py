@@ -125,6 +125,37 @@ def row_tokens(rows: DataFrame, count: Callable[[Column], Column] = token_count)
     )
 
 
+def tile_tokens(spans: DataFrame, tokens: DataFrame, budget: int) -> DataFrame:
+    """(lake, table_name, tile_id, tokens): what each tile's text costs by itself.
+
+    Tiles with more cells than the budget get ``budget + 1`` without being looked at.
+    """
+    tile = [*TABLE, "tile_id"]
+    sizes = spans.groupBy(*tile).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("_cells"))
+    members = expand_rows(
+        spans.join(sizes.filter(F.col("_cells") <= budget), tile, "left_semi").select(*tile, "row_lo", "row_hi", "cols")
+    )
+    add = lambda array: F.aggregate(_pick(F.col(array), F.col("cols")), F.lit(0), lambda s, x: s + x)
+    commas = F.size("cols") - 1
+    lines = members.join(tokens, [*TABLE, "row_id"]).select(
+        *tile, (add("tokens") + commas).alias("_line"), (add("header_tokens") + commas).alias("_header")
+    )
+    prefix = token_count(tile_text(F.col("table_name"), F.lit("")))
+    costs = lines.groupBy(*tile).agg((F.sum("_line") + F.max("_header")).alias("_cost")).withColumn("_cost", F.col("_cost") + prefix)
+    return sizes.join(costs, tile, "left").select(*tile, F.coalesce("_cost", F.lit(budget + 1)).cast("long").alias("tokens"))
+
+
+def contexts(spans: DataFrame, rows: DataFrame, budget: int, order: str) -> DataFrame:
+    """(lake, gt_name, context): the texts of a question's tiles, a blank line between them, in ``order``.
+
+    The tiles of a question were packed into ``budget`` tokens before, which bounds its text.
+    """
+    texts = linearize_tiles(spans, rows, budget, QUESTION)
+    placed = texts.join(spans.groupBy(*QUESTION, *TABLE[1:], "tile_id").agg(F.min(order).alias("_at")), [*QUESTION, *TABLE[1:], "tile_id"])
+    parts = F.array_sort(F.collect_list(F.struct("_at", "tile_id", "text")))
+    return placed.groupBy(*QUESTION).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("context"))
+
+
 def pack_closure(ranked: DataFrame, spans: DataFrame, tokens: DataFrame, budget: int) -> DataFrame:
     """The same walk, but tiles of one table are merged to their closure before the fit is tested.
 

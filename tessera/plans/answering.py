@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
 from tessera.operators import evaluation, packing, provenance, requests, retrieval, slicing
-from tessera.plans.corpus import DIM_BLOCKS, STAR_COLUMNS, TOKEN, dims_lake, order_cells, sql_order_cells, sql_tables, star_lake, table
+from tessera.plans.corpus import DIM_BLOCKS, EMBEDDER, STAR_COLUMNS, TOKEN, dims_lake, order_cells, sql_order_cells, sql_tables, star_lake, table
 from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents
 from tessera.plans.registry import query
 from tessera.session import materialize
 from tessera.sources.lake import catalog, catalog_of_cells
 from tessera.streaming.rates import flag_limits, windowed_rate
+from tessera.workflows import AnswerConfig, select_context
 
 
 def _sql_field(expr: str) -> str:
@@ -139,6 +140,17 @@ def pack_closure(spark, sf_dir):
     return packed.select("gt_name", "used", F.array_join("ranks", ",").alias("ranks"), "n_tables", "n_cells")
 
 
+@query("answer_contexts")
+def answer_contexts(spark, sf_dir):
+    """Every benchmark text asked of the dimension tables: retrieve, pack, merge, linearise."""
+    questions = table(spark, sf_dir, "benchmark").select(
+        F.lit("dims").alias("lake"), F.concat(F.lit("question-"), F.col("item_id")).alias("gt_name"), F.col("text").alias("information_need")
+    )
+    config = AnswerConfig(tiles_per_table=50, context_tokens=500, embedder=EMBEDDER)
+    context, _ = select_context(dims_lake(spark, sf_dir), questions, config)
+    return context.select("gt_name", token_count(F.col("context")).alias("tokens"), F.md5("context").alias("context_md5"))
+
+
 _SQL_QUESTIONS = (
     f"{SQL_RANKED}, inst as (select r.lake, r.gt_name, b.text as need, d.text as context, d.lang || ' ' || d.n_chars as answer from ranked r"
     " join benchmark b on 'question-' || b.item_id = r.gt_name join documents d on 'doc-' || d.doc_id = r.tile_id where rank = 1)"

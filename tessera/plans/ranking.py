@@ -111,7 +111,7 @@ _SQL_PERFECT = (
     " t as (select table_name, n_rows, n_cols, s, unnest(range(0, ceil(n_rows / s)::bigint)) as b from g),"
     " sizes as (select table_name || '/' || b || '/0' as tile_id, (least((b + 1) * s, n_rows) - b * s) * n_cols as num_cells from t),"
     " hits as (select gt_name, table_name || '/' || (row_id // s) || '/0' as tile_id, count(*) as num_in from truth_rows join truth_cols using (gt_name, table_name) join g using (table_name) group by all),"
-    " names as (select distinct gt_name from truth_rows), d as (select gt_name, tile_id, 1.0::double - coalesce(num_in, 0) / num_cells as distance from names cross join sizes left join hits using (gt_name, tile_id))"
+    " names as (select distinct gt_name from truth_cols), d as (select gt_name, tile_id, 1.0::double - coalesce(num_in, 0) / num_cells as distance from names cross join sizes left join hits using (gt_name, tile_id))"
 )
 
 
@@ -125,7 +125,7 @@ def retrieve_perfect(spark, sf_dir):
     tiles = slicing.grid_tiles(strides).select("lake", "tile_id", "num_cells")
     truth_cols = provenance_columns(lake, BLOCKS)
     hits = materialize(slicing.grid_hits(strides, provenance_rows(lake, BLOCKS), truth_cols), "hits")
-    found = retrieval.retrieve_perfect(hits, tiles, truth_cols.filter("gt_name <> 'no-such-parts'"))
+    found = retrieval.retrieve_perfect(hits, tiles, truth_cols)
     return found.select("gt_name", "tile_id", F.round("distance", 9).alias("distance"), "rank")
 
 
