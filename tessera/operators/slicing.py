@@ -157,13 +157,21 @@ def grid_hits(strides: DataFrame, truth_rows: DataFrame, truth_cols: DataFrame)
     )
 
 
-def tile_confusion(tile_sizes: DataFrame, hits: DataFrame, lake_cells: DataFrame, config: Sequence[str] = ()) -> DataFrame:
-    """The same for arbitrary tiles: ``hits`` holds num_in per touched (tile, truth), see ``tile_hits``."""
+def tile_confusion(
+    tile_sizes: DataFrame, hits: DataFrame, lake_cells: DataFrame, truths: DataFrame, config: Sequence[str] = ()
+) -> DataFrame:
+    """The same for arbitrary tiles: ``hits`` holds num_in per touched (tile, truth), see ``tile_hits``.
+
+    ``truths (lake, gt_name, config)`` lists all ground truths; one that touches no tile counts too.
+    """
     keys = ["lake", "gt_name", *config]
     touched = hits.join(tile_sizes, ["lake", *config, "tile_id"])
+    counts = touched.groupBy(*keys).agg(F.sum("num_in").alias("TP"), F.sum(F.col("num_cells") - F.col("num_in")).alias("FP"))
     return (
-        touched.groupBy(*keys)
-        .agg(F.sum("num_in").alias("TP"), F.sum(F.col("num_cells") - F.col("num_in")).alias("FP"))
+        truths.select(*keys)
+        .distinct()
+        .join(counts, keys, "left")
+        .fillna(0, ["TP", "FP"])
         .join(lake_cells, "lake")
         .select(
             *keys, "TP", "FP",

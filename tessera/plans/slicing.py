@@ -218,11 +218,12 @@ def slice_divisive_confusion(spark, sf_dir):
     tables, tiles, members = _divisive(spark, sf_dir, cells)
     spans = divisive.tile_spans(members)
     rows = provenance.provenance_rows(lake, DIM_BLOCKS)
-    truths = rows_to_spans(rows.join(provenance.provenance_columns(lake, DIM_BLOCKS), ["lake", "gt_name", "table_name"]))
+    truth_cols = provenance.provenance_columns(lake, DIM_BLOCKS)
+    truths = rows_to_spans(rows.join(truth_cols, ["lake", "gt_name", "table_name"]))
     hits = tile_hits(spans, truths, ["tile_id", "table_name"], ["gt_name"])
     hits = hits.withColumn("tile_id", F.concat_ws("/", "table_name", "tile_id"))
     sizes = tile_sizes(spans).select("lake", F.concat_ws("/", "table_name", "tile_id").alias("tile_id"), "num_cells")
     lake_cells = tables.groupBy("lake").agg(F.sum("num_cells").alias("lake_cells"))
-    return add_confusion_scores(slicing.tile_confusion(sizes, hits, lake_cells))
+    return add_confusion_scores(slicing.tile_confusion(sizes, hits, lake_cells, truth_cols))
 
 

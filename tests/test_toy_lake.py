@@ -79,7 +79,7 @@ def test_slicing_confusion(toy, slicer, tpt, expected):
     # the same from explicit tiles
     spans = slicing.grid_tiles(strides)
     hits = rectangles.tile_hits(spans, ground_truth_tiles(toy, G0), ["tile_id"], ["gt_name"])
-    explicit = one(slicing.tile_confusion(spans.select("lake", "tile_id", "num_cells"), hits, strides.select("lake", "lake_cells").distinct()))
+    explicit = one(slicing.tile_confusion(spans.select("lake", "tile_id", "num_cells"), hits, strides.select("lake", "lake_cells").distinct(), provenance_columns(toy, G0)))
     assert (explicit["TP"], explicit["FP"], explicit["TN"]) == expected
 
 
