@@ -37,6 +37,13 @@ def l2_normalize(v: Column) -> Column:
     return scaled[0]
 
 
+def _add(terms: list[Column]) -> Column:
+    acc = terms[0]
+    for term in terms[1:]:
+        acc = acc + term
+    return acc
+
+
 def weighted_mean(parts: Sequence[tuple[Column, float]], dim: int | None = None) -> Column:
     """Sum of weight * vector over the sum of weights; one part is returned as it is.
 
@@ -47,15 +54,15 @@ def weighted_mean(parts: Sequence[tuple[Column, float]], dim: int | None = None)
     if len(parts) == 1:
         return parts[0][0]
     total = F.lit(float(sum(w for _, w in parts)))
+    if dim is not None and dim <= _CODEGEN_DIMS:
+        return F.array(*[_add([v[i] * F.lit(float(w)) for v, w in parts]) / total for i in range(dim)])
+    return F.transform(weighted_sum(parts), lambda x: x / total)
 
-    def add(terms: list[Column]) -> Column:
-        acc = terms[0]
-        for term in terms[1:]:
-            acc = acc + term
-        return acc
 
+def weighted_sum(parts: Sequence[tuple[Column, float]], dim: int | None = None) -> Column:
+    """Sum of weight * vector."""
     if dim is not None and dim <= _CODEGEN_DIMS:
-        return F.array(*[add([v[i] * F.lit(float(w)) for v, w in parts]) / total for i in range(dim)])
+        return F.array(*[_add([v[i] * F.lit(float(w)) for v, w in parts]) for i in range(dim)])
 
     def scale(vec: Column, weight: float) -> Column:
         return F.transform(vec, lambda x: x * F.lit(weight))
@@ -63,7 +70,7 @@ def weighted_mean(parts: Sequence[tuple[Column, float]], dim: int | None = None)
     acc = scale(parts[0][0], float(parts[0][1]))
     for vec, weight in parts[1:]:
         acc = F.zip_with(acc, scale(vec, float(weight)), lambda x, y: x + y)
-    return F.transform(acc, lambda x: x / total)
+    return acc
 
 
 def hashed_text(dim: int = 16) -> TextModel:

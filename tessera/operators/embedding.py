@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import embedding_text, normalize_name, value_text
-from tessera.functions.vectors import TextModel, hashed_text, mean_vector, weighted_mean, zero_vector
+from tessera.functions.vectors import TextModel, hashed_text, mean_vector, weighted_mean, weighted_sum, zero_vector
 from tessera.operators.rectangles import TABLE
 from tessera.operators.slicing import CONFIG, assign_to_grid
 from tessera.operators.tiles import tile_cells
@@ -92,8 +92,17 @@ def _check(component: str, embedder: Embedder, known: Mapping[str, Sequence[str]
     return weights
 
 
-def _with_parts(cells: DataFrame, weights: Mapping[str, float], embedder: Embedder, ready: Mapping[str, str]) -> DataFrame:
-    """Add ``_vec``: the weighted combination of the parts of each cell. ``ready`` names parts that are columns already."""
+def _divided(vec: Column, n: float) -> Column:
+    return vec if n == 1 else F.transform(vec, lambda x: x / F.lit(float(n)))
+
+
+def _with_parts(
+    cells: DataFrame, weights: Mapping[str, float], embedder: Embedder, ready: Mapping[str, str]
+) -> tuple[DataFrame, float]:
+    """Add ``_vec``, the weighted sum of the parts of each cell; returns also the sum of the weights.
+
+    ``ready`` names parts that are columns already. The division is left to after the pooling.
+    """
     texts = {
         "cell-values": embedding_text(F.col("value")),
         "col-names": normalize_name(F.col("col_name"), embedder.preprocess_names),
@@ -107,13 +116,15 @@ def _with_parts(cells: DataFrame, weights: Mapping[str, float], embedder: Embedd
             column = f"_part{i}"
             df = embed_texts(df, texts[part], column, embedder)
         parts.append((F.col(column), float(weight)))
-    return df.withColumn("_vec", weighted_mean(parts, embedder.dim))
+    if len(parts) == 1:
+        return df.withColumn("_vec", parts[0][0]), 1.0
+    return df.withColumn("_vec", weighted_sum(parts, embedder.dim)), float(sum(w for _, w in parts))
 
 
-def _pooled(df: DataFrame, keys: Sequence[str], finest: bool, dim: int) -> DataFrame:
-    if finest:
-        return df.select(*keys, F.col("_vec").alias("vec"))
-    return mean_vector(df, keys, "_vec", dim)
+def _pooled(summed: tuple[DataFrame, float], keys: Sequence[str], finest: bool, dim: int) -> DataFrame:
+    df, total = summed
+    pooled = df.select(*keys, F.col("_vec").alias("vec")) if finest else mean_vector(df, keys, "_vec", dim)
+    return pooled.withColumn("vec", _divided(F.col("vec"), total))
 
 
 def embed_table(cells: DataFrame, component: str, embedder: Embedder) -> DataFrame:
@@ -123,10 +134,6 @@ def embed_table(cells: DataFrame, component: str, embedder: Embedder) -> DataFra
     return _pooled(combined, TABLE_KEYS[component], component == "table-cells", embedder.dim)
 
 
-def _divided(vec: Column, n: int) -> Column:
-    return F.transform(vec, lambda x: x / F.lit(float(n)))
-
-
 def embed_wide_rows(lake: Lake, embedder: Embedder) -> DataFrame:
     """``table-rows`` vectors straight from wide tables: a projection per row, nothing is shuffled."""
     weights = _check("table-rows", embedder, TABLE_KEYS)
@@ -193,15 +200,21 @@ def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder) -
         raise ValueError("only table-rows may be pooled from the parent table here; use embed_tiles")
     tile_key = [*TABLE, *CONFIG, "row_block", "col_block"]
     assigned = assign_to_grid(cells, strides)
-    own = mean_vector(_with_parts(assigned, weights, embedder, {}), tile_key, "_vec", embedder.dim, "own")
+    cells_sum, own_weight = _with_parts(assigned, weights, embedder, {})
+    own = mean_vector(cells_sum, tile_key, "_vec", embedder.dim, "own")
     tile_id = F.concat_ws("/", "table_name", "row_block", "col_block").alias("tile_id")
     if row_weight is None:
-        return own.select(*tile_key, tile_id, F.col("own").alias("vec"))
+        return own.select(*tile_key, tile_id, _divided(F.col("own"), own_weight).alias("vec"))
     row_weights = _check("table-rows", embedder, TABLE_KEYS)
     block_key = [*TABLE, *CONFIG, "row_block"]
-    blocks = mean_vector(_with_parts(assigned, row_weights, embedder, {}), block_key, "_vec", embedder.dim, "rows")
-    parts = [(F.col("own"), float(sum(weights.values()))), (F.col("rows"), float(row_weight))]
-    return own.join(blocks, block_key).select(*tile_key, tile_id, weighted_mean(parts, embedder.dim).alias("vec"))
+    rows_sum, rows_weight = _with_parts(assigned, row_weights, embedder, {})
+    blocks = mean_vector(rows_sum, block_key, "_vec", embedder.dim, "rows")
+    if len(weights) == 1:  # a single part comes without its weight
+        own_weight = float(sum(weights.values()))
+        own = own.withColumn("own", F.transform("own", lambda x: x * F.lit(own_weight)))
+    both = F.zip_with("own", "rows", lambda x, y: x + y * F.lit(float(row_weight) / rows_weight))
+    vec = _divided(both, own_weight + float(row_weight))
+    return own.join(blocks, block_key).select(*tile_key, tile_id, vec.alias("vec"))
 
 
 def embed_zero(components: DataFrame, keys: Sequence[str], dim: int = 10) -> DataFrame:

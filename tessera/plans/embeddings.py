@@ -68,16 +68,12 @@ def embed_table_rows_of_cells(spark, sf_dir):
     return _out(embedding.embed_table(melt(dims_lake(spark, sf_dir)), "table-rows", EMBEDDER), "table_name", "row_id")
 
 
-@query("embed_table_cols", f"with {_CELL_PARTS}, p as (select table_name, col_pos, " + ", ".join(f"(avg(c{i}) + any_value(n{i})) / 2 as v{i}" for i in R) + f" from parts group by table_name, col_pos) select table_name, col_pos, {_rounded()} from p")
+@query("embed_table_cols", f"with {_CELL_PARTS}, p as (select table_name, col_pos, " + ", ".join(f"avg(c{i} + n{i}) / 2 as v{i}" for i in R) + f" from parts group by table_name, col_pos) select table_name, col_pos, {_rounded()} from p")
 def embed_table_cols(spark, sf_dir):
     return _out(embedding.embed_table(melt(dims_lake(spark, sf_dir)), "table-cols", EMBEDDER), "table_name", "col_pos")
 
 
-_SQL_COLS = "cols as (select table_name, col_pos, " + ", ".join(f"any_value(n{i}) as n{i}" for i in R) + " from parts group by table_name, col_pos), names as (select table_name, " + ", ".join(f"avg(n{i}) as n{i}" for i in R) + " from cols group by table_name)"
-_SQL_TABLE = (
-    f"{_SQL_COLS}, vals as (select table_name, " + ", ".join(f"avg(c{i}) as c{i}, any_value(t{i}) as t{i}" for i in R) + " from parts group by table_name), tab as (select table_name, "
-    + ", ".join(f"(2 * t{i} + n{i} + c{i}) / 4 as v{i}" for i in R) + " from vals join names using (table_name))"
-)
+_SQL_TABLE = "tab as (select table_name, " + ", ".join(f"avg(2 * t{i} + n{i} + c{i}) / 4 as v{i}" for i in R) + " from parts group by table_name)"
 
 
 @query("embed_table", f"with {_CELL_PARTS}, {_SQL_TABLE} select table_name, {_rounded()} from tab")
@@ -134,16 +130,14 @@ _TPT = 50
 _SQL_GRID_TILES = (
     f"{_CELL_PARTS}, {sql_catalog(DIMS, 'dims')}, g as (select table_name, ceil(n_rows / (1 + ({_TPT - 1} * (select count(*) from tables) * num_cells) // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
     " a as (select parts.*, row_id // s as b from parts join g using (table_name)), cellmean as (select table_name, b, "
-    + ", ".join(f"avg(c{i}) as c{i}, avg(n{i}) as n{i}, any_value(t{i}) as t{i}" for i in R) + " from a group by table_name, b),"
-    " rowvec as (select table_name, b, row_id, " + ", ".join(f"avg(c{i}) as r{i}" for i in R) + " from a group by table_name, b, row_id),"
-    " rowmean as (select table_name, b, " + ", ".join(f"avg(r{i}) as r{i}" for i in R) + " from rowvec group by table_name, b)"
+    + ", ".join(f"avg(4 * t{i} + n{i} + c{i}) as o{i}, avg(c{i}) as r{i}" for i in R) + " from a group by table_name, b)"
 )
 
 
 @query(
     "tile_embedding",
     f"with {_SQL_GRID_TILES} select table_name, table_name || '/' || b || '/0' as tile_id, "
-    + ", ".join(f"round((4 * t{i} + n{i} + c{i} + 2 * r{i}) / 8, 6) + 0.0 as v{i}" for i in R) + " from cellmean join rowmean using (table_name, b)",
+    + ", ".join(f"round((o{i} + 2 * r{i}) / 8, 6) + 0.0 as v{i}" for i in R) + " from cellmean",
 )
 def tile_embedding(spark, sf_dir):
     lake = dims_lake(spark, sf_dir)
@@ -167,7 +161,7 @@ def _truth_vectors(spark, sf_dir, component):
 
 @query(
     "truth_tile_embedding",
-    f"with {_SQL_TRUTH_CELLS} select gt_name, table_name, " + ", ".join(f"round(avg((4 * t{i} + n{i} + c{i} + 2 * r{i}) / 8), 6) + 0.0 as v{i}" for i in R)
+    f"with {_SQL_TRUTH_CELLS} select gt_name, table_name, " + ", ".join(f"round(avg(4 * t{i} + n{i} + c{i} + 2 * r{i}) / 8, 6) + 0.0 as v{i}" for i in R)
     + " from inside join rv using (table_name, row_id) group by gt_name, table_name",
 )
 def truth_tile_embedding(spark, sf_dir):
@@ -184,7 +178,7 @@ def tile_rows_embedding(spark, sf_dir):
 
 @query(
     "tile_cols_embedding",
-    f"with {_SQL_TRUTH_CELLS} select gt_name, table_name, col_pos, " + ", ".join(f"round((avg(c{i}) + any_value(n{i})) / 2, 6) + 0.0 as v{i}" for i in R) + " from inside group by gt_name, table_name, col_pos",
+    f"with {_SQL_TRUTH_CELLS} select gt_name, table_name, col_pos, " + ", ".join(f"round(avg(c{i} + n{i}) / 2, 6) + 0.0 as v{i}" for i in R) + " from inside group by gt_name, table_name, col_pos",
 )
 def tile_cols_embedding(spark, sf_dir):
     return _out(_truth_vectors(spark, sf_dir, "tile-cols"), "gt_name", "table_name", "col_pos")
