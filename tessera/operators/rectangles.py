@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 WORD = 62
 BLOCK = 65_536
 TABLE = ["lake", "table_name"]
-SPAN = [*TABLE, "tile_id", "row_lo", "row_hi", "cols"]
 _UNIT = "single_rows"
 
 
