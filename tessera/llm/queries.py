@@ -2,9 +2,12 @@
 
 from tessera.llm import (  # noqa: F401
     byte_bpe,
+    embedding_dedup,
+    language,
     packing,
     simhash_dedup,
     token_files,
+    warc,
 )
 from tessera.llm.registry import QUERIES, SQL
 
