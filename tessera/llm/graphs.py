@@ -26,6 +26,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+#: Rows up to which the small side of a join is sent to all executors instead of shuffling the large side.
+SENT_ROWS = 500_000
+
+
+def with_few(large: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """``large.join(few, on, how)`` for a written ``few``: counted first, and broadcast if it is small."""
+    return large.join(F.broadcast(few) if few.count() <= SENT_ROWS else few, on, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node of ``edges(a, b)``; the component is its smallest node.
 
@@ -60,10 +69,10 @@ def bucket_components(
     inside one component are never formed, so large groups of near copies stay linear.
     """
     check = verify or (lambda pairs: pairs)
-    keys = materialize(
-        postings.groupBy("key").agg(F.min(F.struct("node", "print")).alias("rep"), F.max("node").alias("last"))
-        .where("rep.node <> last").select("key", "rep"), "keys")
-    members = materialize(postings.join(keys, "key").select("key", "node", "print", "rep"), "members")
+    keys = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    shared = materialize(postings.join(keys, "key"), "shared")
+    reps = materialize(shared.groupBy("key").agg(F.min(F.struct("node", "print")).alias("rep")), "reps")
+    members = shared.join(reps, "key")
     star = (
         members.where((F.col("node") != F.col("rep.node")) & close(F.col("print"), F.col("rep.print")))
         .select(F.col("rep.node").alias("a"), F.col("node").alias("b")).distinct()
@@ -71,7 +80,7 @@ def bucket_components(
     first = materialize(components(check(star)), "first")
 
     labelled = materialize(
-        members.drop("rep").join(first, "node", "left")
+        shared.join(first, "node", "left")
         .select("key", "node", "print", F.coalesce("component", "node").alias("component")), "labelled")
     sizes = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = materialize(

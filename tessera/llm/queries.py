@@ -4,9 +4,12 @@ from tessera.llm import (  # noqa: F401
     byte_bpe,
     embedding_dedup,
     language,
+    line_dedup,
     packing,
+    quality,
     simhash_dedup,
     token_files,
+    url_filter,
     warc,
 )
 from tessera.llm.registry import QUERIES, SQL
