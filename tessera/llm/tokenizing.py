@@ -8,20 +8,32 @@ from functools import lru_cache
 import numpy as np
 
 #: Units remembered in one worker; later ones are encoded each time they occur.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 
 class _Units(dict):
-    """Unit -> its ids as little-endian unsigned 32-bit integers; ``prefix`` stands before each unit when encoding."""
+    """Unit -> its ids as little-endian unsigned 32-bit integers; ``prefix`` stands before each unit when encoding.
 
-    def __init__(self, tokenizer, prefix: str):
+    A comma or full stop after a letter is a pre-token of its own before white space or the end, so a new unit that
+    ends so is put together from the unit without it. ``folded``: the tokenizer lowers its text itself.
+    """
+
+    def __init__(self, tokenizer, prefix: str, folded: bool = False):
         super().__init__()
-        self.tokenizer, self.prefix = tokenizer, prefix
+        self.tokenizer, self.prefix, self.folded = tokenizer, prefix, folded
+        self.marks = {m: self._encoded(m) for m in ",."}
+
+    def _encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def __missing__(self, unit: str | bytes) -> bytes:
         text = unit.decode() if isinstance(unit, bytes) else unit
-        ids = self.tokenizer.encode(self.prefix + text, add_special_tokens=False).ids if self.prefix or text else []
-        out = np.array(ids, dtype="<u4").tobytes()
+        if self.folded and isinstance(unit, bytes) and unit.lower() != unit:
+            out = self[unit.lower()]
+        elif text[-1:] in self.marks and text[-2:-1].isalpha():
+            out = self[unit[:-1]] + self.marks[text[-1]]
+        else:
+            out = self._encoded(self.prefix + text) if self.prefix or text else b""
         if len(self) < REMEMBERED:
             self[unit] = out
         return out
@@ -64,7 +76,7 @@ class WordIds:
     """Encoder for BPE files with word ends, whose pre-tokenizer drops white space: each word is encoded by itself."""
 
     def __init__(self, path: str):
-        self.words = _Units(_tokenizer(path), "")
+        self.words = _Units(_tokenizer(path), "", folded=True)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, text.encode().split()))
