@@ -13,15 +13,27 @@ CODE_FENCE = "```csv"
 def value_text(column: Column, data_type: T.DataType) -> Column:
     """A cell value as text, null for null.
 
-    Doubles keep the plain notation a dataframe prints for them (``12345678.5``, not ``1.23456785E7``).
+    Doubles are written as a dataframe prints them: plain from 1e-4 to 1e16 (``12345678.5``, not ``1.23456785E7``),
+    with a two-digit exponent elsewhere (``1e-05``, ``1.5e+16``).
     """
     text = column.cast("string")
     if not isinstance(data_type, (T.DoubleType, T.FloatType)):
         return text
     size = F.abs(column)
-    plain = F.regexp_replace(column.cast("decimal(38,10)").cast("string"), r"0+$", "")
+    without_zeros = lambda digits: F.regexp_replace(digits, r"0+$", "")
+    plain = without_zeros(column.cast("decimal(38,10)").cast("string"))
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    return F.when((size >= 1e7) & (size < 1e16), plain).otherwise(text)
+    small = without_zeros(text.cast("decimal(38,28)").cast("string"))
+    power = F.regexp_extract(text, "E(-?)([0-9]+)$", 2)
+    sign = F.when(text.contains("E-"), "e-").otherwise("e+")
+    short = F.concat(F.regexp_extract(text, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)", 1), sign, F.lpad(power, 2, "0"))
+    short = F.when(F.length(power) > 2, F.concat(F.regexp_extract(text, r"^(-?[0-9]+(?:\.[0-9]*[1-9])?)", 1), sign, power)).otherwise(short)
+    return (
+        F.when((size >= 1e7) & (size < 1e16), plain)
+        .when((size >= 1e-4) & (size < 1e-3), small)
+        .when(((size < 1e-4) & (size > 0)) | ((size >= 1e16) & (size < float("inf"))), short)
+        .otherwise(text)
+    )
 
 
 def embedding_text(value: Column) -> Column:

@@ -51,27 +51,22 @@ def _pick(values: Column, cols: Column) -> Column:
     return F.transform(cols, lambda c: F.element_at(values, c + 1))
 
 
-def linearize_tiles(spans: DataFrame, rows: DataFrame, max_cells: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Text of each tile (header, CSV rows).
+def linearize_tiles(spans: DataFrame, rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Number of cells and text (header, CSV rows) of each tile, whatever its size.
 
-    A tile with more than ``max_cells`` cells gets null instead: every cell is charged at least one
-    token (see ``row_tokens``), so with ``max_cells`` = token budget such a tile can never be used.
+    A text is one value, so a tile must fit into one; the header line is worked out once per tile.
     """
     group = list(dict.fromkeys([*keys, *TABLE, "tile_id"]))
-    sizes = spans.groupBy(*group).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("num_cells"))
-    fitting = sizes.filter(F.col("num_cells") <= max_cells).select(*group)
-    members = expand_rows(spans.join(fitting, group, "left_semi").select(*group, "row_lo", "row_hi", "cols"))
+    members = expand_rows(spans.select(*group, "row_lo", "row_hi", "cols"))
     lines = members.join(rows, [*TABLE, "row_id"]).select(
-        *group, "row_id",
-        csv_line_of_array(_pick(F.col("values"), F.col("cols"))).alias("line"),
-        csv_line_of_array(_pick(F.col("names"), F.col("cols"))).alias("header"),
-    )
-    # at most max_cells rows per tile
+        *group, "row_id", "cols", "names", csv_line_of_array(_pick(F.col("values"), F.col("cols"))).alias("line"))
     text = lines.groupBy(*group).agg(
-        F.max("header").alias("header"), F.array_sort(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
+        F.first(F.struct("cols", "names")).alias("_first"), F.array_sort(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
     )
-    csv = F.concat(F.col("header"), F.lit("\n"), F.array_join(F.col("_lines.line"), "\n"), F.lit("\n"))
+    header = csv_line_of_array(_pick(F.col("_first.names"), F.col("_first.cols")))
+    csv = F.concat(header, F.lit("\n"), F.array_join(F.col("_lines.line"), "\n"), F.lit("\n"))
     done = text.select(*group, tile_text(F.col("table_name"), csv).alias("text"))
+    sizes = spans.groupBy(*group).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("num_cells"))
     return sizes.join(done, group, "left")
 
 

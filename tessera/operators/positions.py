@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import materialize
 
-ONE_TASK_ROWS = 2_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
 
 
@@ -18,20 +17,14 @@ def dense_positions(
     order_by: Sequence[str],
     group_by: Sequence[str] = (),
     out: str = "row_id",
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of every row in ``order_by`` order within its group.
 
-    Up to ``one_task_rows`` rows this is a ``row_number`` window. Beyond, the rows are range
-    partitioned on (group, order, arrival number) - the last one splits runs of equal keys - and
-    written once; positions are then (offset of the partition) + (place in the partition), minus
-    the first position of the group. No group, however hot, is held by one task.
+    The rows are range partitioned on (group, order, arrival number) - the last one splits runs of
+    equal keys - and written once; positions are then (offset of the partition) + (place in the
+    partition), minus the first position of the group. No group, however hot, is held by one task.
     """
     order_by, group_by = list(order_by), list(group_by)
-    if df.count() <= one_task_rows:
-        window = Window.partitionBy(*group_by).orderBy(*order_by)
-        return df.withColumn(out, F.row_number().over(window).cast("long") - 1)
-
     tagged = df.withColumn("_arrival", F.monotonically_increasing_id())
     sort_keys = [*group_by, *order_by, "_arrival"]
     ordered = (
@@ -54,9 +47,12 @@ def dense_positions(
     placed = placed.drop("_part", "_local", "_offset")
     if not group_by:
         return placed
-    first = placed.groupBy(*group_by).agg(F.min(out).alias("_first"))
-    joined = placed.join(first, group_by)
-    return joined.withColumn(out, F.col(out) - F.col("_first")).drop("_first")
+    # written, so that both sides of the join are plain tables and hot groups are split
+    first = materialize(placed.groupBy(*group_by).agg(F.min(out).alias("_first")), "first")
+    keys = {g: f"_first_{g}" for g in group_by}  # null is a group like any other
+    first = first.withColumnsRenamed(keys)
+    joined = placed.join(first, [placed[g].eqNullSafe(first[k]) for g, k in keys.items()])
+    return joined.withColumn(out, F.col(out) - F.col("_first")).drop("_first", *keys.values())
 
 
 def hash_order(seed: int | str, *keys: Column) -> Column:

@@ -2,12 +2,13 @@
 
 A query is given as blocks, one per SELECT: its table, its WHERE predicate and the columns it
 mentions. Projection, grouping, ordering and limits of the query do not matter for provenance.
-Predicates are Spark SQL; ``{name}`` stands for a lake table, which allows subqueries.
+Predicates are Spark SQL; ``{name}`` stands for a table of the lake, which allows subqueries. All other braces are
+text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -29,15 +30,24 @@ class Block:
     predicate: str
     columns: tuple[str, ...]
 
-    @property
-    def has_subquery(self) -> bool:
-        return "{" in self.predicate
-
 
 def _tables(lake: Lake, text: str) -> dict[str, DataFrame]:
     return {name: df for name, df in lake.tables.items() if "{" + name + "}" in text}
 
 
+def has_subquery(lake: Lake, block: Block) -> bool:
+    return bool(_tables(lake, block.predicate))
+
+
+def _query(lake: Lake, text: str) -> DataFrame:
+    """Run a query in which ``{name}`` stands for a table of the lake and any other brace for itself."""
+    tables = _tables(lake, text)
+    escaped = text.replace("{", "{{").replace("}", "}}")
+    for name in tables:
+        escaped = escaped.replace("{{" + name + "}}", "{" + name + "}")
+    return lake.any_session().sql(escaped, **tables)
+
+
 def provenance_rows(lake: Lake, blocks: Sequence[Block]) -> DataFrame:
     """(lake, gt_name, table_name, row_id), every row once per ground truth.
 
@@ -45,14 +55,12 @@ def provenance_rows(lake: Lake, blocks: Sequence[Block]) -> DataFrame:
     subquery gets its own filter, which the optimizer turns into a semi-join. Rows are shuffled only
     for ground truths that read a table through more than one such part.
     """
-    spark = lake.any_session()
     parts = []
     sources: list[tuple[str, str]] = []  # (ground truth, table) of every part
     plain: dict[str, list[Block]] = {}
     for block in blocks:
-        if block.has_subquery:
-            query = "SELECT row_id FROM {" + block.table + "} WHERE " + block.predicate
-            part = spark.sql(query, **_tables(lake, query))
+        if has_subquery(lake, block):
+            part = _query(lake, "SELECT row_id FROM {" + block.table + "} WHERE " + block.predicate)
             parts.append(part.select(F.lit(block.gt_name).alias("gt_name"), F.lit(block.table).alias("table_name"), ROW_ID))
             sources.append((block.gt_name, block.table))
         else:
@@ -97,16 +105,20 @@ def ground_truth_tiles(lake: Lake, blocks: Sequence[Block]) -> DataFrame:
     )
 
 
-def answer_table(lake: Lake, answers: dict[str, str]) -> DataFrame:
+def answer_table(lake: Lake, answers: dict[str, str], ordered: Collection[str] = ()) -> DataFrame:
     """Answers of the original queries, in long form: (gt_name, col_pos, col_name, pos, value).
 
-    Rows are numbered in the order of all answer columns.
+    Answers named in ``ordered`` keep the order of their query, which then should have an ORDER BY; the rows of all
+    others are numbered in the order of their columns.
     """
-    spark = lake.any_session()
     parts = []
     for gt_name, query in answers.items():
-        answer = spark.sql(query, **_tables(lake, query))
-        numbered = dense_positions(answer, answer.columns, out="pos")
+        answer = _query(lake, query)
+        if gt_name in ordered:
+            # partitions of a sorted result follow each other, so arrival is the query's order
+            numbered = dense_positions(answer.withColumn("_at", F.monotonically_increasing_id()), ["_at"], out="pos").drop("_at")
+        else:
+            numbered = dense_positions(answer, answer.columns, out="pos")
         values = F.array(*[F.col(c).cast("string") for c in answer.columns])
         names = F.array(*[F.lit(c) for c in answer.columns])
         parts.append(

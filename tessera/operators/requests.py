@@ -56,10 +56,6 @@ def with_model(df: DataFrame) -> DataFrame:
     return joined.withColumns(checked).drop("_known")
 
 
-def unknown_models(df: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(models(df.sparkSession).select("model")), "model", "left_anti")
-
-
 def build_requests(
     instances: DataFrame, layout: str = "list", model: str = DEFAULT_MODEL, temperature: int = 0
 ) -> DataFrame:
@@ -151,15 +147,17 @@ def number_of_choices(best_of: Column, n: Column) -> Column:
 
 
 def response_costs(responses: DataFrame) -> DataFrame:
-    """Cost and total tokens of each response JSON; one without usage costs nothing."""
+    """Cost and total tokens of each response JSON; one without usage costs nothing, an unknown model fails the query.
+
+    A failed response names no model and has no usage.
+    """
     usage = responses.withColumn("model", F.get_json_object("response", "$.model"))
     p = F.get_json_object("response", "$.usage.prompt_tokens").cast("long")
     c = F.get_json_object("response", "$.usage.completion_tokens").cast("long")
-    known = F.broadcast(models(responses.sparkSession).select("model", "input_price", "output_price"))
-    joined = usage.join(known, "model", "left")
+    joined = with_model(usage)
     cost = p * (F.col("input_price") / 1000) + c * (F.col("output_price") / 1000)
     return joined.select(
-        *responses.columns, F.coalesce(p + c, F.lit(0)).alias("tokens_total"), F.coalesce(cost, F.lit(0.0)).alias("cost")
+        *responses.columns, F.coalesce(p + c, F.lit(0)).alias("tokens_total"), F.when(p.isNull() | c.isNull(), F.lit(0.0)).otherwise(cost).alias("cost")
     )
 
 
@@ -189,10 +187,11 @@ def rolling_rate(log: DataFrame, seconds: int, share: float | None = None) -> Da
     """Requests and tokens of the same model in the trailing window of every request.
 
     ``log (model, ts, tokens)``. The time axis of a model is cut into slots; a slot also receives
-    the rows of the ``seconds`` before it, so each window is complete inside its slot and a busy
-    model is worked on by as many tasks as it has slots.
+    the rows of the ``seconds`` before it, so each window is complete inside its slot. Slots are three
+    windows long: a third more rows, and a busy model is worked on by as many tasks as it has slots.
+    With ``share``, an unknown model fails the query.
     """
-    slot = max(3600, seconds)
+    slot = 3 * seconds
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     width, span = slot * 1_000_000, seconds * 1_000_000
     own = F.floor(at / width).cast("long")
@@ -206,8 +205,8 @@ def rolling_rate(log: DataFrame, seconds: int, share: float | None = None) -> Da
     kept = rated.filter(F.col("_slot") == F.col("_own")).drop("_at", "_own", "_slot")
     if share is None:
         return kept
-    limits = F.broadcast(models(log.sparkSession).select("model", "max_rpm", "max_tpm"))
-    limited = kept.join(limits, "model")
-    return limited.withColumn("over_rpm", F.col("n_requests") > F.col("max_rpm") * share).withColumn(
-        "over_tpm", F.col("n_tokens") > F.col("max_tpm") * share
-    ).drop("max_rpm", "max_tpm")
+    return with_model(kept).select(
+        *kept.columns,
+        (F.col("n_requests") > F.col("max_rpm") * share).alias("over_rpm"),
+        (F.col("n_tokens") > F.col("max_tpm") * share).alias("over_tpm"),
+    )

@@ -43,12 +43,12 @@ def linearize_csv(spark, sf_dir):
     "linearize_tiles",
     f"with {sql_order_cells()}, line as (select table_name, row_id, string_agg({_sql_field('value')}, ',' order by col_pos) as line, string_agg(col_name, ',' order by col_pos) as header from cells group by all),"
     " tile as (select table_name, count(*) * 4 as num_cells, any_value(header) as header, string_agg(line, chr(10) order by row_id) as body from line group by table_name)"
-    " select table_name, num_cells, case when num_cells <= 40 then 'table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10) end as text from tile",
+    " select table_name, num_cells, 'table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10) as text from tile",
 )
 def linearize_tiles(spark, sf_dir):
     cells = materialize(order_cells(spark, sf_dir), "cells")
     spans = slicing.grid_tiles(slicing.grid(catalog_of_cells(cells), [("none", 1)])).select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
-    return packing.linearize_tiles(spans, packing.table_rows(cells), max_cells=40).select("table_name", "num_cells", "text")
+    return packing.linearize_tiles(spans, packing.table_rows(cells)).select("table_name", "num_cells", "text")
 
 
 @query("linearize_list", "select doc_id, lang || ',' || source || ',' || n_chars as answer from documents")

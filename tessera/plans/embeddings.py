@@ -28,11 +28,11 @@ def _out(df, *keys):
 # all parts of every cell of the dims lake: value (c), column name (n), table name (t)
 _CELL_PARTS = (
     f"{sql_tables(DIMS)}, {sql_cells(DIMS, 'dims')}, parts as (select table_name, row_id, col_pos, "
-    + ", ".join(f"{sql_hash('coalesce(value, chr(110) || chr(97) || chr(110))', i)} as c{i}" for i in R) + ", "
+    + ", ".join(f"{sql_hash('value_or_nan', i)} as c{i}" for i in R) + ", "
     + ", ".join(f"{sql_hash(sql_name('col_name'), i)} as n{i}" for i in R) + ", "
     + ", ".join(f"{sql_hash(sql_name('table_name'), i)} as t{i}" for i in R)
     + " from cells)"
-).replace("coalesce(value, chr(110) || chr(97) || chr(110))", "coalesce(value, 'nan')")
+).replace("value_or_nan", "coalesce(value, 'nan')")
 
 
 @query("embed_text_hash", f"with {SQL_CHAT_CELLS} select lake, table_name, row_id, col_pos, " + ", ".join(f"{sql_hash('value', i)} as v{i}" for i in R) + " from cells")

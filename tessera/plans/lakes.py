@@ -105,8 +105,8 @@ def dedupe_table_names(spark, sf_dir):
     "ground_truth_load",
     "select lake, gt_name, partition, information_need, md5(data) as data_md5 from (select source as lake, 'ground-truth-' ||"
     " (row_number() over (partition by lang = 'en' order by doc_id) - 1) as gt_name, case when lang = 'en' then 'train-or-val' else 'test' end as partition,"
-    " lang || ' ' || n_chars as information_need, '{\"db_id\":\"' || source || '\",\"question\":\"' || lang || ' ' || n_chars ||"
-    " '\",\"query\":\"select ' || doc_id || '\"}' as data from documents)",
+    " lang || ' ' || n_chars as information_need, '{\"db_id\":\"' || source || '\",\"lang\":\"' || lang ||"
+    " '\",\"query\":\"select ' || doc_id || '\",\"question\":\"' || lang || ' ' || n_chars || '\"}' as data from documents)",
 )
 def ground_truth_load(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(
@@ -115,7 +115,7 @@ def ground_truth_load(spark, sf_dir):
     )
     root = os.path.join(checkpoint_dir(spark), f"questions-{uuid.uuid4().hex}")
     for name, part in (("train", docs.filter("lang = 'en'")), ("dev", docs.filter("lang <> 'en'"))):
-        part.sort("doc_id").drop("lang", "doc_id").write.json(f"{root}/{name}")
+        part.sort("doc_id").drop("doc_id").write.json(f"{root}/{name}")
     groups = {"train-or-val": f"{root}/train", "test": f"{root}/dev"}
     loaded = ground_truth.load_ground_truths(spark, groups)
     return loaded.select("lake", "gt_name", "partition", "information_need", F.md5("data").alias("data_md5"))

@@ -11,8 +11,8 @@ from tessera.plans.corpus import (
 from tessera.plans.registry import query
 from tessera.sources import ground_truth
 
-_PLAIN = [b for b in BLOCKS if not b.has_subquery]
-_NESTED = [b for b in BLOCKS if b.has_subquery]
+_PLAIN = [b for b in BLOCKS if "{" not in b.predicate]
+_NESTED = [b for b in BLOCKS if "{" in b.predicate]
 
 
 @query("provenance_rows", f"with {sql_tables()}, {sql_truth_rows(_PLAIN)} select gt_name, table_name, row_id from truth_rows")
@@ -50,10 +50,12 @@ _ANSWERS = {
     "asia-nations": "SELECT n_name FROM {nation} WHERE n_regionkey IN (SELECT r_regionkey FROM {region} WHERE r_name = 'ASIA')",
     "parts-of-brand": "SELECT p_brand, p_type, max(p_size) AS largest FROM {part} GROUP BY p_brand, p_type",
     "big-spenders": "SELECT c_custkey, count(*) AS n FROM {customer} JOIN {orders} ON o_custkey = c_custkey WHERE o_totalprice > 450000 GROUP BY c_custkey",
+    "last-customers": "SELECT c_custkey, c_name FROM {customer} ORDER BY c_name DESC LIMIT 10",
 }
+_ORDERED = {"last-customers": "c_name DESC"}
 _ANSWER_COLUMNS = {
     "orders-per-priority": ["o_orderpriority", "n"], "asia-nations": ["n_name"], "parts-of-brand": ["p_brand", "p_type", "largest"],
-    "big-spenders": ["c_custkey", "n"],
+    "big-spenders": ["c_custkey", "n"], "last-customers": ["c_custkey", "c_name"],
 }
 
 
@@ -64,7 +66,7 @@ def _answer_sql() -> str:
         cols = _ANSWER_COLUMNS[gt]
         for i, c in enumerate(cols):
             parts.append(
-                f"select '{gt}' as gt_name, {i} as col_pos, '{c}' as col_name, row_number() over (order by {', '.join(cols)}) - 1 as pos,"
+                f"select '{gt}' as gt_name, {i} as col_pos, '{c}' as col_name, row_number() over (order by {_ORDERED.get(gt, ', '.join(cols))}) - 1 as pos,"
                 f" {c}::varchar as value from ({plain})"
             )
     return " union all ".join(parts)
@@ -72,7 +74,7 @@ def _answer_sql() -> str:
 
 @query("answer_table", _answer_sql())
 def answer_table(spark, sf_dir):
-    return provenance.answer_table(star_lake(spark, sf_dir), _ANSWERS)
+    return provenance.answer_table(star_lake(spark, sf_dir), _ANSWERS, _ORDERED)
 
 
 # every part is a query: its type names a table of the lake of its brand, its name a column

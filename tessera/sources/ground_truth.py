@@ -11,12 +11,17 @@ GT_PREFIX = "ground-truth-"
 
 
 def load_ground_truths(
-    spark: SparkSession, groups: dict[str, str], schema: str = "db_id string, question string, query string"
+    spark: SparkSession, groups: dict[str, str], schema: str | None = None, multi_line: bool = False
 ) -> DataFrame:
-    """Question files (glob -> partition name) as ground truths, numbered per partition in file order."""
+    """Question files (partition name -> glob) as ground truths, numbered per partition in file order.
+
+    ``multi_line`` reads files that hold one JSON array each; otherwise a line is a record. Without ``schema`` all
+    fields of the records are found and kept in ``data``. A file that cannot be read as such fails the query.
+    """
     parts = []
     for partition, path in groups.items():
-        records = spark.read.schema(schema).json(path)
+        reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST")
+        records = (reader.schema(schema) if schema else reader).json(path)
         tagged = records.withColumn("_file", F.col("_metadata.file_path")).withColumn(
             "_arrival", F.monotonically_increasing_id()
         )

@@ -67,7 +67,8 @@ def catalog(lake: Lake) -> DataFrame:
     """(lake, table_name, n_rows, n_cols, num_cells), one row per table.
 
     The row counts come from one job over the file footers; the result is a local relation, so
-    the planner knows its size in every later join. It is read once per lake object.
+    the planner knows its size in every later join. It is read once per lake object; after a
+    change of the files call ``refresh``.
     """
     if "catalog" in lake._known:
         return lake._known["catalog"]
@@ -87,6 +88,11 @@ def catalog(lake: Lake) -> DataFrame:
     return lake._known["catalog"]
 
 
+def refresh(lake: Lake) -> None:
+    """Forget the catalog, so that the next use reads it again."""
+    lake._known.clear()
+
+
 def column_catalog(lake: Lake) -> DataFrame:
     """(lake, table_name, col_pos, col_name), one row per column."""
     rows = [(lake.name, t, i, c) for t in lake.tables for i, c in enumerate(lake.columns(t))]

@@ -71,9 +71,18 @@ def save_run(results: DataFrame, root: str, config_name: str) -> None:
 
 
 def load_runs(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
-    """All runs under ``root`` united by column name."""
+    """All runs under ``root`` united by column name: each run is read by its own header, missing columns are null.
+
+    ``schema`` gives the types of the columns it names; others are text. One plan branch per run.
+    """
+    files = spark.read.text(posixpath.join(root, "*.csv")).select("_metadata.file_path").distinct().collect()
+    runs = sorted({posixpath.dirname(r["file_path"]) for r in files})
     reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(posixpath.join(root, "*.csv"))
+    united = concat_runs([reader.csv(run) for run in runs])
+    if schema is None:
+        return united
+    types = spark.createDataFrame([], schema).schema
+    return united.select(*[F.col(f.name).cast(f.dataType) for f in types], *[c for c in united.columns if c not in types.names])
 
 
 def concat_runs(runs: list[DataFrame]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators.requests import models
+from tessera.operators.requests import with_model
 
 WINDOW = "70 seconds"
 SLIDE = "10 seconds"
@@ -29,9 +29,8 @@ def windowed_rate(log: DataFrame, window: str = WINDOW, slide: str = SLIDE, late
 
 
 def flag_limits(rates: DataFrame, share: float = SHARE) -> DataFrame:
-    """Mark windows above the given share of the model's limits (fixed small table, joined stream-static)."""
-    limits = F.broadcast(models(rates.sparkSession).select("model", "max_rpm", "max_tpm"))
-    return rates.join(limits, "model").select(
+    """Mark windows above the given share of the model's limits; an unknown model fails the query."""
+    return with_model(rates).select(
         *rates.columns,
         (F.col("n_requests") > F.col("max_rpm") * share).alias("over_rpm"),
         (F.col("n_tokens") > F.col("max_tpm") * share).alias("over_tpm"),

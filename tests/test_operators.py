@@ -22,10 +22,10 @@ def test_distributed_positions_equal_the_window(spark):
     rows = [(int(g), int(v), i) for i, (g, v) in enumerate(zip(rng.choice([0, 0, 0, 1, 2], 400), rng.integers(0, 50, 400)))]
     df = spark.createDataFrame(rows, "g long, v long, i long")
     small = dense_positions(df, ["v", "i"], ["g"])
-    large = dense_positions(df, ["v", "i"], ["g"], one_task_rows=10)
+    large = dense_positions(df, ["v", "i"], ["g"])
     key = lambda d: sorted((r["i"], r["row_id"]) for r in d.collect())
     assert key(small) == key(large)
-    total = dense_positions(df, ["v"], one_task_rows=10)  # ties: any order, but dense and sorted
+    total = dense_positions(df, ["v"])  # ties: any order, but dense and sorted
     got = sorted((r["row_id"], r["v"]) for r in total.collect())
     assert [p for p, _ in got] == list(range(400)) and [v for _, v in got] == sorted(v for _, v, _ in rows)
 
@@ -172,3 +172,46 @@ def test_remove_cascades(spark):
     left = lakes.remove_tables({"tables": catalog, "tiles": spans}, catalog.filter("table_name = 'a'"))
     assert [r["tile_id"] for r in left["tiles"].collect()] == ["t2"]
     assert tiles.remove_tiles(spans, spans.limit(0)).count() == 2
+
+
+def test_unknown_models_fail(spark):
+    from tessera.streaming import rates
+
+    log = spark.createDataFrame([("gpt-4-1106-preview", "2024-01-01 00:00:00", 5), ("other", "2024-01-01 00:00:01", 5)], "model string, ts string, tokens long")
+    response = spark.createDataFrame([('{"model":"other","usage":{"prompt_tokens":1,"completion_tokens":1}}',), ("{}",)], "response string")
+    for rows in (rates.flag_limits(rates.windowed_rate(log)), requests.rolling_rate(log, 70, 0.3), requests.response_costs(response)):
+        with pytest.raises(Exception, match="unknown model other"):
+            rows.collect()
+    known = log.filter("model <> 'other'")
+    assert rates.flag_limits(rates.windowed_rate(known)).count() == 7
+    assert [r["cost"] for r in requests.response_costs(response.filter("response = '{}'")).collect()] == [0.0]
+
+
+def test_runs_are_united_by_name(spark, tmp_path):
+    stages.save_run(spark.createDataFrame([("g0", 1)], "gt_name string, n long"), str(tmp_path), "slicer=a_TpT=1")
+    stages.save_run(spark.createDataFrame([(2, "g1", "x")], "n long, gt_name string, more string"), str(tmp_path), "TpT=2_slicer=b")
+    rows = {r["gt_name"]: r.asDict() for r in stages.load_runs(spark, str(tmp_path), "gt_name string, n long").collect()}
+    assert rows["g0"] == {"gt_name": "g0", "n": 1, "slicer": "a", "TpT": "1", "more": None}
+    assert rows["g1"] == {"gt_name": "g1", "n": 2, "slicer": "b", "TpT": "2", "more": "x"}
+
+
+def test_ground_truths_from_an_array_keep_their_records(spark, tmp_path):
+    (tmp_path / "dev.json").write_text('[{"db_id":"d","question":"q0","query":"s",\n"extra":[1]},\n {"db_id":"d","question":"q1","query":"s"}]')
+    rows = load_ground_truths(spark, {"test": str(tmp_path / "dev.json")}, multi_line=True).orderBy("gt_name").collect()
+    assert [r["information_need"] for r in rows] == ["q0", "q1"] and '"extra":[1]' in rows[0]["data"]
+
+
+def test_braces_and_order_of_queries(spark):
+    from tessera.operators.provenance import Block, answer_table, provenance_rows
+    from tessera.sources.lake import Lake
+
+    lake = Lake("l", {"t": spark.createDataFrame([(0, "aa", 1), (1, "b", 3), (2, "c", 2)], "row_id long, n string, v int")})
+    blocks = [Block("g", "t", "n RLIKE 'a{2}'", ("n",)), Block("h", "t", "n RLIKE 'a{2}' OR v IN (SELECT max(v) FROM {t})", ("n",))]
+    assert sorted((r["gt_name"], r["row_id"]) for r in provenance_rows(lake, blocks).collect()) == [("g", 0), ("h", 0), ("h", 1)]
+    answer = answer_table(lake, {"q": "SELECT n FROM {t} ORDER BY v DESC LIMIT 2"}, ["q"]).orderBy("pos").collect()
+    assert [r["value"] for r in answer] == ["b", "c"]
+
+
+def test_positions_within_null_groups(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, v int")
+    assert sorted((str(r["g"]), r["v"], r["row_id"]) for r in dense_positions(df, ["v"], ["g"]).collect()) == [("None", 1, 0), ("None", 2, 1), ("a", 5, 0)]

@@ -178,7 +178,9 @@ def test_texts(spark):
     assert value(text.config_map(F.lit("runs/slicer=lib.slice.X_TpT=10"))) == {"slicer": "lib.slice.X", "TpT": "10"}
     assert value(text.token_count(F.lit("Hello, wörld 1.5"))) == 8
     assert value(text.truncate_tokens(F.lit("a  b, c"), 3)) == "a  b,"
-    for number, shown in [(1863.84, "1863.84"), (900.0, "900.0"), (12345678.5, "12345678.5"), (1e9, "1000000000.0"), (-2e7, "-20000000.0")]:
+    for number, shown in [(1863.84, "1863.84"), (900.0, "900.0"), (12345678.5, "12345678.5"), (1e9, "1000000000.0"), (-2e7, "-20000000.0"),
+                          (0.0005, "0.0005"), (-0.00012345, "-0.00012345"), (1e-5, "1e-05"), (-1.5e-7, "-1.5e-07"), (1e16, "1e+16"), (2.5e120, "2.5e+120"),
+                          (0.0, "0.0"), (0.001, "0.001")]:
         assert value(text.value_text(F.lit(number), spark.range(1).select(F.lit(1.0)).schema[0].dataType)) == shown
 
 
