@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import normalize_name, truncate_value
 from tessera.operators import embedding, profiling, provenance, tiles
 from tessera.plans.corpus import (
-    BLOCKS, DIMS, SQL_CHAT_CELLS, STAR, STAR_COLUMNS, chat_cells, dims_lake, sql_catalog, sql_cells, sql_name,
+    BLOCKS, SQL_CHAT_CELLS, STAR, STAR_COLUMNS, chat_cells, sql_catalog, sql_cells, sql_name,
     sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
 )
 from tessera.plans.registry import query
@@ -121,9 +121,9 @@ def ground_truth_load(spark, sf_dir):
     return loaded.select("lake", "gt_name", "partition", "information_need", F.md5("data").alias("data_md5"))
 
 
-@query("lake_roundtrip", f"with {sql_tables(DIMS)}, {sql_cells(DIMS, 'dims')} select lake, table_name, row_id, col_name, value from cells")
+@query("lake_roundtrip", f"with {sql_tables(STAR)}, {sql_cells(STAR, 'dims')} select lake, table_name, row_id, col_name, value from cells")
 def lake_roundtrip(spark, sf_dir):
-    lake = dims_lake(spark, sf_dir)
+    lake = star_lake(spark, sf_dir, STAR, "dims")
     path = stages.stage_path(checkpoint_dir(spark), f"cells-{uuid.uuid4().hex}", {"lake": "dims"})
     cells = stages.read_or_compute(spark, path, lambda: lakes.melt(lake))
     return cells.select("lake", "table_name", "row_id", "col_name", "value")
@@ -341,8 +341,8 @@ def truncate_values(spark, sf_dir):
 
 @query(
     "component_texts",
-    f"with {sql_tables(DIMS)}, {sql_cells(DIMS, 'dims')} select table_name, row_id, col_pos, coalesce(value, 'nan') as cell_text,"
+    f"with {sql_tables(STAR)}, {sql_cells(STAR, 'dims')} select table_name, row_id, col_pos, coalesce(value, 'nan') as cell_text,"
     f" {sql_name('col_name')} as col_text, {sql_name('table_name')} as table_text from cells",
 )
 def component_texts(spark, sf_dir):
-    return embedding.component_texts(lakes.melt(dims_lake(spark, sf_dir))).drop("lake")
+    return embedding.component_texts(lakes.melt(star_lake(spark, sf_dir, STAR, "dims"))).drop("lake")
