@@ -145,7 +145,7 @@ def contexts(spans: DataFrame, rows: DataFrame, budget: int, order: str) -> Data
 
     The tiles of a question were packed into ``budget`` tokens before, which bounds its text.
     """
-    texts = linearize_tiles(spans, rows, budget, QUESTION)
+    texts = linearize_tiles(spans, rows, QUESTION)
     placed = texts.join(spans.groupBy(*QUESTION, *TABLE[1:], "tile_id").agg(F.min(order).alias("_at")), [*QUESTION, *TABLE[1:], "tile_id"])
     parts = F.array_sort(F.collect_list(F.struct("_at", "tile_id", "text")))
     return placed.groupBy(*QUESTION).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("context"))
