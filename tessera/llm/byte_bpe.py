@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.graphs import with_few
 from tessera.llm.registry import query, table
 from tessera.llm.tokenizing import rank_encoding
 from tessera.session import materialize
@@ -127,7 +128,7 @@ def with_row_id(docs: DataFrame) -> DataFrame:
 
 def encode_long(texts: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``(row_id, number, n_tokens, ids, decoded)``: the pieces of each of ``texts(row_id, text)``; in order of
-    ``number`` they are its encoding. Chunks and pieces are dealt over tasks, so many tasks read one very long text.
+    ``number`` they are its encoding; rows that repeat a ``row_id`` repeat its pieces. Chunks and pieces are dealt over tasks, so many tasks read one very long text.
     Empty texts have no pieces."""
     steps = lambda row: [(s, s + chunk + overlap) for s in range(0, len(row["text"]), chunk)]
     chunks = _cut(texts.select("row_id", "text"), steps).repartition("row_id", "number")
@@ -137,7 +138,7 @@ def encode_long(texts: DataFrame, ranks_path: str, pattern: str, chunk: int = CH
         bounds = [0, *(row["cuts"] or []), len(row["text"])]
         return [(s, e) for s, e in zip(bounds, bounds[1:], strict=False) if s < e]
 
-    pieces = _cut(texts.select("row_id", "text").join(cuts, "row_id", "left"), between).repartition("row_id", "number")
+    pieces = _cut(with_few(texts.select("row_id", "text"), cuts, "row_id", "left"), between).repartition("row_id", "number")
     return encode_pieces(pieces, ranks_path, pattern)
 
 
@@ -150,10 +151,11 @@ def encode_digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int =
     is_long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     short = _digests_of_short(docs.select(F.col("doc_id").cast("long"), "text").where(~is_long), ranks_path, pattern)
     rows = with_row_id(docs).where(is_long)
-    pieces = materialize(encode_long(rows.dropDuplicates(["row_id"]), ranks_path, pattern, chunk, overlap), "pieces")
-    ordered = F.sort_array(F.collect_list(F.struct("number", "ids", F.hex("decoded").alias("raw"))))
-    digests = pieces.groupBy("row_id").agg(F.sum("n_tokens").alias("n_tokens"), ordered.alias("p")).select(
-        "row_id", "n_tokens", F.sha2(F.array_join("p.ids", " "), 256).alias("ids_sha256"),
+    pieces = encode_long(rows, ranks_path, pattern, chunk, overlap)
+    # a set: rows that share a row_id have the same pieces
+    ordered = F.sort_array(F.collect_set(F.struct("number", "n_tokens", "ids", F.hex("decoded").alias("raw"))))
+    digests = pieces.groupBy("row_id").agg(ordered.alias("p")).select(
+        "row_id", F.aggregate("p.n_tokens", F.lit(0).cast("long"), lambda total, n: total + n).alias("n_tokens"), F.sha2(F.array_join("p.ids", " "), 256).alias("ids_sha256"),
         F.sha2(F.unhex(F.array_join("p.raw", "")), 256).alias("decoded_sha256"))
     long_rows = rows.select("doc_id", "row_id").join(digests, "row_id")
     return short.unionByName(long_rows.drop("row_id"))

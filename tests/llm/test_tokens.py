@@ -18,13 +18,13 @@ RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokeniz
 TEXTS = [
     None, "", " ", "\n", "a", "a b", "The  two   gaps \n\n and\ttabs\r\n", "it's 'sb we'll x'd", "Zoë und　Ünï",
     "<|endoftext|> in text", "a\x1cb \x85 c", "é ́x", "line one\nline two\n\nline four", "12345 67 8.9, (ok)!!",
-    "日本語 のテキスト 😀😀 end", "same row", "same row", " lead", "trail ", "x" * 3000, "word and more " * 4000,
+    "日本語 のテキスト 😀😀 end", "same row", "same row", " lead", "trail ", "x" * 3000, "word and more " * 4000, "word and more " * 4000,
 ]
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(None if k == 3 else 7 if k in (15, 16) else 100 - k, t, k) for k, t in enumerate(TEXTS)]
+    rows = [(None if k == 3 else 7 if k in (15, 16) else 5 if k > 19 else 100 - k, t, k) for k, t in enumerate(TEXTS)]
     return spark.createDataFrame(rows, "doc_id long, text string, start long").repartition(3)
 
 
