@@ -84,6 +84,18 @@ def norm(line):
     return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip()
 
 
+def test_prints_of_lines_with_more_words_than_a_counter_holds(spark):
+    import xxhash
+
+    rows = [(n, " ".join(f"w{(7 * k) % 2000}" for k in range(n)) + "  W0!") for n in (4, 5, 510, 511, 512, 1023, 1700)]
+    got = {r["doc_id"]: r["fp"] % 2**64 for r in line_dedup.line_prints(frame(spark, rows, "doc_id long, text string")).collect()}
+    for n, text in rows:
+        words = {w.strip("!") for w in text.lower().split()}
+        hashes = [xxhash.xxh64_intdigest(w, seed=42) for w in words]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert got[n] == want
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
