@@ -42,9 +42,27 @@ class _Units(dict):
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+class _Added:
+    """Finds texts that may hold a token added to the vocabulary, in any case of ASCII letters: units are encoded
+    folded. Such texts must be encoded as a whole."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, tokens = tokenizer, tokenizer.get_added_tokens_decoder().values()
+        self.tokens = [t.content.encode().lower() for t in tokens]
+        self.normalized = tokenizer.normalizer is not None and any(t.normalized for t in tokens)
+
+    def __call__(self, data: bytes) -> bool:
+        low = data.lower()
+        if self.normalized and any(t in self.tokenizer.normalizer.normalize_str(data.decode()).encode().lower() for t in self.tokens):
+            return True
+        return any(t in low for t in self.tokens)
+
+
+def _whole(tokenizer, text: str) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 class ByteLevelIds:
@@ -52,16 +70,16 @@ class ByteLevelIds:
 
     A pre-token starts at every single space before a visible character and on both sides of a single line break
     between visible characters, so texts whose white space is of these two kinds only are encoded unit by unit. All
-    other texts are encoded as a whole.
+    other texts, and those that hold an added token, are encoded as a whole.
     """
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.first, self.rest = _Units(self.tokenizer, ""), _Units(self.tokenizer, " ")
+        self.first, self.rest, self.added = _Units(self.tokenizer, ""), _Units(self.tokenizer, " "), _Added(self.tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if " ".join(text.split()) != text.replace("\n", " ") or self.added(text.encode()):
+            return _whole(self.tokenizer, text)
         out, line_break, get = [], self.first["\n"], self.rest.__getitem__
         for k, line in enumerate(text.split("\n")):
             head, *tail = line.split(" ")
@@ -73,13 +91,18 @@ class ByteLevelIds:
 
 
 class WordIds:
-    """Encoder for BPE files with word ends, whose pre-tokenizer drops white space: each word is encoded by itself."""
+    """Encoder for BPE files with word ends, whose pre-tokenizer drops white space: each word is encoded by itself, texts
+    that hold an added token as a whole."""
 
     def __init__(self, path: str):
         self.words = _Units(_tokenizer(path), "", folded=True)
+        self.added = _Added(self.words.tokenizer)
 
     def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.encode().split()))
+        data = text.encode()
+        if self.added(data):
+            return _whole(self.words.tokenizer, text)
+        return b"".join(map(self.words.__getitem__, data.split()))
 
 
 @lru_cache

@@ -41,6 +41,16 @@ def test_units_equal_whole_text(text):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("path", "make"), [(BYTE, byte_level), (WORD, word_level)])
+def test_added_tokens_as_in_the_file(path, make):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(path)
+    for text in ["a <|endoftext|> b", "a <|startoftext|> b", "x<|endoftext|>y.", "<|endoftext|>", "A <|ENDOFTEXT|> b", "<|EndOfText|>.",
+                 "<|endoftext|><|startoftext|>\n<|endoftext|>", "a  <|endoftext|>\t", "<|endoftext|", "a <|endoftext|\u226f b", "plain words, only."]:
+        assert np.frombuffer(make(path)(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+
+
 @given(st.lists(st.lists(st.sampled_from([0, 1, 255, 256, 65535, 65536, 2**24, 2**32 - 1]), max_size=700), max_size=5))
 @settings(max_examples=50, deadline=None)
 def test_token_file_round_trip(documents):
