@@ -75,7 +75,7 @@ class LanguageModel:
 
 
 def _hash_limit(rows: int, wanted: int) -> int:
-    """Largest 64-bit hash of about ``wanted`` of ``rows`` rows."""
+    """Largest 64-bit hash of about ``wanted`` of ``rows`` different texts."""
     return 2**63 - 1 if rows <= wanted else -2**63 + wanted * 2**64 // rows
 
 
@@ -83,14 +83,17 @@ def training_sample(docs: DataFrame, max_rows: int = TRAIN_ROWS, languages: int
     """Language and packed presence of at most ``max_rows`` texts, spread evenly over the most frequent languages.
 
     Texts are those of the smallest hashes within each language, copies once, so the sample depends on content only.
+    The limit of the hashes follows from the different texts of a language, so copies take no places: each language has
+    as many texts as it is due, or all that it has.
     What reaches the driver is bounded by ``max_rows`` times ``SLOTS`` bits.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", "text")
+    different = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("rows"))
+    counts = different.groupBy("lang").agg(F.sum("rows").alias("rows"), F.count("*").alias("n")).orderBy(F.desc("rows"), "lang").limit(languages).collect()
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
-    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(_hash_limit(r["n"], 4 * each)))])[F.col("lang")]
+    limit = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(_hash_limit(r["n"], 4 * each + 64)))])[F.col("lang")]
     few = usable.withColumn("h", F.xxhash64("text")).where(F.col("h") <= limit)
     once = few.groupBy("lang", "h").agg(F.first("text").alias("text"))
     order = Window.partitionBy("lang").orderBy("h")

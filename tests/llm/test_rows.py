@@ -227,6 +227,15 @@ def test_languages(spark):
     assert {r["doc_id"] for r in language.known_language(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {d for d, t, *_ in rows if language.has_letter(t)}
 
 
+def test_copied_languages_are_learned(spark):
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choices(WORDS, k=20)), lang) for lang in ("aa", "bb") for _ in range(200)]
+    rows += [(f"nur {page} eine seite", f"c{page}") for page in range(6) for _ in range(2000)]
+    rows += [("12 3", "dd"), (f"{rows[0][0]} 7", "dd")] + [(f"{k} .", "dd") for k in range(3000)]
+    got = Counter(lang for lang, _ in language.training_sample(frame(spark, rows, "text string, lang string"), 90))
+    assert got == {"aa": 10, "bb": 10, "dd": 1} | {f"c{page}": 1 for page in range(6)}
+
+
 def test_kernel_is_the_share_of_common_grams():
     a, b = language.presence("abcab"), language.presence("abd")
     grams = lambda t: {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
