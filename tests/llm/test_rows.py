@@ -84,6 +84,16 @@ def norm(line):
     return regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip()
 
 
+def test_long_lines_allow_a_tenth_of_edits(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(700)]
+    moved, far = words[28:] + words[:28], words[200:] + words[:200]
+    assert len(" ".join(words)) > 4000 and 256 < edits(" ".join(words), " ".join(moved)) < len(" ".join(words)) // 10
+    docs = [(1, " ".join(words)), (2, " ".join(moved)), (3, " ".join(far) + " x" * 400)]
+    got = {(r["doc_id"], r["first_doc"]) for r in line_dedup.repeated_lines(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert got == {(2, 1)}
+
+
 def test_prints_of_lines_with_more_words_than_a_counter_holds(spark):
     import xxhash
 
