@@ -94,6 +94,22 @@ def test_long_lines_allow_a_tenth_of_edits(spark):
     assert got == {(2, 1)}
 
 
+def changed(rng, line, share):
+    at = rng.sample([k for k, c in enumerate(line) if c != " "], max(1, int(len(line) * share)))
+    return "".join(chr(ord("a") + (ord(c) - 96) % 26) if k in at else c for k, c in enumerate(line))
+
+
+def test_recall_of_edit_similar_lines(spark):
+    rng = random.Random(5)
+    lines = [" ".join("".join(rng.choices("abcdefghijklmnoprstu", k=rng.randrange(2, 9))) for _ in range(n)) for n in (5, 8, 15, 40) for _ in range(30)]
+    docs = [(1000 * s + 2 * k + c, changed(rng, x, share) if c else x) for s, share in ((1, 0), (2, 0.05)) for k, x in enumerate(lines[s - 1::2]) for c in (0, 1)]
+    texts = [t for _, t in docs]
+    pairs = {(docs[k][0], docs[k + 1][0]) for k in range(0, len(docs), 2)}
+    assert all(edits(a, b) <= len(a) // 10 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    got = {(r["first_doc"], r["doc_id"]) for r in line_dedup.repeated_lines(frame(spark, docs, "doc_id long, text string")).collect()}
+    assert got <= pairs and len(got) >= 0.97 * len(pairs)
+
+
 def test_prints_of_lines_with_more_words_than_a_counter_holds(spark):
     import xxhash
 
