@@ -2,11 +2,14 @@
 
 from tessera.llm import (  # noqa: F401
     byte_bpe,
+    divergence,
     embedding_dedup,
+    fill_middle,
     language,
     line_dedup,
     packing,
     quality,
+    sharding,
     simhash_dedup,
     token_files,
     url_filter,
