@@ -15,8 +15,8 @@ from tessera.session import materialize
 ROW_BYTES = 8
 #: Ranges for each shard, and keys sampled for each range, about.
 RANGES, SAMPLED = 8, 64
-#: Ranges with more bytes are subdivided.
-RANGE_BYTES = 64 << 20
+#: Ranges with more bytes, or with so many times the mean of all ranges, are subdivided.
+RANGE_BYTES, OVERFULL = 64 << 20, 2
 #: Rows larger than this part of a mean shard are dealt one by one; there are at most so many of them for each shard.
 LARGE_PART = 50
 
@@ -95,8 +95,8 @@ def place_rows(docs: DataFrame, shards: int, range_bytes: int = RANGE_BYTES) ->
     from 0. Shards hold nearly equal bytes (``row_size``).
 
     Rows are ordered by the range of their key, the part of the range, and key. Ranges lie between ``splitters``; a
-    range with more than ``range_bytes``, such as a group of equal texts, is subdivided by a hash of the row numbers
-    into as many parts as it needs. Bytes before each part and inside it give every row a position, and shards are
+    range with more than ``range_bytes``, or ``OVERFULL`` times the mean, such as a group of equal texts, is subdivided by a
+    hash of the row numbers into as many parts as it needs. Bytes before each part and inside it give every row a position, and shards are
     sections of the positions. Rows larger than 1/``LARGE_PART`` of a mean shard would unbalance any section: they are
     dealt before, and the sections level out what they leave. So the fullest and the emptiest shard differ by about 2%
     of a mean shard, or by one row if a row is larger than that and no smaller rows can level it.
@@ -115,10 +115,11 @@ def place_rows(docs: DataFrame, shards: int, range_bytes: int = RANGE_BYTES) ->
     cuts = splitters(small.select("at", "key", "size"), rest, RANGES * shards) if rest else []
     ranged = small.withColumn("range", _above(F.col("key"), cuts))
     sums = {r["range"]: r["size"] for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).collect()}
+    full = max(1, min(range_bytes, OVERFULL * rest // (RANGES * shards)))
     before, parts, seen = [], [], 0
     for k in range(len(cuts) + 1):
         before.append(seen)
-        parts.append(-(-sums.get(k, 0) // range_bytes) or 1)
+        parts.append(-(-sums.get(k, 0) // full) or 1)
         seen += sums.get(k, 0)
     of_range = lambda values: F.get(F.array(*[F.lit(v).cast("long") for v in values]), F.col("range"))
     parted = ranged.withColumn("part", F.pmod(F.xxhash64("at", F.lit(13)), of_range(parts)))
