@@ -3,9 +3,9 @@ of equal counts."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +15,8 @@ from tessera.session import materialize
 
 #: Documents of a language that a kept term is in at least, added to each count, parts of a whole, and ranks of terms.
 LEAST_DOCS, ADDED, SCALE, TOP = 10, 2, 1_000_000_000, 10
-#: Different terms that a task holds before it hands their counts on; bounds memory, not content.
-HELD_TERMS, BATCH = 300_000, 50_000
+#: Words that a task counts together, and rows that it hands on at a time; they bound memory, not content.
+HELD_WORDS, BATCH = 2_000_000, 50_000
 #: ASCII other than letters ends a term; A-Z are lower-cased; all other bytes of UTF-8 belong to terms.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -24,36 +24,37 @@ COUNTS = "lang string, source string, term string, n long, docs long"
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term by (lang, source), summed over what one task holds at a time."""
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-    size = 0
+    """Occurrences and documents of each term by (lang, source), for ``HELD_WORDS`` words at a time: words are numbered,
+    counted by document and then by group."""
+    groups: dict[tuple[str, str], int] = {}
+    words: list[bytes] = []
+    lengths: list[int] = []
+    group_of: list[int] = []
 
     def handed_on() -> Iterator[pa.RecordBatch]:
-        for (lang, source), (n, docs) in held.items():
-            terms = list(n)
-            for at in range(0, len(terms), BATCH):
-                part = terms[at:at + BATCH]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(part), pa.string()), pa.array([source] * len(part), pa.string()),
-                    pa.array(part, pa.binary()).cast(pa.string()), pa.array([n[t] for t in part], pa.int64()),
-                    pa.array([docs[t] for t in part], pa.int64()),
-                ], names=["lang", "source", "term", "n", "docs"])
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        by_doc = pa.table({"doc": doc, "term": coded.indices}).group_by(["doc", "term"], use_threads=False).aggregate([("term", "count")])
+        group = np.array(group_of, np.int32)[by_doc["doc"].to_numpy()]
+        summed = pa.table({"group": group, "term": by_doc["term"], "n": by_doc["term_count"]}).group_by(
+            ["group", "term"], use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+        lang, source = (pa.array([name[k] for name in groups], pa.string()).take(summed["group"]) for k in (0, 1))
+        term = coded.dictionary.cast(pa.string()).take(summed["term"])
+        out = pa.table([lang, source, term, summed["n_sum"], summed["n_count"]], names=["lang", "source", "term", "n", "docs"])
+        yield from out.to_batches(max_chunksize=BATCH)
 
     for batch in batches:
         langs, sources = (batch.column(k).to_pylist() for k in (0, 1))
         for lang, source, text in zip(langs, sources, batch.column(2), strict=True):
-            own = Counter(text.as_py().translate(_FOLD).split(b" "))
-            own.pop(b"", None)
-            n, docs = held[lang, source]
-            size -= len(n)
-            n.update(own)
-            docs.update(own.keys())
-            size += len(n)
-            if size > HELD_TERMS:
+            own = text.as_py().translate(_FOLD).split()
+            words += own
+            lengths.append(len(own))
+            group_of.append(groups.setdefault((lang, source), len(groups)))
+            if len(words) > HELD_WORDS:
                 yield from handed_on()
-                held.clear()
-                size = 0
-    yield from handed_on()
+                words, lengths, group_of = [], [], []
+    if words:
+        yield from handed_on()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:

@@ -57,10 +57,10 @@ def rows(seed, n):
     return made
 
 
-@pytest.mark.parametrize("least,held", [(10, 300_000), (2, 5)])
+@pytest.mark.parametrize("least,held", [(10, 300_000), (2, 50)])
 def test_equal_to_plain_counts(spark, monkeypatch, least, held):
     made = rows(least, 500)
-    monkeypatch.setattr(dv, "HELD_TERMS", held)
+    monkeypatch.setattr(dv, "HELD_WORDS", held)
     docs = spark.createDataFrame([(*r, "clash", 1) for r in made], "doc_id long, text string, lang string, source string, term string, n int")
     got = dv.source_divergence(docs.repartition(4), least)
     assert {tuple(r) for r in got.collect()} == plain(made, least, 10)
