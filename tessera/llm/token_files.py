@@ -21,6 +21,8 @@ CHUNK_BITS = 8
 RANK_BLOCK = 512
 #: Ids after which a task starts a new file; bounds memory, not content.
 FILE_IDS = 8_000_000
+#: Tasks that read files, at most; more files share tasks.
+MOST_READERS = 20_000
 
 
 def encode_file(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -127,8 +129,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
                 schema=pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("n_ids", pa.int64())]))
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.append((doc_id, encode(text.as_py() or "") + end))
+            texts = (text.as_py() or "" for text in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(texts), strict=True):
+                held.append((doc_id, ids + end))
                 if sum_of(held) >= 4 * FILE_IDS:
                     yield flush()
                     held, number = [], number + 1
@@ -166,7 +169,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
-    spread = materialize(placed, "placed").repartition("path")
+    placed = materialize(placed, "placed")
+    # a row is a path of a few bytes that stands for a file: the number of tasks follows the files
+    spread = placed.repartition(max(1, min(placed.count(), MOST_READERS)), "path")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Units remembered in one worker; later ones are encoded each time they occur.
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
+#: New units encoded in one text, and characters of texts that are looked through for them together.
+TOGETHER, LOOKED_THROUGH = 200, 4 << 20
 
 
 class _Units(dict):
@@ -26,6 +29,20 @@ class _Units(dict):
     def _encoded(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
+    def learn(self, units: set[str], between: str) -> None:
+        """Remember new units, many encoded in one text: ``between`` is a pre-token of its own wherever it stands and has
+        one id that no unit has, so the ids are cut there."""
+        stems = {u[:-1] if u[-1:] in self.marks and u[-2:-1].isalpha() else u for u in units}
+        new = [u for u in stems if u and u not in self][:max(0, REMEMBERED - len(self))]
+        cut = np.frombuffer(self._encoded(between), "<u4")
+        for at in range(0, len(new), TOGETHER):
+            part = new[at:at + TOGETHER]
+            ids = np.frombuffer(self._encoded(between.join(self.prefix + u for u in part)), "<u4")
+            ends = np.flatnonzero(ids == cut[0]) if len(cut) == 1 else cut
+            if len(ends) == len(part) - 1:
+                for unit, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                    self[unit] = ids[a:b].tobytes()
+
     def __missing__(self, unit: str | bytes) -> bytes:
         text = unit.decode() if isinstance(unit, bytes) else unit
         if self.folded and isinstance(unit, bytes) and unit.lower() != unit:
@@ -77,9 +94,13 @@ class ByteLevelIds:
         self.tokenizer = _tokenizer(path)
         self.first, self.rest, self.added = _Units(self.tokenizer, ""), _Units(self.tokenizer, " "), _Added(self.tokenizer)
 
+    def _by_unit(self, text: str) -> bool:
+        return " ".join(text.split()) == text.replace("\n", " ") and not self.added(text.encode())
+
     def __call__(self, text: str) -> bytes:
-        if " ".join(text.split()) != text.replace("\n", " ") or self.added(text.encode()):
-            return _whole(self.tokenizer, text)
+        return self._joined(text) if self._by_unit(text) else _whole(self.tokenizer, text)
+
+    def _joined(self, text: str) -> bytes:
         out, line_break, get = [], self.first["\n"], self.rest.__getitem__
         for k, line in enumerate(text.split("\n")):
             head, *tail = line.split(" ")
@@ -89,6 +110,30 @@ class ByteLevelIds:
             out.extend(map(get, tail))
         return b"".join(out)
 
+    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """The ids of each text; new units of many texts are encoded together."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size > LOOKED_THROUGH:
+                yield from self._many(held)
+                held, size = [], 0
+        yield from self._many(held)
+
+    def _many(self, texts: list[str]) -> Iterator[bytes]:
+        by_unit = [self._by_unit(text) for text in texts]
+        heads, others = set(), set()
+        for text, plain in zip(texts, by_unit, strict=True):
+            for line in text.split("\n") if plain else ():
+                head, *tail = line.split(" ")
+                heads.add(head)
+                others.update(tail)
+        self.first.learn(heads, "\n")
+        self.rest.learn(others, "\n")
+        for text, plain in zip(texts, by_unit, strict=True):
+            yield self._joined(text) if plain else _whole(self.tokenizer, text)
+
 
 class WordIds:
     """Encoder for BPE files with word ends, whose pre-tokenizer drops white space: each word is encoded by itself, texts
