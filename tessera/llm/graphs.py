@@ -26,13 +26,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-#: Rows up to which the small side of a join is sent to all executors instead of shuffling the large side.
-SENT_ROWS = 500_000
+#: Bytes of a written table up to which it is sent to all executors instead of shuffling the large side of a join.
+SENT_BYTES = 16 << 20
 
 
 def with_few(large: DataFrame, few: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """``large.join(few, on, how)`` for a written ``few``: counted first, and broadcast if it is small."""
-    return large.join(F.broadcast(few) if few.count() <= SENT_ROWS else few, on, how)
+    """``large.join(few, on, how)`` for a written ``few``, broadcast if Spark's estimate from its files is small."""
+    size = int(str(few._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return large.join(F.broadcast(few) if size <= SENT_BYTES else few, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:
