@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Units remembered in one worker; later ones are encoded each time they occur.
 REMEMBERED = 2_000_000
@@ -123,16 +124,41 @@ class ByteLevelIds:
 
     def _many(self, texts: list[str]) -> Iterator[bytes]:
         by_unit = [self._by_unit(text) for text in texts]
-        heads, others = set(), set()
+        joined = self._joined_many([text for text, plain in zip(texts, by_unit, strict=True) if plain])
         for text, plain in zip(texts, by_unit, strict=True):
-            for line in text.split("\n") if plain else ():
-                head, *tail = line.split(" ")
-                heads.add(head)
-                others.update(tail)
-        self.first.learn(heads, "\n")
-        self.rest.learn(others, "\n")
-        for text, plain in zip(texts, by_unit, strict=True):
-            yield self._joined(text) if plain else _whole(self.tokenizer, text)
+            yield next(joined) if plain else _whole(self.tokenizer, text)
+
+    def _joined_many(self, texts: list[str]) -> Iterator[bytes]:
+        """``_joined`` of many texts: units are numbered, each different one is looked up once, and the ids of all
+        occurrences are gathered together. A unit that begins a line has no space before it and is another one."""
+        units, counts = [], []
+        for text in texts:
+            own = text.replace("\n", " \n ").split(" ")
+            units += own
+            counts.append(len(own))
+        if not units:
+            return
+        coded = pa.array(units, pa.string()).dictionary_encode()
+        known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        begins = np.concatenate(([True], code[:-1] == known.index("\n") if "\n" in known else np.zeros(len(code) - 1, bool)))
+        ends = np.cumsum(counts)
+        begins[ends[:-1]] = True
+        key = 2 * code + begins
+        used = np.flatnonzero(np.bincount(key, minlength=2 * len(known)))
+        at = np.zeros(2 * len(known), np.int64)
+        at[used] = np.arange(len(used))
+        line_break = self.first["\n"]
+        self.first.learn({known[k >> 1] for k in used.tolist() if k & 1} - {"\n"}, "\n")
+        self.rest.learn({known[k >> 1] for k in used.tolist() if not k & 1} - {"\n"}, "\n")
+        parts = [line_break if known[k >> 1] == "\n" else (self.first if k & 1 else self.rest)[known[k >> 1]] for k in used.tolist()]
+        lengths = np.array([len(p) // 4 for p in parts], np.int64)
+        starts, each = np.cumsum(lengths) - lengths, at[key]
+        sizes = lengths[each]
+        done = np.cumsum(sizes)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(starts[each] - (done - sizes), sizes) + np.arange(done[-1])]
+        bounds = done[ends - 1].tolist()
+        for start, end in zip([0, *bounds[:-1]], bounds, strict=True):
+            yield ids[start:end].tobytes()
 
 
 class WordIds:
