@@ -83,31 +83,90 @@ def answer_columns(answer_table: Column) -> Column:
     return F.array_join(F.map_keys(answer_table), ", ")
 
 
-def _prediction_lines(prediction: Column) -> tuple[Column, Column]:
+def answer_text(answer_table: Column) -> Column:
+    """An answer ``MAP<column name, ARRAY<value>>`` as CSV, its columns in map order."""
+    values = F.map_values(answer_table)
+    n = F.coalesce(F.array_max(F.transform(values, F.size)), F.lit(0))
+    rows = F.transform(
+        F.filter(F.sequence(F.lit(0), n), lambda i: i < n), lambda i: csv_line_of_array(F.transform(values, lambda v: F.get(v, i))))
+    lines = F.concat(F.array(csv_line_of_array(F.map_keys(answer_table))), rows)
+    return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
+
+
+#: A CSV field with what ends it: quoted (doubled quotes and line breaks belong to it) or plain up to a comma or line end.
+_FIELD = r'(?s)(?:"(?:[^"]++|"")*+"?[^,\r\n]*+|[^,\r\n"][^,\r\n]*+|)(?:,|\r\n|\n|\r|$)'
+_LINE_END, _OPEN_QUOTE = r"[\r\n]$", r'(?s)^"(?:[^"]++|"")*+$'
+
+
+def _without_fence(prediction: Column) -> Column:
     fenced = prediction.startswith(CODE_FENCE)
-    body = F.when(fenced, F.substring(prediction, F.lit(7), F.length(prediction) - F.lit(9))).otherwise(prediction)
-    lines = F.split(F.replace(body, F.lit("\r\n"), F.lit("\n")), "\n")
-    return body, F.filter(lines, lambda x: F.trim(x) != "")
+    return F.when(fenced, F.substring(prediction, F.lit(7), F.length(prediction) - F.lit(9))).otherwise(prediction)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def csv_records(text: Column) -> Column:
+    """Raw fields of every line of a CSV text that is not blank: quotes and the fields' ends are still there.
+
+    One pass of a pattern cuts fields with what ends them; the fields that end with a line end close a record.
+    """
+    closed = F.concat(F.regexp_replace(text, r"[\r\n]+\z", ""), F.lit("\n"))
+
+    def lines(fields: Column) -> Column:
+        n = F.size(fields) - 1  # the last match is the empty one at the end of the text
+        numbers = F.filter(F.sequence(F.lit(0), n), lambda i: i > 0)
+        ends = F.filter(numbers, lambda i: F.element_at(fields, i).rlike(_LINE_END) | (i == n))
+        return _let(ends, lambda e: F.transform(e, lambda end, k: F.slice(
+            fields, F.when(k == 0, 1).otherwise(F.get(e, k - 1) + 1), end - F.when(k == 0, 0).otherwise(F.get(e, k - 1)))))
+
+    records = _let(F.regexp_extract_all(closed, F.lit(_FIELD), F.lit(0)), lines)
+    return F.filter(records, lambda r: ~((F.size(r) == 1) & (F.trim(F.regexp_replace(r[0], r"[\t\r\n]", "")) == "")))
+
+
+def csv_value(field: Column) -> Column:
+    """A raw field of ``csv_records`` without its end and its quotes."""
+    bare = F.regexp_replace(field, r"(?:,|\r\n|\n|\r)\z", "")
+    inner = F.replace(F.regexp_extract(bare, r'(?s)^"((?:[^"]++|"")*+)"', 1), F.lit('""'), F.lit('"'))
+    after = F.regexp_extract(bare, r'(?s)^"(?:[^"]++|"")*+"(.*)$', 1)
+    return F.when(bare.startswith('"'), F.concat(inner, after)).otherwise(bare)
 
 
-def _field_count(line: Column) -> Column:
-    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ","))
+def _parses(records: Column) -> Column:
+    wide = F.exists(records, lambda r: F.size(r) > F.size(records[0]))
+    return (F.size(records) > 0) & ~wide & ~F.exists(records, lambda r: F.exists(r, lambda f: f.rlike(_OPEN_QUOTE)))
 
 
 def prediction_parses(prediction: Column) -> Column:
-    """Whether a prediction reads as CSV: it has a header, and no line has more fields than it."""
-    _, lines = _prediction_lines(prediction)
-    return (F.size(lines) > 0) & ~F.exists(lines, lambda x: _field_count(x) > _field_count(F.element_at(lines, 1)))
+    """Whether a prediction reads as CSV: it has a header, no line has more fields than it, and quotes are closed."""
+    return _let(csv_records(_without_fence(prediction)), _parses)
+
+
+def _column_names(names: Column) -> Column:
+    """Names of columns as a dataframe gives them: ``Unnamed: 2`` for an empty third one, ``x.1`` for the second ``x``."""
+    earlier = lambda x, i: F.size(F.filter(names, lambda y, j: (j < i) & (y == x)))
+    return F.transform(names, lambda x, i: F.when(x == "", F.concat(F.lit("Unnamed: "), i.cast("string"))).when(
+        earlier(x, i) > 0, F.concat_ws(".", x, earlier(x, i).cast("string"))).otherwise(x))
 
 
 def clean_prediction(prediction: Column) -> Column:
-    """Drop a CSV code fence and bring line ends, blank lines and padding to one form.
+    """A prediction as CSV is written here: without code fence, quotes only where needed, ``\\n`` line ends, no blank lines,
+    short lines filled up with empty fields. Quoted fields may hold commas, quotes, line breaks and blank lines.
 
     What does not read as CSV is kept as it is, without the fence.
     """
-    body, lines = _prediction_lines(prediction)
-    clean = F.concat(F.array_join(F.transform(lines, F.rtrim), "\n"), F.lit("\n"))
-    return F.when(prediction_parses(prediction), clean).otherwise(body)
+    def written(records: Column) -> Column:
+        def line(r: Column, k: Column) -> Column:
+            missing = F.array_repeat(F.lit(""), F.size(records[0]) - F.size(r))
+            values = F.concat(F.transform(r, csv_value), missing)
+            return csv_line_of_array(F.when(k == 0, _column_names(values)).otherwise(values))
+
+        return F.when(_parses(records), F.concat(F.array_join(F.transform(records, line), "\n"), F.lit("\n")))
+
+    body = _without_fence(prediction)
+    return F.coalesce(_let(csv_records(body), written), body)
 
 
 def token_count(text: Column) -> Column:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import accuracy_aggregates, add_confusion_scores
-from tessera.operators.rectangles import covered_cells, tile_set_overlap
+from tessera.operators.rectangles import row_cover
 
 QUESTION = ["lake", "gt_name"]
+#: Configuration columns of a result row.
 QA_CONFIG = ["embedder", "slicer", "index", "merger", "TpT", "tok"]
 
 
@@ -19,16 +20,16 @@ def retrieval_confusion(result: DataFrame, truth: DataFrame, lake_cells: DataFra
 
     ``result`` and ``truth`` are span frames with ``gt_name``; ``lake_cells (lake, lake_cells)``.
     """
-    hit = tile_set_overlap(result, truth, QUESTION).select(
-        *QUESTION, F.col("num_in").alias("TP"), F.col("num_out").alias("FP")
-    )
-    relevant = covered_cells(truth, QUESTION).withColumnRenamed("num_cells", "_relevant")
-    joined = relevant.join(hit, QUESTION, "full").fillna(0, ["TP", "FP", "_relevant"])
-    counts = joined.join(lake_cells, "lake").select(
-        *QUESTION, "TP", "FP",
-        (F.col("lake_cells") - F.col("FP") - F.col("_relevant")).alias("TN"),
-        (F.col("_relevant") - F.col("TP")).alias("FN"),
-    )
+    on = [*QUESTION, "table_name", "row_id", "word"]
+    covers = row_cover(result, QUESTION).join(row_cover(truth, QUESTION).withColumnRenamed("mask", "other"), on, "full")
+    none = F.lit(0).cast("long")
+    got, wanted = F.coalesce("mask", none), F.coalesce("other", none)
+    both = F.bit_count(got.bitwiseAND(wanted))
+    sums = covers.select(*QUESTION, both.alias("both"), F.bit_count(got).alias("got"), F.bit_count(wanted).alias("wanted")).groupBy(*QUESTION).agg(
+        F.sum("both").cast("long").alias("TP"), F.sum("got").cast("long").alias("_got"), F.sum("wanted").cast("long").alias("_wanted"))
+    counts = sums.join(lake_cells, "lake").select(
+        *QUESTION, "TP", (F.col("_got") - F.col("TP")).alias("FP"),
+        (F.col("lake_cells") - F.col("_got") - F.col("_wanted") + F.col("TP")).alias("TN"), (F.col("_wanted") - F.col("TP")).alias("FN"))
     return add_confusion_scores(counts)
 
 

@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import csv_field, csv_line_of_array, tile_text, token_count, value_text
-from tessera.operators.rectangles import TABLE, expand_rows
-from tessera.sources.lake import Lake
+from tessera.functions.text import csv_field, csv_line_of_array, tile_text, token_count, truncate_tokens, value_text
+from tessera.operators.rectangles import TABLE, expand_rows, rows_to_spans
+from tessera.sources.lake import Lake, column_catalog
 
 QUESTION = ["lake", "gt_name"]
-NEAR_END = 10
+NEAR_END, SECOND = 10, 2
 
 
 def table_rows(cells: DataFrame) -> DataFrame:
@@ -42,6 +42,12 @@ def wide_rows(lake: Lake) -> DataFrame:
     return united
 
 
+def csv_headers(lake: Lake) -> DataFrame:
+    """The header line of every table, as row -1."""
+    named = column_catalog(lake).groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("col_pos", "col_name"))).alias("_c"))
+    return named.select(*TABLE, F.lit(-1).cast("long").alias("row_id"), csv_line_of_array(F.col("_c.col_name")).alias("line"))
+
+
 def csv_lines(rows: DataFrame) -> DataFrame:
     """One CSV line per table row; a table of any size stays spread over the cluster."""
     return rows.select(*TABLE, "row_id", csv_line_of_array(F.col("values")).alias("line"))
@@ -76,139 +82,221 @@ def running_tokens(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("running", F.sum("tokens").over(window))
 
 
-def pack_greedy(ranked: DataFrame, budget: int) -> DataFrame:
+def pack_greedy(ranked: DataFrame, budget: int, second_tile: bool = False) -> DataFrame:
     """Walk each ranking and take every tile that still fits; a tile that does not is passed over.
 
-    ``ranked (lake, gt_name, rank, tile_id, tokens)``, at most the retrieval limit per question. Per
-    question: the ranks taken, tokens used, and whether one of the last ten candidates fitted.
+    ``ranked (lake, gt_name, rank, tile_id, tokens)``, at most the retrieval limit per question. Per question: the ranks
+    taken, tokens used, whether one of the last ten candidates fitted, and ``cut``. With ``second_tile``, a second
+    candidate that does not fit ends the walk: it is taken, and the text is to be cut at the budget.
     """
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ranks"))
+    start = F.struct(
+        F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("ranks"), F.lit(False).alias("cut"))
 
     def step(state: Column, tile: Column) -> Column:
         fits = state["used"] + tile["tokens"] <= budget
-        return F.struct(
-            F.when(fits, state["used"] + tile["tokens"]).otherwise(state["used"]).alias("used"),
-            F.when(fits, F.array_append(state["ranks"], tile["rank"])).otherwise(state["ranks"]).alias("ranks"),
-        )
+        ends = F.lit(second_tile) & (tile["rank"] == SECOND) & ~fits
+        return F.when(state["cut"], state).otherwise(F.struct(
+            F.when(fits, state["used"] + tile["tokens"]).when(ends, F.lit(budget).cast("long")).otherwise(state["used"]).alias("used"),
+            F.when(fits | ends, F.array_append(state["ranks"], tile["rank"])).otherwise(state["ranks"]).alias("ranks"),
+            ends.alias("cut"),
+        ))
 
     item = F.struct(F.col("rank").cast("int").alias("rank"), F.col("tokens").cast("long").alias("tokens"))
     # a tile above the budget never fits, and leaving it out changes nothing for the others
+    matters = (F.col("tokens") <= budget) | (F.lit(second_tile) & (F.col("rank") == SECOND))
     lists = ranked.groupBy(*QUESTION).agg(
         F.count(F.lit(1)).alias("n_candidates"),
-        F.array_sort(F.collect_list(F.when(F.col("tokens") <= budget, item))).alias("_items"),
+        F.array_sort(F.collect_list(F.when(matters, item))).alias("_items"),
         F.max("rank").alias("_last"),
     )
     packed = lists.withColumn("_p", F.aggregate("_items", start, step))
-    last_fit = F.coalesce(F.array_max("_p.ranks"), F.lit(0))
     return packed.select(
         *QUESTION, "n_candidates", F.col("_p.used").alias("used"), F.col("_p.ranks").alias("ranks"),
-        (F.col("_last") - last_fit <= NEAR_END).alias("near_end"),
+        _near_end(F.col("_last"), F.col("_p.ranks"), F.col("_p.cut")).alias("near_end"), F.col("_p.cut").alias("cut"),
     )
 
 
+def _near_end(last: Column, ranks: Column, cut: Column) -> Column:
+    return (last - F.coalesce(F.array_max(ranks), F.lit(0)) <= NEAR_END) & ~cut
+
+
 def picked(packed: DataFrame, ranked: DataFrame) -> DataFrame:
     """The ranked tiles that were taken."""
     return ranked.join(packed.select(*QUESTION, F.explode("ranks").alias("rank")), [*QUESTION, "rank"])
 
 
 def row_tokens(rows: DataFrame, count: Callable[[Column], Column] = token_count) -> DataFrame:
-    """Tokens charged for every field of a row and of its header: those of its CSV form, at least one."""
-    per_field = lambda x: F.greatest(F.lit(1), count(csv_field(x)).cast("int"))
+    """Tokens of every field of a row and of its header as CSV writes it among others (``tokens``, ``header_tokens``:
+    none for an empty field) and alone on its line (``lone``, ``header_lone``: an empty field is a pair of quotes)."""
+    quotes = count(F.lit('""')).cast("int")
+    among = lambda x: count(csv_field(x)).cast("int")
+    alone = lambda x: F.when(csv_field(x) == "", quotes).otherwise(among(x))
     return rows.select(
-        *TABLE, "row_id",
-        F.transform("values", per_field).alias("tokens"), F.transform("names", per_field).alias("header_tokens"),
+        *TABLE, "row_id", F.transform("values", among).alias("tokens"), F.transform("values", alone).alias("lone"),
+        F.transform("names", among).alias("header_tokens"), F.transform("names", alone).alias("header_lone"),
     )
 
 
-def tile_tokens(spans: DataFrame, tokens: DataFrame, budget: int) -> DataFrame:
-    """(lake, table_name, tile_id, tokens): what each tile's text costs by itself.
+def _line_tokens(tokens: str, lone: str) -> Column:
+    """Tokens of one line over ``cols``: fields and commas, or the only field."""
+    total = F.aggregate(_pick(F.col(tokens), F.col("cols")), F.lit(0), lambda s, x: s + x)
+    return F.when(F.size("cols") == 1, F.element_at(F.col(lone), F.element_at("cols", 1) + 1)).otherwise(total + F.size("cols") - 1)
 
-    Tiles with more cells than the budget get ``budget + 1`` without being looked at.
-    """
+
+def _prefix_tokens() -> Column:
+    return token_count(tile_text(F.col("table_name"), F.lit("")))
+
+
+def tile_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(lake, table_name, tile_id, tokens): what each tile's text costs, line by line as it is written."""
     tile = [*TABLE, "tile_id"]
-    sizes = spans.groupBy(*tile).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("_cells"))
-    members = expand_rows(
-        spans.join(sizes.filter(F.col("_cells") <= budget), tile, "left_semi").select(*tile, "row_lo", "row_hi", "cols")
-    )
-    add = lambda array: F.aggregate(_pick(F.col(array), F.col("cols")), F.lit(0), lambda s, x: s + x)
-    commas = F.size("cols") - 1
+    members = expand_rows(spans.select(*tile, "row_lo", "row_hi", "cols"))
     lines = members.join(tokens, [*TABLE, "row_id"]).select(
-        *tile, (add("tokens") + commas).alias("_line"), (add("header_tokens") + commas).alias("_header")
-    )
-    prefix = token_count(tile_text(F.col("table_name"), F.lit("")))
-    costs = lines.groupBy(*tile).agg((F.sum("_line") + F.max("_header")).alias("_cost")).withColumn("_cost", F.col("_cost") + prefix)
-    return sizes.join(costs, tile, "left").select(*tile, F.coalesce("_cost", F.lit(budget + 1)).cast("long").alias("tokens"))
+        *tile, _line_tokens("tokens", "lone").alias("_line"), _line_tokens("header_tokens", "header_lone").alias("_header"))
+    costs = lines.groupBy(*tile).agg((F.sum("_line") + F.max("_header")).alias("_cost"))
+    return costs.select(*tile, (F.col("_cost") + _prefix_tokens()).cast("long").alias("tokens"))
+
 
+def least_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(lake, table_name, tile_id, tokens): what any rectangle that holds the tile costs at least.
 
-def contexts(spans: DataFrame, rows: DataFrame, budget: int, order: str) -> DataFrame:
+    That is the tile's own cost, but that an empty field alone on its line costs one comma once a column joins it.
+    """
+    comma = lambda lone, kept: F.transform(F.arrays_zip(F.col(lone).alias("l"), F.col(kept).alias("t")), lambda x: F.least(x["l"], x["t"] + 1))
+    lowered = tokens.select(
+        *TABLE, "row_id", "tokens", "header_tokens", comma("lone", "tokens").alias("lone"),
+        comma("header_lone", "header_tokens").alias("header_lone"))
+    return tile_tokens(spans, lowered)
+
+
+def _first_rows(spans: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each tile, one span each; ranking stops at ``n`` inside every task."""
+    order = Window.partitionBy(*keys).orderBy("row_id")
+    numbered = expand_rows(spans).withColumn("_n", F.row_number().over(order))
+    return rows_to_spans(numbered.filter(F.col("_n") <= n).drop("_n"))
+
+
+def contexts(spans: DataFrame, rows: DataFrame, budget: int, order: str, cut: DataFrame | None = None) -> DataFrame:
     """(lake, gt_name, context): the texts of a question's tiles, a blank line between them, in ``order``.
 
-    The tiles of a question were packed into ``budget`` tokens before, which bounds its text.
+    The tiles of a question were packed into ``budget`` tokens before, which bounds its text. Questions in
+    ``cut (lake, gt_name)`` hold a tile that did not fit: their text is cut after ``budget`` tokens, and only as many
+    rows of their tiles are written as can matter (a line has a token or more, unless its only field is white space).
     """
-    texts = linearize_tiles(spans, rows, QUESTION)
+    whole = spans
+    if cut is not None:
+        part = spans.join(cut.select(*QUESTION), QUESTION, "left_semi")
+        heads = _first_rows(part, [*QUESTION, *TABLE[1:], "tile_id"], budget + 1)
+        whole = heads.unionByName(expanded_to_spans(spans.join(cut.select(*QUESTION), QUESTION, "left_anti")))
+    texts = linearize_tiles(whole, rows, QUESTION)
     placed = texts.join(spans.groupBy(*QUESTION, *TABLE[1:], "tile_id").agg(F.min(order).alias("_at")), [*QUESTION, *TABLE[1:], "tile_id"])
     parts = F.array_sort(F.collect_list(F.struct("_at", "tile_id", "text")))
-    return placed.groupBy(*QUESTION).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("context"))
+    text = placed.groupBy(*QUESTION).agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n\n").alias("context"))
+    if cut is None:
+        return text
+    marked = text.join(cut.select(*QUESTION, F.lit(True).alias("_cut")), QUESTION, "left")
+    return marked.select(*QUESTION, F.when(F.col("_cut"), truncate_tokens(F.col("context"), budget)).otherwise(F.col("context")).alias("context"))
+
+
+def expanded_to_spans(spans: DataFrame) -> DataFrame:
+    """The same tiles with one span per row."""
+    return rows_to_spans(expand_rows(spans))
 
 
-def pack_closure(ranked: DataFrame, spans: DataFrame, tokens: DataFrame, budget: int) -> DataFrame:
+def pack_closure(ranked: DataFrame, spans: DataFrame, tokens: DataFrame, budget: int, second_tile: bool = False) -> DataFrame:
     """The same walk, but tiles of one table are merged to their closure before the fit is tested.
 
-    ``ranked (lake, gt_name, rank, tile_id)`` is cut to the retrieval limit, ``spans`` are the
-    tiles, ``tokens`` is :func:`row_tokens`. Candidates with more cells than the budget are
-    rejected before, so a question holds at most (limit x budget) cells, whatever the table sizes.
+    ``ranked (lake, gt_name, rank, tile_id)`` is cut to the retrieval limit, ``spans`` are the tiles, ``tokens`` is
+    :func:`row_tokens`. The fit is tested by the cost of the text as it would be written. Candidates whose
+    :func:`least_tokens` are above the budget can never fit and are left out before, so a question holds at most
+    (limit x budget) lines, whatever the table sizes (lines whose only field is white space cost nothing and come on top).
     """
-    tile = [*TABLE, "tile_id"]
-    small = spans.groupBy(*tile).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("_cells"))
-    small = small.filter(F.col("_cells") <= budget).select(*tile)
-    candidates = ranked.select(*QUESTION, "rank", "tile_id").join(
-        spans.join(small, tile, "left_semi").select(*tile, "row_lo", "row_hi", "cols"), ["lake", "tile_id"]
-    )
+    asked = spans.join(ranked.select("lake", "tile_id").distinct(), ["lake", "tile_id"], "left_semi")
+    small = least_tokens(asked, tokens).filter(F.col("tokens") <= budget).select(*TABLE, "tile_id")
+    last = ranked.groupBy(*QUESTION).agg(F.max("rank").alias("_last"))
+    candidates = ranked.select(*QUESTION, "rank", "tile_id").join(last, QUESTION).join(
+        spans.join(small, [*TABLE, "tile_id"], "left_semi").select(*TABLE, "tile_id", "row_lo", "row_hi", "cols"), ["lake", "tile_id"])
     members = expand_rows(candidates)
-    prefix = token_count(tile_text(F.col("table_name"), F.lit("")))
     needed = members.select(*QUESTION, "table_name", "row_id").distinct().join(tokens, [*TABLE, "row_id"])
-    needed = needed.select(*QUESTION, "table_name", "row_id", "tokens", "header_tokens", prefix.alias("prefix"))
+    needed = needed.select(
+        *QUESTION, "table_name", "row_id", "tokens", "lone", "header_tokens", "header_lone", _prefix_tokens().alias("prefix"))
 
     def walk(tiles: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        return _walk_closure(tiles, rows, budget)
+        return _walk_closure(tiles, rows, budget, second_tile)
 
-    schema = "lake string, gt_name string, used long, ranks array<int>, n_tables int, n_cells long"
+    schema = "lake string, gt_name string, used long, ranks array<int>, cut boolean, n_tables int, n_cells long"
     needed = needed.toDF(*needed.columns)  # fresh column identities: both sides come from the candidates
     packed = members.groupBy(*QUESTION).cogroup(needed.groupBy(*QUESTION)).applyInPandas(walk, schema)
-    # a question none of whose tiles can fit still gets its (empty) result
-    zero = F.lit(0)
-    return ranked.select(*QUESTION).distinct().join(packed, QUESTION, "left").select(
-        *QUESTION, F.coalesce("used", zero.cast("long")).alias("used"),
-        F.coalesce("ranks", F.array().cast("array<int>")).alias("ranks"),
-        F.coalesce("n_tables", zero).alias("n_tables"), F.coalesce("n_cells", zero.cast("long")).alias("n_cells"),
+    # a question none of whose tiles can fit still gets its result: nothing, or the second tile
+    known = ranked.groupBy(*QUESTION).agg(F.count(F.lit(1)).alias("n_candidates"), F.max("rank").alias("_last"))
+    nothing = F.array().cast("array<int>")
+    found = known.join(packed, QUESTION, "left").withColumn(
+        "cut", F.coalesce("cut", F.lit(False)) | (F.lit(second_tile) & F.col("ranks").isNull() & (F.col("_last") >= SECOND)))
+    ranks = F.coalesce("ranks", F.when(F.col("cut"), F.array(F.lit(SECOND))).otherwise(nothing))
+    return found.withColumn("ranks", ranks).select(
+        *QUESTION, "n_candidates", F.when(F.col("cut"), F.lit(budget).cast("long")).otherwise(F.coalesce("used", F.lit(0).cast("long"))).alias("used"),
+        "ranks", _near_end(F.col("_last"), F.col("ranks"), F.col("cut")).alias("near_end"), "cut",
+        F.coalesce("n_tables", F.lit(0)).alias("n_tables"), F.coalesce("n_cells", F.lit(0).cast("long")).alias("n_cells"),
     )
 
 
-def _walk_closure(tiles: pd.DataFrame, rows: pd.DataFrame, budget: int) -> pd.DataFrame:
-    cost = {(t, r): np.asarray(v) for t, r, v in zip(rows["table_name"], rows["row_id"], rows["tokens"])}
-    header = dict(zip(rows["table_name"], rows["header_tokens"]))
-    prefix = dict(zip(rows["table_name"], rows["prefix"]))
-    merged: dict[str, tuple[frozenset, frozenset, int]] = {}
-    ranks, used = [], 0
-    for rank_no, group in tiles.sort_values("rank").groupby("rank", sort=True):
-        table = group["table_name"].iloc[0]
-        old_rows, old_cols, old_cost = merged.get(table, (frozenset(), frozenset(), 0))
-        new_rows = old_rows | frozenset(group["row_id"])
-        new_cols = old_cols | frozenset(group["cols"].iloc[0])
-        if len(new_rows) * len(new_cols) > budget:  # a cell costs a token or more
-            continue
-        at = sorted(new_cols)
-        commas = (len(at) - 1) * (len(new_rows) + 1)
-        new_cost = int(
-            prefix[table] + np.asarray(header[table])[at].sum() + commas + sum(cost[(table, r)][at].sum() for r in new_rows)
-        )
-        if used - old_cost + new_cost <= budget:
-            used += new_cost - old_cost
-            merged[table] = (new_rows, new_cols, new_cost)
+class _Rectangle:
+    """Rows and columns of one table taken so far. The header is one more row, taken with the first tile.
+
+    ``row_sums`` holds the tokens of every row over the columns taken and ``col_sums`` those of every column over the
+    rows taken, so a candidate is charged by its new cells only.
+    """
+
+    def __init__(self, rows: pd.DataFrame):
+        first = rows.iloc[0]
+        self.number = {row: k for k, row in enumerate(rows["row_id"])}
+        self.tokens = np.stack([*rows["tokens"], first["header_tokens"]]).astype(np.int64)
+        self.lone = np.stack([*rows["lone"], first["header_lone"]]).astype(np.int64)
+        self.prefix = int(first["prefix"])
+        n, m = self.tokens.shape
+        self.rows, self.cols = np.zeros(n, bool), np.zeros(m, bool)
+        self.row_sums, self.col_sums, self.total, self.cost = np.zeros(n, np.int64), np.zeros(m, np.int64), 0, 0
+
+    def with_tile(self, row_ids, cols) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """Cost and sum of tokens once the tile is in, and the rows and columns that are new."""
+        rows = np.array([self.number[r] for r in row_ids] + [len(self.rows) - 1])
+        cols = np.asarray(cols, np.int64)
+        rows, cols = rows[~self.rows[rows]], cols[~self.cols[cols]]
+        total = self.total + int(self.row_sums[rows].sum() + self.col_sums[cols].sum() + self.tokens[np.ix_(rows, cols)].sum())
+        n_rows, n_cols = int(self.rows.sum()) + len(rows), int(self.cols.sum()) + len(cols)
+        if n_cols > 1:
+            return self.prefix + total + n_rows * (n_cols - 1), total, rows, cols
+        only = cols[0] if len(cols) else int(np.flatnonzero(self.cols)[0])
+        return self.prefix + int(self.lone[self.rows, only].sum() + self.lone[rows, only].sum()), total, rows, cols
+
+    def take(self, cost: int, total: int, rows: np.ndarray, cols: np.ndarray) -> None:
+        self.row_sums += self.tokens[:, cols].sum(axis=1)
+        self.col_sums += self.tokens[rows].sum(axis=0)
+        self.rows[rows], self.cols[cols] = True, True
+        self.cost, self.total = cost, total
+
+
+def _walk_closure(tiles: pd.DataFrame, rows: pd.DataFrame, budget: int, second_tile: bool) -> pd.DataFrame:
+    tables = {table: _Rectangle(part.drop_duplicates("row_id")) for table, part in rows.groupby("table_name")}
+    ranks, used, cut, taken = [], 0, False, set()
+    for rank_no, group in tiles.sort_values("rank", kind="stable").groupby("rank", sort=True):
+        if second_tile and rank_no > SECOND and not taken & {SECOND}:
+            break  # the second candidate was left out before: it ends the walk
+        table = tables[group["table_name"].iloc[0]]
+        cost, *rest = table.with_tile(group["row_id"], group["cols"].iloc[0])
+        if used - table.cost + cost <= budget:
+            used += cost - table.cost
+            table.take(cost, *rest)
             ranks.append(int(rank_no))
+            taken.add(int(rank_no))
+        elif second_tile and rank_no == SECOND:
+            break
     first = tiles.iloc[0] if len(tiles) else rows.iloc[0]
-    cells = sum(len(r) * len(c) for r, c, _ in merged.values())
+    if second_tile and SECOND not in taken and int(first["_last"]) >= SECOND:
+        ranks, used, cut = [r for r in ranks if r < SECOND] + [SECOND], budget, True
+    held = [t for t in tables.values() if t.cost]
+    cells = sum((int(t.rows.sum()) - 1) * int(t.cols.sum()) for t in held)
     return pd.DataFrame(
-        {"lake": [first["lake"]], "gt_name": [first["gt_name"]], "used": [used], "ranks": [ranks],
-         "n_tables": [len(merged)], "n_cells": [cells]}
+        {"lake": [first["lake"]], "gt_name": [first["gt_name"]], "used": [used], "ranks": [ranks], "cut": [cut],
+         "n_tables": [len(held)], "n_cells": [cells]}
     )

@@ -132,6 +132,20 @@ def answer_table(lake: Lake, answers: dict[str, str], ordered: Collection[str] =
     return united
 
 
+def answer_maps(answers: DataFrame) -> DataFrame:
+    """``answer_table`` in map form: (gt_name, answer_table ``MAP<column name, ARRAY<value>>``), columns in query order.
+
+    Of columns with one name the first is kept. An answer is one value here, as it is in a request.
+    """
+    columns = answers.groupBy("gt_name", "col_pos", "col_name").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_rows"))
+    listed = columns.groupBy("gt_name").agg(F.array_sort(F.collect_list(F.struct("col_pos", "col_name", "_rows"))).alias("_c"))
+    names = F.transform("_c", lambda c: c["col_name"])
+    first = F.filter("_c", lambda c, i: F.array_position(names, c["col_name"]) == i + 1)
+    entries = F.transform(first, lambda c: F.struct(c["col_name"], F.transform(c["_rows"], lambda r: r["value"])))
+    return listed.select("gt_name", F.map_from_entries(entries).alias("answer_table"))
+
+
 def first_failing_check(checks: Sequence[tuple[str, str]]):
     """Name of the first check (reason, SQL condition) that holds, null if the ground truth is usable."""
     reason = F.lit(None).cast("string")

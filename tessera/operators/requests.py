@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import message_tokens, token_count
+from tessera.functions.text import clean_prediction, message_tokens, token_count
 
 # Model limits and prices per 1000 tokens.
 # name, kind, requests per minute, tokens per minute, input price, output price, context length, longest output
@@ -161,6 +161,12 @@ def response_costs(responses: DataFrame) -> DataFrame:
     )
 
 
+def prediction(response: Column, layout: str = "list") -> Column:
+    """What a response predicts: the text of its first choice, as canonical CSV in the ``table`` layout; null if it failed."""
+    content = F.get_json_object(response, "$.choices[0].message.content")
+    return clean_prediction(content) if layout == "table" else content
+
+
 def is_failed(response: Column) -> Column:
     return F.get_json_object(response, "$.choices").isNull()
 

@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
 from tessera.operators import evaluation, packing, provenance, requests, retrieval, slicing
-from tessera.plans.corpus import DIM_BLOCKS, EMBEDDER, STAR_COLUMNS, TOKEN, dims_lake, order_cells, sql_order_cells, sql_tables, star_lake, table
-from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents
+from tessera.plans.corpus import (
+    BLOCKS, DIM, EMBEDDER, ORDER_COLUMNS, STAR, STAR_COLUMNS, TOKEN, order_cells, sql_cells, sql_hash, sql_order_cells, sql_tables, star_lake, table,
+)
+from tessera.plans.embeddings import sql_grid_tiles
+from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents, sql_perfect
 from tessera.plans.registry import query
 from tessera.session import materialize
 from tessera.sources.lake import catalog, catalog_of_cells
 from tessera.streaming.rates import flag_limits, windowed_rate
-from tessera.workflows import AnswerConfig, select_context
+from tessera.workflows import AnswerConfig, GridSlicer, select_context
 
 
 def _sql_field(expr: str) -> str:
@@ -25,24 +28,23 @@ def _sql_tokens(text: str) -> str:
     return f"len(regexp_extract_all({text}, '{TOKEN}'))"
 
 
-_CSV_TABLES = ["nation", "supplier", "events"]
-
-
 @query(
     "linearize_csv",
-    f"with {sql_tables(_CSV_TABLES)} "
+    f"with {sql_tables()} "
     + " union all ".join(
-        f"select '{t}' as table_name, row_id, " + " || ',' || ".join(_sql_field(f"{c}::varchar") for c in STAR_COLUMNS[t]) + f" as line from t_{t}" for t in _CSV_TABLES
-    ),
+        f"select '{t}' as table_name, row_id, " + " || ',' || ".join(_sql_field(f"{c}::varchar") for c in STAR_COLUMNS[t]) + f" as line from t_{t}" for t in STAR
+    )
+    + "".join(f" union all select '{t}', -1, '{','.join(STAR_COLUMNS[t])}'" for t in STAR),
 )
 def linearize_csv(spark, sf_dir):
-    return packing.csv_lines(packing.wide_rows(star_lake(spark, sf_dir, _CSV_TABLES))).drop("lake")
+    lake = star_lake(spark, sf_dir)
+    return packing.csv_headers(lake).unionByName(packing.csv_lines(packing.wide_rows(lake))).drop("lake")
 
 
 @query(
     "linearize_tiles",
     f"with {sql_order_cells()}, line as (select table_name, row_id, string_agg({_sql_field('value')}, ',' order by col_pos) as line, string_agg(col_name, ',' order by col_pos) as header from cells group by all),"
-    " tile as (select table_name, count(*) * 4 as num_cells, any_value(header) as header, string_agg(line, chr(10) order by row_id) as body from line group by table_name)"
+    f" tile as (select table_name, count(*) * {len(ORDER_COLUMNS)} as num_cells, any_value(header) as header, string_agg(line, chr(10) order by row_id) as body from line group by table_name)"
     " select table_name, num_cells, 'table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10) as text from tile",
 )
 def linearize_tiles(spark, sf_dir):
@@ -57,23 +59,24 @@ def linearize_list(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", list_answer(values).alias("answer"))
 
 
-_SQL_LINES = "list_filter(string_split(replace(body, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x) <> '')"
-_SQL_COUNT = "len(string_split(regexp_replace({x}, '\"[^\"]*\"', '', 'g'), ','))"
+_SAID = "role || ' said: \"' || text || '\"' || chr(10) || chr(10) || 'end, of turn ' || turn"
 
 
 @query(
     "clean_prediction",
-    "with p as (select doc_id, case when doc_id % 2 = 0 then '```csv' || chr(10) || text || '```' else text end as prediction from documents),"
-    " b as (select doc_id, case when starts_with(prediction, '```csv') then substr(prediction, 7, length(prediction) - 9) else prediction end as body from p),"
-    f" l as (select doc_id, body, {_SQL_LINES} as lines from b)"
-    f" select doc_id, md5(case when len(lines) > 0 and len(list_filter(lines, lambda x: {_SQL_COUNT.format(x='x')} > {_SQL_COUNT.format(x='lines[1]')})) = 0"
-    " then array_to_string(list_transform(lines, lambda x: rtrim(x)), chr(10)) || chr(10) else body end) as prediction_md5 from l",
+    f"with t as (select conv_id, turn, {_sql_field(f'({_SAID})')} as said, role from conversations)"
+    " select conv_id, md5('who,\"what, exactly\",more' || chr(10) || string_agg(role || ',' || said || ',', chr(10) order by turn) || chr(10)) as prediction_md5 from t group by conv_id",
 )
 def clean_prediction(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    fenced = F.concat(F.lit("```csv\n"), F.col("text"), F.lit("```"))
-    prediction = F.when(F.col("doc_id") % 2 == 0, fenced).otherwise(F.col("text"))
-    return docs.select("doc_id", prediction.alias("prediction")).select("doc_id", F.md5(clean(F.col("prediction"))).alias("prediction_md5"))
+    """Conversations as a model might write them (every field quoted, ``\\r\\n``, blank lines, a fence, short lines); the
+    check writes the expected text from the turns and parses nothing."""
+    said = F.concat("role", F.lit(' said: "'), "text", F.lit('"\n\nend, of turn '), "turn")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(",", quoted(F.col("role")), quoted(said)).alias("line"))
+    listed = lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("lines"))
+    body = F.concat(F.lit('who,"what, exactly","more"\r\n'), F.array_join("lines.line", "\r\n \t\r\n\r\n"), F.lit("\r\n"))
+    prediction = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("```csv\n"), body, F.lit("```"))).otherwise(body)
+    return listed.select("conv_id", F.md5(clean(prediction)).alias("prediction_md5"))
 
 
 @query("token_counts", f"select doc_id, {_sql_tokens('text')} as tokens, {_sql_tokens('text')} + 10 as message_tokens from documents")
@@ -123,32 +126,91 @@ def pack_greedy(spark, sf_dir):
     return packed.select("lake", "gt_name", "n_candidates", "used", F.array_join("ranks", ",").alias("ranks"), "near_end")
 
 
+_TILES, _BUDGET = 1000, 3000
+
+
+def _sql_costs(lake: str = "star") -> str:
+    """``lines``, ``tile_cost`` and ``head``: text and tokens of every line, of row-wise tiles and of what stands before.
+
+    Needs the tables and ``g (table_name, s)``, the rows of a tile.
+    """
+    field = _sql_field("value")
+    return (
+        f"{sql_cells(STAR, lake)}, lines as (select table_name, row_id, string_agg({field}, ',' order by col_pos) as line,"
+        f" sum({_sql_tokens(field)}) + count(*) - 1 as n from cells group by all),"
+        " tile_cost as (select table_name, table_name || '/' || (row_id // s) || '/0' as tile_id, cast(sum(n) as bigint) as body, count(*) as n_rows from lines join g using (table_name) group by all),"
+        " names as (select table_name, col_pos, any_value(col_name) as col_name from cells group by all),"
+        f" head as (select table_name, string_agg(col_name, ',' order by col_pos) as header, count(*) as n_cols, cast(sum({_sql_tokens('col_name')}) + count(*) - 1"
+        f" + {_sql_tokens(chr(39) + 'table: ' + chr(34) + chr(39) + ' || table_name || ' + chr(39) + chr(34) + chr(39))} as bigint) as head from names group by table_name)"
+    )
+
+
+# row-wise tiles are as wide as their table, so merging two of them adds their rows and saves one header
+_SQL_WALK = (
+    "rt as (select gt_name, rank, tile_id, table_name, body, n_rows * n_cols as cells, head from ranked join tile_cost using (tile_id) join head using (table_name) where rank <= 2000),"
+    " lim as (select gt_name, count(*) as n_candidates from rt group by all),"
+    " walk as (select gt_name, 0::bigint as rank, 0::bigint as used, []::bigint[] as ranks, []::varchar[] as tables, 0::bigint as n_cells from lim"
+    " union all select gt_name, rank, case when fits then cost else used end, case when fits then list_append(ranks, rank) else ranks end,"
+    " case when fits and not held then list_append(tables, table_name) else tables end, case when fits then n_cells + cells else n_cells end"
+    " from (select w.gt_name, rt.rank, w.used, w.ranks, w.tables, w.n_cells, rt.cells, rt.table_name, list_contains(w.tables, rt.table_name) as held,"
+    " w.used + rt.body + case when list_contains(w.tables, rt.table_name) then 0 else rt.head end as cost,"
+    f" w.used + rt.body + case when list_contains(w.tables, rt.table_name) then 0 else rt.head end <= {_BUDGET} as fits"
+    " from walk w join rt on rt.gt_name = w.gt_name and rt.rank = w.rank + 1)),"
+    " packed as (select gt_name, n_candidates, used, ranks, len(tables) as n_tables, n_cells, n_candidates - coalesce(list_max(ranks), 0) <= 10 as near_end"
+    " from walk join lim using (gt_name) where rank = n_candidates)"
+)
+_SQL_PERFECT_RANKED = (
+    f"{sql_perfect(_TILES)}, {_sql_costs()}, ranked as (select gt_name, tile_id, row_number() over (partition by gt_name order by distance, tile_id) as rank from d)"
+).replace(", names as (select distinct gt_name", ", truth_names as (select distinct gt_name").replace("from names cross join sizes", "from truth_names cross join sizes")
+
+
 def closure_input(spark, sf_dir):
-    lake = dims_lake(spark, sf_dir)
-    strides = slicing.grid(catalog(lake), [("rowwise", 200)])
+    lake = star_lake(spark, sf_dir)
+    strides = slicing.grid(catalog(lake), [("rowwise", _TILES)])
     tiles = slicing.grid_tiles(strides)
-    truth_cols = provenance.provenance_columns(lake, DIM_BLOCKS)
-    hits = materialize(slicing.grid_hits(strides, provenance.provenance_rows(lake, DIM_BLOCKS), truth_cols), "hits")
+    truth_cols = provenance.provenance_columns(lake, BLOCKS)
+    hits = materialize(slicing.grid_hits(strides, provenance.provenance_rows(lake, BLOCKS), truth_cols), "hits")
     ranked = materialize(retrieval.retrieve_perfect(hits, tiles.select("lake", "tile_id", "num_cells"), truth_cols), "ranked")
     spans = tiles.select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
     return ranked, spans, packing.row_tokens(packing.wide_rows(lake))
 
 
-@query("pack_closure")
+@query(
+    "pack_closure",
+    f"with recursive {_SQL_PERFECT_RANKED}, {_SQL_WALK} select gt_name, n_candidates, used, array_to_string(ranks, ',') as ranks, n_tables::int as n_tables, n_cells, near_end from packed",
+)
 def pack_closure(spark, sf_dir):
-    packed = packing.pack_closure(*closure_input(spark, sf_dir), budget=400)
-    return packed.select("gt_name", "used", F.array_join("ranks", ",").alias("ranks"), "n_tables", "n_cells")
+    packed = packing.pack_closure(*closure_input(spark, sf_dir), budget=_BUDGET)
+    return packed.select("gt_name", "n_candidates", "used", F.array_join("ranks", ",").alias("ranks"), "n_tables", "n_cells", "near_end")
 
 
-@query("answer_contexts")
+_SQL_ASKED = (
+    f"{sql_grid_tiles(_TILES, 'star')}, {_sql_costs().replace(sql_cells(STAR, 'star') + ', ', '')},"
+    f" tv as (select table_name || '/' || b || '/0' as tile_id, " + ", ".join(f"(o{i} + 2 * r{i}) / 8 as v{i}" for i in range(DIM)) + " from cellmean),"
+    " asked as (select 'question-' || item_id as gt_name, " + ", ".join(f"{sql_hash('text', i)} as w{i}" for i in range(DIM)) + " from benchmark),"
+    " dist as (select gt_name, tile_id, round(1 - (" + " + ".join(f"v{i} * w{i}" for i in range(DIM)) + ") / (sqrt(" + " + ".join(f"v{i} * v{i}" for i in range(DIM))
+    + ") * sqrt(" + " + ".join(f"w{i} * w{i}" for i in range(DIM)) + ")), 10) as distance from tv, asked),"
+    " ranked as (select gt_name, tile_id, row_number() over (partition by gt_name order by distance, tile_id) as rank from dist)"
+)
+
+
+@query(
+    "answer_contexts",
+    f"with recursive {_SQL_ASKED}, {_SQL_WALK}, picked as (select gt_name, unnest(ranks) as rank from packed),"
+    " taken as (select gt_name, table_name, rank, tile_id from picked join rt using (gt_name, rank)),"
+    " tabs as (select gt_name, table_name, min(rank) as place, string_agg(line, chr(10) order by row_id) as body from taken"
+    " join (select table_name, row_id, line, table_name || '/' || (row_id // s) || '/0' as tile_id from lines join g using (table_name)) using (table_name, tile_id) group by all),"
+    " texts as (select gt_name, string_agg('table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10), chr(10) || chr(10) order by place) as context from tabs join head using (table_name) group by gt_name)"
+    f" select gt_name, {_sql_tokens('context')} as tokens, md5(context) as context_md5 from texts",
+)
 def answer_contexts(spark, sf_dir):
-    """Every benchmark text asked of the dimension tables: retrieve, pack, merge, linearise."""
+    """Every benchmark text asked of the star lake: retrieve, pack, merge, linearise."""
     questions = table(spark, sf_dir, "benchmark").select(
-        F.lit("dims").alias("lake"), F.concat(F.lit("question-"), F.col("item_id")).alias("gt_name"), F.col("text").alias("information_need")
+        F.lit("star").alias("lake"), F.concat(F.lit("question-"), F.col("item_id")).alias("gt_name"), F.col("text").alias("information_need")
     )
-    config = AnswerConfig(tiles_per_table=50, context_tokens=500, embedder=EMBEDDER)
-    context, _ = select_context(dims_lake(spark, sf_dir), questions, config)
-    return context.select("gt_name", token_count(F.col("context")).alias("tokens"), F.md5("context").alias("context_md5"))
+    config = AnswerConfig(slicer=GridSlicer("rowwise", _TILES), context_tokens=_BUDGET, embedder=EMBEDDER)
+    context, _ = select_context(star_lake(spark, sf_dir), questions, config)
+    return context.filter("context IS NOT NULL").select("gt_name", token_count(F.col("context")).cast("long").alias("tokens"), F.md5("context").alias("context_md5"))
 
 
 _SQL_QUESTIONS = (

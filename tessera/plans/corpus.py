@@ -75,14 +75,14 @@ def dims_lake(spark: SparkSession, sf_dir: str) -> Lake:
     return star_lake(spark, sf_dir, DIMS, "dims")
 
 
-ORDER_COLUMNS = ["l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+ORDER_COLUMNS = STAR_COLUMNS["lineitem"]
 
 
 def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the ``orders`` lakes."""
     from tessera.functions.text import value_text
 
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", *ORDER_COLUMNS)
+    lines = table(spark, sf_dir, "lineitem").select(*ORDER_COLUMNS)
     numbered = dense_positions(lines, ORDER_COLUMNS, ["l_orderkey"])
     heads = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("lake")

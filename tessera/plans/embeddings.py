@@ -127,16 +127,20 @@ def weighted_combine(spark, sf_dir):
 # ---- tiles -----------------------------------------------------------------------------------------
 
 _TPT = 50
-_SQL_GRID_TILES = (
-    f"{_CELL_PARTS}, {sql_catalog(STAR, 'dims')}, g as (select table_name, ceil(n_rows / (1 + ({_TPT - 1} * (select count(*) from tables) * num_cells) // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
-    " a as (select parts.*, row_id // s as b from parts join g using (table_name)), cellmean as (select table_name, b, "
-    + ", ".join(f"avg(4 * t{i} + n{i} + c{i}) as o{i}, avg(c{i}) as r{i}" for i in R) + " from a group by table_name, b)"
-)
+
+
+def sql_grid_tiles(tiles_per_table: int, lake: str = "dims") -> str:
+    """``cellmean``: sums of the parts of row-wise tiles, and ``g``: rows of a tile of each table."""
+    return (
+        f"{_CELL_PARTS.replace(sql_cells(STAR, 'dims'), sql_cells(STAR, lake))}, {sql_catalog(STAR, lake)}, g as (select table_name, ceil(n_rows / (1 + ({tiles_per_table - 1} * (select count(*) from tables) * num_cells) // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
+        " a as (select parts.*, row_id // s as b from parts join g using (table_name)), cellmean as (select table_name, b, "
+        + ", ".join(f"avg(4 * t{i} + n{i} + c{i}) as o{i}, avg(c{i}) as r{i}" for i in R) + " from a group by table_name, b)"
+    )
 
 
 @query(
     "tile_embedding",
-    f"with {_SQL_GRID_TILES} select table_name, table_name || '/' || b || '/0' as tile_id, "
+    f"with {sql_grid_tiles(_TPT)} select table_name, table_name || '/' || b || '/0' as tile_id, "
     + ", ".join(f"round((o{i} + 2 * r{i}) / 8, 6) + 0.0 as v{i}" for i in R) + " from cellmean",
 )
 def tile_embedding(spark, sf_dir):

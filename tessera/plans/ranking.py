@@ -105,19 +105,21 @@ def rank_documents(spark, sf_dir):
     return ranked_documents(spark, sf_dir).select("lake", "gt_name", "tile_id", "rank")
 
 
-_SQL_PERFECT = (
-    f"{sql_tables()}, {sql_truth_rows()}, {sql_truth_cols()}, {sql_catalog()}, g as (select table_name, n_rows, n_cols, ceil(n_rows / (1 + (99 * (select count(*) from tables) * num_cells)"
-    " // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
-    " t as (select table_name, n_rows, n_cols, s, unnest(range(0, ceil(n_rows / s)::bigint)) as b from g),"
-    " sizes as (select table_name || '/' || b || '/0' as tile_id, (least((b + 1) * s, n_rows) - b * s) * n_cols as num_cells from t),"
-    " hits as (select gt_name, table_name || '/' || (row_id // s) || '/0' as tile_id, count(*) as num_in from truth_rows join truth_cols using (gt_name, table_name) join g using (table_name) group by all),"
-    " names as (select distinct gt_name from truth_cols), d as (select gt_name, tile_id, 1.0::double - coalesce(num_in, 0) / num_cells as distance from names cross join sizes left join hits using (gt_name, tile_id))"
-)
+def sql_perfect(tiles_per_table: int) -> str:
+    """Ranking ``d (gt_name, tile_id, distance)`` of row-wise tiles by the share of their cells outside the truth."""
+    return (
+        f"{sql_tables()}, {sql_truth_rows()}, {sql_truth_cols()}, {sql_catalog()}, g as (select table_name, n_rows, n_cols, ceil(n_rows / (1 + ({tiles_per_table - 1} * (select count(*) from tables) * num_cells)"
+        " // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
+        " t as (select table_name, n_rows, n_cols, s, unnest(range(0, ceil(n_rows / s)::bigint)) as b from g),"
+        " sizes as (select table_name || '/' || b || '/0' as tile_id, (least((b + 1) * s, n_rows) - b * s) * n_cols as num_cells from t),"
+        " hits as (select gt_name, table_name || '/' || (row_id // s) || '/0' as tile_id, count(*) as num_in from truth_rows join truth_cols using (gt_name, table_name) join g using (table_name) group by all),"
+        " names as (select distinct gt_name from truth_cols), d as (select gt_name, tile_id, 1.0::double - coalesce(num_in, 0) / num_cells as distance from names cross join sizes left join hits using (gt_name, tile_id))"
+    )
 
 
 @query(
     "retrieve_perfect",
-    f"with {_SQL_PERFECT} select * from (select gt_name, tile_id, round(distance, 9) as distance, row_number() over (partition by gt_name order by distance, tile_id) as rank from d) where rank <= 2000",
+    f"with {sql_perfect(100)} select * from (select gt_name, tile_id, round(distance, 9) as distance, row_number() over (partition by gt_name order by distance, tile_id) as rank from d) where rank <= 2000",
 )
 def retrieve_perfect(spark, sf_dir):
     lake = star_lake(spark, sf_dir)

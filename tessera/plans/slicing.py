@@ -129,7 +129,7 @@ def precision_pivot(spark, sf_dir):
     return pivoted.select("slicer", *[F.round(f"tpt_{t}", 9).alias(f"tpt_{t}") for t in TPTS])
 
 
-_DIVISIVE_TPT = 3
+_DIVISIVE_TPT = 50
 
 
 def _order_vectors(spark, sf_dir):
@@ -212,13 +212,13 @@ def slice_divisive(spark, sf_dir):
 
 @query("slice_divisive_confusion")
 def slice_divisive_confusion(spark, sf_dir):
-    """Divisive tiles of the dimension tables, scored against every ground truth over them."""
-    lake = dims_lake(spark, sf_dir)
+    """Divisive tiles of the star lake, scored against every ground truth."""
+    lake = star_lake(spark, sf_dir)
     cells = melt(lake)
     tables, tiles, members = _divisive(spark, sf_dir, cells)
     spans = divisive.tile_spans(members)
-    rows = provenance.provenance_rows(lake, DIM_BLOCKS)
-    truth_cols = provenance.provenance_columns(lake, DIM_BLOCKS)
+    rows = provenance.provenance_rows(lake, BLOCKS)
+    truth_cols = provenance.provenance_columns(lake, BLOCKS)
     truths = rows_to_spans(rows.join(truth_cols, ["lake", "gt_name", "table_name"]))
     hits = tile_hits(spans, truths, ["tile_id", "table_name"], ["gt_name"])
     hits = hits.withColumn("tile_id", F.concat_ws("/", "table_name", "tile_id"))

@@ -8,7 +8,7 @@ from tessera.operators import rectangles, slicing, tiles
 from tessera.operators.packing import wide_rows
 from tessera.operators.provenance import Block, ground_truth_tiles
 from tessera.plans.corpus import (
-    BLOCKS, sql_catalog, sql_cells, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
+    BLOCKS, STAR, sql_catalog, sql_cells, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
 )
 from tessera.plans.registry import query
 from tessera.session import materialize
@@ -217,13 +217,10 @@ def cell_tile_annotation(spark, sf_dir):
     return cells.select("table_name", "row_id", "col_pos", F.array_join("tiles", ",").alias("tiles"))
 
 
-_SORTED = ["customer", "part", "orders"]
-
-
 @query(
     "sort_cells_by_tile",
-    f"with {SQL_RESULTS}, {sql_cells(_SORTED)}, first_col as (select table_name, row_id, max(ordinal) as owner from tile_cells where col_pos = 0 group by all),"
-    " all_rows as (" + " union all ".join(f"select '{t}' as table_name, row_id from t_{t}" for t in _SORTED) + "),"
+    f"with {SQL_RESULTS}, {sql_cells()}, first_col as (select table_name, row_id, max(ordinal) as owner from tile_cells where col_pos = 0 group by all),"
+    " all_rows as (" + " union all ".join(f"select '{t}' as table_name, row_id from t_{t}" for t in STAR) + "),"
     " rows_new as (select table_name, row_id, row_number() over (partition by table_name order by owner nulls last, row_id) - 1 as new_row from all_rows left join first_col using (table_name, row_id)),"
     " top as (select table_name, row_id from rows_new where new_row = 0),"
     " col_owner as (select table_name, col_pos, max(ordinal) as owner from tile_cells join top using (table_name, row_id) group by all),"
@@ -232,8 +229,8 @@ _SORTED = ["customer", "part", "orders"]
     " select table_name, new_row, new_col, value from cells join rows_new using (table_name, row_id) join cols_new using (table_name, col_pos)",
 )
 def sort_cells_by_tile(spark, sf_dir):
-    lake = star_lake(spark, sf_dir, _SORTED)
-    spans = result_spans(spark, sf_dir).filter(F.col("table_name").isin(_SORTED))
+    lake = star_lake(spark, sf_dir)
+    spans = result_spans(spark, sf_dir)
     rows, cols = tiles.order_by_owner(spans, catalog(lake), "ordinal")
     moved = melt(lake).join(rows.drop("owner"), ["lake", "table_name", "row_id"]).join(cols.drop("owner"), ["lake", "table_name", "col_pos"])
     return moved.select("table_name", "new_row", "new_col", "value")

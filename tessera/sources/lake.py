@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import value_text
-from tessera.sources.tables import ROW_ID, number_rows, read_table, table_name_of
+from tessera.sources.tables import ROW_ID, number_rows, read_table, rows_of_files, table_name_of
 
 CELLS = ["lake", "table_name", "row_id", "col_pos", "col_name", "value"]
 CATALOG = ["lake", "table_name", "n_rows", "n_cols", "num_cells"]
@@ -54,15 +54,22 @@ def lake_from_directory(spark: SparkSession, name: str, path: str) -> Lake:
 
 
 def lake_from_catalog(spark: SparkSession, name: str, database: str | None = None) -> Lake:
-    """Every table of a catalog database (or every temporary view); rows are numbered by all columns."""
+    """Every table of a catalog database (or every temporary view). Rows of parquet tables are numbered by their place in
+    the files, those of other tables and of views by all columns."""
     lake = Lake(name)
     for entry in spark.catalog.listTables(database):
         full = entry.name if entry.isTemporary or not database else f"{database}.{entry.name}"
         df = spark.table(full)
-        lake = lake.with_table(entry.name, number_rows(df, df.columns))
+        in_files = entry.tableType in ("MANAGED", "EXTERNAL") and _provider(spark, full) == "parquet"
+        lake = lake.with_table(entry.name, rows_of_files(df) if in_files else number_rows(df, df.columns))
     return lake
 
 
+def _provider(spark: SparkSession, table: str) -> str | None:
+    found = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Provider'").first()
+    return found["data_type"].lower() if found else None
+
+
 def catalog(lake: Lake) -> DataFrame:
     """(lake, table_name, n_rows, n_cols, num_cells), one row per table.
 

@@ -29,12 +29,17 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def _parquet_with_row_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Row positions come from the parquet reader itself, so no shuffle and no sort.
+    return rows_of_files(spark.read.parquet(path))
+
+
+def rows_of_files(df: DataFrame) -> DataFrame:
+    """A frame straight from parquet files with its row ids. Row positions come from the parquet reader itself, so no
+    shuffle and no sort.
 
     With several files, each file's start is the row count of the files before it; the counts are
     read from the footers, one row per file that the driver has listed anyway.
     """
-    df = spark.read.parquet(path)
+    spark = df.sparkSession
     if len(df.inputFiles()) <= 1:
         return df.select(F.col("_metadata.row_index").alias(ROW_ID), *df.columns)
     counts = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))

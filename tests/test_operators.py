@@ -92,18 +92,23 @@ def test_blocked_retrieval_equals_brute_force(spark, monkeypatch):
         retrieval.retrieve(questions, tile.withColumn("vec", F.slice("vec", 1, 3))).collect()
 
 
-def _brute_closure(ranked, spans, table, budget):
-    """Greedy closure packing by building and counting every context."""
+def _text_tokens(name, header, lines, cols):
+    """Tokens of a tile's text, counted on the text itself."""
+    import csv
+    import io
     import re
 
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    for line in [header, *lines]:
+        writer.writerow([line[c] for c in sorted(cols)])
+    return len(re.findall(r"\w+|[^\w\s]", f'table: "{name}"\n\n{out.getvalue()}\n', re.ASCII))
+
+
+def _brute_closure(ranked, spans, table, budget, second_tile=False):
+    """Greedy closure packing by writing and counting every context."""
     def tokens(state):
-        n = 0
-        for name, (rows, cols) in state.items():
-            n += len(re.findall(r"\w+|[^\w\s]", f'table: "{name}"', re.ASCII))
-            header, body = table[name]
-            for line in [header] + [body[r] for r in sorted(rows)]:
-                n += sum(max(1, len(re.findall(r"\w+|[^\w\s]", line[c], re.ASCII))) for c in cols) + len(cols) - 1
-        return n
+        return sum(_text_tokens(name, table[name][0], [table[name][1][r] for r in sorted(rows)], cols) for name, (rows, cols) in state.items())
 
     state, picked = {}, []
     for rank, tile in ranked:
@@ -112,30 +117,77 @@ def _brute_closure(ranked, spans, table, budget):
         trial = {**state, name: (old[0] | rows, old[1] | cols)}
         if tokens(trial) <= budget:
             state, picked = trial, picked + [rank]
-    return picked, tokens(state)
+        elif second_tile and rank == 2:
+            return picked + [rank], budget, True
+    return picked, tokens(state), False
 
 
-@pytest.mark.parametrize("budget", [10, 60, 150, 400])
-def test_closure_packing_equals_brute_force(spark, budget):
-    rng = np.random.default_rng(budget)
-    words = ["x", "two words", "a-b", "", "semi;colon here"]
-    table = {n: ([f"{n}_c{c}" for c in range(4)], [[str(rng.choice(words)) for _ in range(4)] for _ in range(12)]) for n in ("a", "b")}
+def _packing_input(spark, seed, n=20):
+    rng = np.random.default_rng(seed)
+    words = ["x", "two words", "a-b", "", "", 'say "semi;colon", here', None, " "]
+    table = {n: ([f"{n}_c{c}" if c else "" for c in range(4)], [[words[rng.integers(len(words))] for _ in range(4)] for _ in range(12)]) for n in ("a", "b")}
     spans, rows = {}, []
-    for i in range(20):
+    for i in range(n):
         name, lo = str(rng.choice(["a", "b"])), int(rng.integers(0, 10))
         hi, cols = lo + int(rng.integers(1, 3)), sorted(int(c) for c in rng.choice(4, rng.integers(1, 4), replace=False))
         spans[f"t{i}"] = (name, set(range(lo, hi)), set(cols))
         rows.append(("l", name, f"t{i}", lo, hi, cols))
-    ranked = [(i + 1, f"t{i}") for i in range(20)]
+    ranked = [(i + 1, f"t{i}") for i in range(n)]
     ranked_df = spark.createDataFrame([("l", "q", r, t) for r, t in ranked], "lake string, gt_name string, rank int, tile_id string")
     span_df = spark.createDataFrame(rows, "lake string, table_name string, tile_id string, row_lo long, row_hi long, cols array<int>")
     row_df = spark.createDataFrame(
         [("l", n, r, h, v) for n, (h, body) in table.items() for r, v in enumerate(body)],
         "lake string, table_name string, row_id long, names array<string>, values array<string>",
     )
-    got = packing.pack_closure(ranked_df, span_df, packing.row_tokens(row_df), budget).first()
-    assert (got["ranks"], got["used"]) == _brute_closure(ranked, spans, table, budget)
-    assert got["used"] <= budget
+    return ranked, spans, table, ranked_df, span_df, row_df
+
+
+@pytest.mark.parametrize("budget,second", [(10, False), (14, True), (30, True), (60, False), (150, True), (400, False)])
+def test_closure_packing_equals_brute_force(spark, budget, second):
+    for seed in range(3):
+        ranked, spans, table, ranked_df, span_df, row_df = _packing_input(spark, budget + seed)
+        got = packing.pack_closure(ranked_df, span_df, packing.row_tokens(row_df), budget, second).first()
+        assert (got["ranks"], got["used"], got["cut"]) == _brute_closure(ranked, spans, table, budget, second)
+        assert got["used"] <= budget and got["n_candidates"] == 20
+
+
+def test_tile_costs_are_those_of_the_text(spark):
+    _, spans, table, _, span_df, row_df = _packing_input(spark, 5, 60)
+    got = {r["tile_id"]: r["tokens"] for r in packing.tile_tokens(span_df, packing.row_tokens(row_df)).collect()}
+    assert got == {t: _text_tokens(n, table[n][0], [table[n][1][r] for r in sorted(rows)], cols) for t, (n, rows, cols) in spans.items()}
+    texts = packing.linearize_tiles(span_df, row_df).withColumn("n", F.regexp_count("text", F.lit(r"(\w+|[^\w\s])")))
+    assert {r["tile_id"]: r["n"] for r in texts.collect()} == got
+
+
+def test_sparse_tiles_above_the_budget_in_cells_fit(spark):
+    """600 cells in 400 tokens: empty fields cost their commas only."""
+    rows = spark.range(200).select(
+        F.lit("l").alias("lake"), F.lit("t").alias("table_name"), F.col("id").alias("row_id"), F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("names"),
+        F.array(*[F.lit("")] * 3).alias("values"))
+    span = spark.createDataFrame([("l", "t", "t1", 0, 190, [0, 1, 2])], "lake string, table_name string, tile_id string, row_lo long, row_hi long, cols array<int>")
+    ranked = spark.createDataFrame([("l", "q", 1, "t1")], "lake string, gt_name string, rank int, tile_id string")
+    got = packing.pack_closure(ranked, span, packing.row_tokens(rows), 400).first()
+    assert (got["ranks"], got["used"], got["n_cells"]) == ([1], 190 * 2 + 5 + 5, 570)
+
+
+def test_second_tile_is_cut(spark):
+    ranked = spark.createDataFrame([("l", "q", i + 1, f"t{i}", n) for i, n in enumerate([5, 70, 2])] + [("l", "p", 1, "t0", 99), ("l", "p", 2, "t2", 3)],
+                                   "lake string, gt_name string, rank int, tile_id string, tokens long")
+    got = {r["gt_name"]: r for r in packing.pack_greedy(ranked, 9, second_tile=True).collect()}
+    assert (got["q"]["ranks"], got["q"]["used"], got["q"]["cut"], got["q"]["near_end"]) == ([1, 2], 9, True, False)
+    assert (got["p"]["ranks"], got["p"]["used"], got["p"]["cut"]) == ([2], 3, False)
+    rows = spark.range(500).select(
+        F.lit("l").alias("lake"), F.lit("t").alias("table_name"), F.col("id").alias("row_id"), F.array(F.lit("a"), F.lit("b")).alias("names"),
+        F.array(F.lit("x"), F.col("id").cast("string")).alias("values"))
+    spans = spark.createDataFrame([("l", "q", "t", "t1", 0, 500, [0, 1], 1), ("l", "p", "t", "t2", 7, 9, [1], 1)],
+                                  "lake string, gt_name string, table_name string, tile_id string, row_lo long, row_hi long, cols array<int>, rank int")
+    cut = spark.createDataFrame([("l", "q")], "lake string, gt_name string")
+    got = {r["gt_name"]: r["context"] for r in packing.contexts(spans, rows, 14, "rank", cut).collect()}
+    assert got == {"q": 'table: "t"\n\na,b\nx,0\nx,1', "p": 'table: "t"\n\nb\n7\n8\n\n'}
+    huge = packing.pack_closure(
+        ranked.filter("gt_name = 'q'").drop("tokens"), spans.filter("gt_name = 'q'").drop("gt_name", "rank").withColumn("tile_id", F.lit("t1")),
+        packing.row_tokens(rows), 14, second_tile=True).first()
+    assert (huge["ranks"], huge["cut"], huge["used"]) == ([2], True, 14)
 
 
 def test_rolling_rate_across_slots(spark):

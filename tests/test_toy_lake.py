@@ -174,6 +174,15 @@ def test_texts(spark):
     assert value(text.csv_line([F.lit("1.0"), F.lit("x,y")])) == '1.0,"x,y"'
     assert value(text.clean_prediction(F.lit("```csv\na,b\n1,2\n```"))) == "a,b\n1,2\n"
     assert value(text.clean_prediction(F.lit("a\n1,2"))) == "a\n1,2"
+    quoted = '```csv\r\n"name","note, long"\r\n\r\n"Ann","said ""hi"",\r\n\r\nleft"\r\n  \nBob,"x"\r\n"C"\r\n```'
+    assert value(text.clean_prediction(F.lit(quoted))) == 'name,"note, long"\nAnn,"said ""hi"",\r\n\r\nleft"\nBob,x\nC,\n'
+    for given, want in [("a,b\n1,2", "a,b\n1,2\n"), ("a\n\"\"\nx", 'a\n""\nx\n'), ('a,a,\n1,2,3\n', "a,a.1,Unnamed: 2\n1,2,3\n"),
+                        ('a\n"open, and never closed\n', 'a\n"open, and never closed\n'), ("", ""), ("\n\n", "\n\n"), ("x", "x\n"),
+                        ('a,b\n"q"r,s"t\n', 'a,b\nqr,"s""t"\n'), ("a,b\n,\n", "a,b\n,\n"), (" a , b \n 1 , 2 ", " a , b \n 1 , 2 \n")]:
+        assert value(text.clean_prediction(F.lit(given))) == want
+    assert value(text.clean_prediction(F.lit(None).cast("string"))) is None
+    table = F.create_map(F.lit("n"), F.array(F.lit("a,b"), F.lit(None)), F.lit("m"), F.array(F.lit("1"), F.lit("2")))
+    assert value(text.answer_text(table)) == 'n,m\n"a,b",1\n,2\n' and value(text.answer_columns(table)) == "n, m"
     assert value(text.normalize_name(F.lit("state-name_x"))) == "state name x"
     assert value(text.config_map(F.lit("runs/slicer=lib.slice.X_TpT=10"))) == {"slicer": "lib.slice.X", "TpT": "10"}
     assert value(text.token_count(F.lit("Hello, wörld 1.5"))) == 8

@@ -36,7 +36,7 @@ def rows_of(names, rows):
 
 def main(sf_dir, wanted):
     spark = build_session("check", f"local[{os.environ.get('BENCH_CPUS', '8')}]", spark__sql__shuffle__partitions="8",
-                          spark__ui__enabled="false", spark__driver__memory="16g")
+                          spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="16g")
     spark.sparkContext.setLogLevel("ERROR")
     from tessera.plans import QUERIES, SQL
 
