@@ -51,3 +51,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that a later one replaces; frames made from them cannot be used again."""
+    for df in tables:
+        spark = df.sparkSession
+        files = df.inputFiles()
+        if not files or not os.path.dirname(files[0]).removeprefix("file://").startswith(checkpoint_dir(spark).removeprefix("file://")):
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(os.path.dirname(files[0]))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
