@@ -7,23 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import forget, materialize
 
 
 def _signature(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 #: Bytes of a written table up to which it is sent to all executors instead of shuffling the large side of a join.
@@ -47,8 +47,12 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _signature(now)
     while seen[0]:
-        large = materialize(_large_star(now), "large")
-        now = materialize(_small_star(large), "small")
+        step, at_nodes = _large_star(now)
+        large = materialize(step, "large")
+        forget(now, at_nodes)
+        step, at_nodes = _small_star(large)
+        now = materialize(step, "small")
+        forget(large, at_nodes)
         after = _signature(now)
         if after == seen:
             break
@@ -71,7 +75,7 @@ def bucket_components(
     """
     check = verify or (lambda pairs: pairs)
     keys = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    shared = materialize(postings.join(keys, "key"), "shared")
+    shared = materialize(with_few(postings, keys, "key"), "shared")
     reps = materialize(shared.groupBy("key").agg(F.min(F.struct("node", "print")).alias("rep")), "reps")
     members = shared.join(reps, "key")
     star = (
@@ -99,4 +103,6 @@ def bucket_components(
     )
     second = check(met.select("a", "b").distinct())
     stars = first.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return components(stars.unionByName(second))
+    found = components(stars.unionByName(second))
+    forget(keys, shared, reps, first, labelled, mixed, open_)
+    return found

@@ -44,7 +44,7 @@ def test_lines_equal_all_pairs(spark):
     docs = [(k, "\n".join(rng.choices(pool[:-1], k=6)), 0, "n") for k in range(30)]
     docs += [(50, pool[-1] + "\nx"), (51, pool[-1]), (52, None), (None, lines[0]), (53, ""), (7, docs[7][1])]
     docs += [(7, lines[1] + "\nonly in this row of the id seven\n" + lines[2])]
-    docs = [(*d, 0, "n", 1, 2, "t")[:7] for d in docs]
+    docs = [(d[0], d[1], 0, "n", 1, 2, "t") for d in docs]
     given = frame(spark, docs, "doc_id long, text string, n_chars int, gone string, _id int, line_no int, h string")
     shown = sorted({norm(p) for p in pool if len(norm(p).split()) >= 5})
 
