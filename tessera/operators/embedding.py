@@ -19,7 +19,7 @@ from tessera.functions.vectors import TextModel, hashed_text, mean_vector, weigh
 from tessera.operators.rectangles import TABLE
 from tessera.operators.slicing import CONFIG, assign_to_grid
 from tessera.operators.tiles import tile_cells
-from tessera.sources.lake import Lake, melt
+from tessera.sources.lake import Lake, column_catalog, melt
 
 # Default weights of the parts of each component.
 DEFAULT_WEIGHTS: dict[str, dict[str, float]] = {
@@ -64,9 +64,12 @@ def embed_texts(df: DataFrame, text: Column, out: str, embedder: Embedder) -> Da
     """Add the vector of ``text``."""
     if not embedder.costly:
         return df.withColumn(out, embedder.model(text))
-    keyed = df.withColumn("_text", text)
-    vectors = keyed.select("_text").distinct().withColumn(out, embedder.model(F.col("_text")))
-    return keyed.join(vectors, "_text", "left").drop("_text")
+    # 128 bits stand for a text, so that texts are moved once for each different one and not joined on
+    parts = F.struct(F.xxhash64("_text").alias("a"), F.xxhash64(F.lit(1), F.col("_text")).alias("b"))
+    keyed = df.withColumn("_text", text).withColumn("_key", F.when(F.col("_text").isNotNull(), parts))
+    different = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.first("_text").alias("_text"))
+    vectors = different.select("_key", embedder.model(F.col("_text")).alias(out))
+    return keyed.drop("_text").join(vectors, "_key", "left").drop("_key")
 
 
 def embed_questions(ground_truths: DataFrame, embedder: Embedder, text: str = "information_need") -> DataFrame:
@@ -96,13 +99,29 @@ def _divided(vec: Column, n: float) -> Column:
     return vec if n == 1 else F.transform(vec, lambda x: x / F.lit(float(n)))
 
 
+#: Columns of a lake up to which the vectors of their names are sent to all tasks.
+NAMES_SENT = 100_000
+
+
+def name_vectors(lake: Lake, embedder: Embedder) -> DataFrame:
+    """Vectors of the column and table names of a lake, one row per column: a name is embedded once and not per cell."""
+    named = column_catalog(lake).select(
+        *TABLE, "col_pos", embedder.model(normalize_name(F.col("col_name"), embedder.preprocess_names)).alias("_col_name"),
+        embedder.model(normalize_name(F.col("table_name"), embedder.preprocess_names)).alias("_table_name"))
+    return F.broadcast(named) if sum(len(lake.columns(t)) for t in lake.tables) <= NAMES_SENT else named
+
+
 def _with_parts(
-    cells: DataFrame, weights: Mapping[str, float], embedder: Embedder, ready: Mapping[str, str]
+    cells: DataFrame, weights: Mapping[str, float], embedder: Embedder, ready: Mapping[str, str], names: DataFrame | None = None
 ) -> tuple[DataFrame, float]:
     """Add ``_vec``, the weighted sum of the parts of each cell; returns also the sum of the weights.
 
-    ``ready`` names parts that are columns already. The division is left to after the pooling.
+    ``ready`` names parts that are columns already; ``names`` are :func:`name_vectors`. The division is left to after the
+    pooling.
     """
+    if names is not None and {"col-names", "table-name"} & set(weights) - set(ready):
+        cells = cells.join(names, [*TABLE, "col_pos"])
+        ready = {"col-names": "_col_name", "table-name": "_table_name", **ready}
     texts = {
         "cell-values": embedding_text(F.col("value")),
         "col-names": normalize_name(F.col("col_name"), embedder.preprocess_names),
@@ -127,10 +146,10 @@ def _pooled(summed: tuple[DataFrame, float], keys: Sequence[str], finest: bool,
     return pooled.withColumn("vec", _divided(F.col("vec"), total))
 
 
-def embed_table(cells: DataFrame, component: str, embedder: Embedder) -> DataFrame:
+def embed_table(cells: DataFrame, component: str, embedder: Embedder, names: DataFrame | None = None) -> DataFrame:
     """``table``, ``table-rows``, ``table-cols`` or ``table-cells`` vectors of all tables in ``cells``."""
     weights = _check(component, embedder, TABLE_KEYS)
-    combined = _with_parts(cells, weights, embedder, {})
+    combined = _with_parts(cells, weights, embedder, {}, names)
     return _pooled(combined, TABLE_KEYS[component], component == "table-cells", embedder.dim)
 
 
@@ -169,7 +188,9 @@ def embed_wide_rows(lake: Lake, embedder: Embedder) -> DataFrame:
     return united
 
 
-def embed_tiles(cells: DataFrame, spans: DataFrame, component: str, embedder: Embedder) -> DataFrame:
+def embed_tiles(
+    cells: DataFrame, spans: DataFrame, component: str, embedder: Embedder, names: DataFrame | None = None
+) -> DataFrame:
     """``tile``, ``tile-rows``, ``tile-cols`` or ``tile-cells`` vectors of arbitrary tiles.
 
     Parent vectors are joined on the key they belong to; the parent rows use the same key as the
@@ -180,14 +201,14 @@ def embed_tiles(cells: DataFrame, spans: DataFrame, component: str, embedder: Em
     ready = {}
     for part, keys in TABLE_KEYS.items():
         if part in weights:
-            parent = embed_table(cells, part, embedder).withColumnRenamed("vec", f"_{part}")
+            parent = embed_table(cells, part, embedder, names).withColumnRenamed("vec", f"_{part}")
             inside = inside.join(parent, list(keys))
             ready[part] = f"_{part}"
-    combined = _with_parts(inside, weights, embedder, ready)
+    combined = _with_parts(inside, weights, embedder, ready, names)
     return _pooled(combined, TILE_KEYS[component], component == "tile-cells", embedder.dim)
 
 
-def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder) -> DataFrame:
+def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder, names: DataFrame | None = None) -> DataFrame:
     """Tile vectors of grid slicings, all configurations at once, without a membership join.
 
     The mean of the parent's row vectors over a row block is the mean over all cells of the block
@@ -200,14 +221,14 @@ def embed_grid_tiles(cells: DataFrame, strides: DataFrame, embedder: Embedder) -
         raise ValueError("only table-rows may be pooled from the parent table here; use embed_tiles")
     tile_key = [*TABLE, *CONFIG, "row_block", "col_block"]
     assigned = assign_to_grid(cells, strides)
-    cells_sum, own_weight = _with_parts(assigned, weights, embedder, {})
+    cells_sum, own_weight = _with_parts(assigned, weights, embedder, {}, names)
     own = mean_vector(cells_sum, tile_key, "_vec", embedder.dim, "own")
     tile_id = F.concat_ws("/", "table_name", "row_block", "col_block").alias("tile_id")
     if row_weight is None:
         return own.select(*tile_key, tile_id, _divided(F.col("own"), own_weight).alias("vec"))
     row_weights = _check("table-rows", embedder, TABLE_KEYS)
     block_key = [*TABLE, *CONFIG, "row_block"]
-    rows_sum, rows_weight = _with_parts(assigned, row_weights, embedder, {})
+    rows_sum, rows_weight = _with_parts(assigned, row_weights, embedder, {}, names)
     blocks = mean_vector(rows_sum, block_key, "_vec", embedder.dim, "rows")
     if len(weights) == 1:  # a single part comes without its weight
         own_weight = float(sum(weights.values()))

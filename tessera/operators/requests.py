@@ -185,8 +185,11 @@ def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
 
 
 def retain_cache(cache: DataFrame, n: int = CACHE_SIZE) -> DataFrame:
-    """The ``n`` newest entries: a top-n, never a full sort in one task."""
-    return cache.orderBy(F.desc("ts"), F.desc("request_hash")).limit(n)
+    """The ``n`` newest entries. The oldest one to keep is found by time and hash alone, ``n`` narrow rows; responses are
+    only filtered by it and never meet in one task."""
+    keys = ["ts", "request_hash"]
+    newest = cache.select(*keys).orderBy(*[F.desc(k) for k in keys]).limit(n)
+    return cache.filter(F.struct(*keys) >= newest.agg(F.min(F.struct(*keys)).alias("oldest")).scalar())
 
 
 def rolling_rate(log: DataFrame, seconds: int, share: float | None = None) -> DataFrame:

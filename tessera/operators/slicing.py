@@ -99,12 +99,15 @@ def grid_confusion(strides: DataFrame, truth_rows: DataFrame, truth_cols: DataFr
     per row block before they are shuffled.
     """
     key = ["lake", "gt_name", "table_name", *CONFIG]
-    rows = truth_rows.join(strides.select(*TABLE, *CONFIG, "row_stride", "n_rows"), TABLE)
-    per_block = rows.groupBy(*key, block_of(F.col("row_id"), F.col("row_stride")).alias("block")).agg(
-        F.count(F.lit(1)).alias("hits"), F.first("row_stride").alias("row_stride"), F.first("n_rows").alias("n_rows")
+    by_stride = ["lake", "gt_name", "table_name", "row_stride"]
+    # many configurations share a stride: rows meet each different one once, and configurations meet the sums
+    rows = truth_rows.join(strides.select(*TABLE, "row_stride", "n_rows").distinct(), TABLE)
+    per_block = rows.groupBy(*by_stride, block_of(F.col("row_id"), F.col("row_stride")).alias("block")).agg(
+        F.count(F.lit(1)).alias("hits"), F.first("n_rows").alias("n_rows")
     )
     block_rows = F.least(F.col("row_stride"), F.col("n_rows") - F.col("block") * F.col("row_stride"))
-    row_side = per_block.groupBy(*key).agg(F.sum("hits").alias("truth_rows"), F.sum(block_rows).alias("touched_rows"))
+    sums = per_block.groupBy(*by_stride).agg(F.sum("hits").alias("truth_rows"), F.sum(block_rows).alias("touched_rows"))
+    row_side = sums.join(strides.select(*TABLE, *CONFIG, "row_stride"), [*TABLE, "row_stride"]).drop("row_stride")
 
     stride = F.col("col_stride")
     blocks = F.array_distinct(F.transform("cols", lambda c: F.floor(c / stride).cast("long")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.positions import dense_positions, hash_order
-from tessera.operators.rectangles import TABLE, expand_rows
+from tessera.operators.rectangles import TABLE, expand_rows, explode_range
 
 
 def tiles_of_kind(tiles: DataFrame, kind: str | Sequence[str] | None = None) -> DataFrame:
@@ -114,6 +114,46 @@ def shuffle_positions(positions: DataFrame, seed: int, key: str, out: str) -> Da
     return dense_positions(keyed, ["_hash", key], TABLE, out=out).drop("_hash")
 
 
+def shuffle_maps(tables: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Seeded permutations of the rows and of the columns of every table of a catalog: ``(lake, table_name, row_id,
+    new_row)`` and ``(lake, table_name, col_pos, new_col)``. Swap the last two columns for the way back."""
+    rows = explode_range(tables.select(*TABLE, "n_rows"), F.col("n_rows"), "row_id").drop("n_rows")
+    cols = explode_range(tables.select(*TABLE, "n_cols"), F.col("n_cols"), "col_pos", spread=False).drop("n_cols")
+    return shuffle_positions(rows, seed, "row_id", "new_row"), shuffle_positions(cols, seed + 1, "col_pos", "new_col")
+
+
+def inverse_map(moved: DataFrame) -> DataFrame:
+    """The permutation back: old and new position change their names."""
+    *keys, old, new = moved.columns
+    return moved.select(*keys, F.col(new).alias(old), F.col(old).alias(new))
+
+
+def shuffle_cells(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Cells at their new places."""
+    moved = cells.join(rows, [*TABLE, "row_id"]).join(cols, [*TABLE, "col_pos"])
+    place = {"row_id": F.col("new_row"), "col_pos": F.col("new_col").cast("int")}
+    return moved.select(*[place[c].alias(c) if c in place else F.col(c) for c in cells.columns])
+
+
+#: Rows of a table among which neighbouring ones are joined to runs.
+RUN_BLOCK = 65_536
+
+
+def shuffle_spans(spans: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Tiles at their new places. Rows that became neighbours form one span; a run ends at every ``RUN_BLOCK`` rows, so
+    that a tile of any size stays spread over tasks."""
+    keys = [c for c in spans.columns if c not in ("row_lo", "row_hi", "cols")]
+    group = list(dict.fromkeys([*TABLE, *keys]))
+    sets = spans.select(*group, "cols").distinct()
+    named = sets.withColumn("col_pos", F.explode("cols")).join(cols.withColumn("col_pos", F.col("col_pos").cast("int")), [*TABLE, "col_pos"])
+    new_cols = named.groupBy(*group, F.col("cols").alias("_old")).agg(F.array_sort(F.collect_list(F.col("new_col").cast("int"))).alias("cols"))
+    moved = expand_rows(spans.select(*group, F.col("cols").alias("_old"), "row_lo", "row_hi")).join(rows, [*TABLE, "row_id"])
+    block = Window.partitionBy(*group, "_old", F.floor(F.col("new_row") / RUN_BLOCK)).orderBy("new_row")
+    runs = moved.withColumn("_run", F.col("new_row") - F.row_number().over(block)).withColumn("_block", F.floor(F.col("new_row") / RUN_BLOCK))
+    joined = runs.groupBy(*group, "_old", "_block", "_run").agg(F.min("new_row").alias("row_lo"), (F.max("new_row") + 1).alias("row_hi"))
+    return joined.join(new_cols, [*group, "_old"]).select(*spans.columns)
+
+
 def limit_per_lake(items: DataFrame, n: int | None, seed: int, key: str) -> DataFrame:
     """A seeded sample of ``n`` items per lake; ranking stops at n inside every task before the shuffle."""
     if n is None:

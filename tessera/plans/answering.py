@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
+from tessera.functions.text import answer_text, clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
 from tessera.operators import evaluation, packing, provenance, requests, retrieval, slicing
 from tessera.plans.corpus import (
     BLOCKS, DIM, EMBEDDER, ORDER_COLUMNS, STAR, STAR_COLUMNS, TOKEN, order_cells, sql_cells, sql_hash, sql_order_cells, sql_tables, star_lake, table,
@@ -12,10 +15,10 @@ from tessera.plans.corpus import (
 from tessera.plans.embeddings import sql_grid_tiles
 from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents, sql_perfect
 from tessera.plans.registry import query
-from tessera.session import materialize
+from tessera.session import checkpoint_dir, materialize
 from tessera.sources.lake import catalog, catalog_of_cells
 from tessera.streaming.rates import flag_limits, windowed_rate
-from tessera.workflows import AnswerConfig, GridSlicer, select_context
+from tessera.workflows import AnswerConfig, GridSlicer, TruthIndex, prepare_requests, score_requests, select_context
 
 
 def _sql_field(expr: str) -> str:
@@ -184,6 +187,42 @@ def pack_closure(spark, sf_dir):
     return packed.select("gt_name", "n_candidates", "used", F.array_join("ranks", ",").alias("ranks"), "n_tables", "n_cells", "near_end")
 
 
+@query(
+    "answer_run",
+    f"with recursive {_SQL_PERFECT_RANKED}, {_SQL_WALK}, widths as (select gt_name, table_name, count(*) as w from truth_cols group by all),"
+    " truth as (select gt_name, cast(sum(w) as bigint) as wanted, count(*) as n from truth_rows join widths using (gt_name, table_name) group by gt_name),"
+    " got as (select gt_name, cast(sum(coalesce(num_in, 0)) as bigint) as tp from (select gt_name, unnest(ranks) as rank from packed) p join rt using (gt_name, rank) left join hits using (gt_name, tile_id) group by gt_name),"
+    " r as (select gt_name, coalesce(n, 0) as n, coalesce(wanted, 0) as wanted, coalesce(tp, 0) as tp, len(ranks) as taken, n_tables, n_cells, near_end, (select cast(sum(num_cells) as bigint) from tables) as lake_cells"
+    " from packed left join truth using (gt_name) left join got using (gt_name))"
+    " select gt_name, 'n' || chr(10) || n || chr(10) as answer, 'n' || chr(10) || case when n % 2 = 0 then n::varchar else '\"about, ' || n || '\"' end || chr(10) as prediction,"
+    " (n % 2 = 0)::int::bigint as correct, taken::int as num_retrieved_tiles, n_tables::bigint as num_result_tiles, n_cells as num_result_cells, wanted as num_ground_truth_cells,"
+    " tp as \"TP\", n_cells - tp as \"FP\", wanted - tp as \"FN\", lake_cells - n_cells - wanted + tp as \"TN\", near_end,"
+    f" 'rowwise' as slicer, 'ground-truth' as \"index\", 'closure' as merger, '{_TILES}' as \"TpT\", '{_BUDGET}' as tok from r",
+)
+def answer_run(spark, sf_dir):
+    """A whole run: every ground truth is asked for its number of rows, the best tiles are packed, responses come back as
+    fenced and quoted CSV (half of them wrong), and result rows are scored. Stages are written under a root of the run."""
+    lake = star_lake(spark, sf_dir)
+    truth = materialize(provenance.ground_truth_tiles(lake, BLOCKS), "truth")
+    names = provenance.provenance_columns(lake, BLOCKS).select("lake", "gt_name").distinct()
+    counted = provenance.provenance_rows(lake, BLOCKS).groupBy("lake", "gt_name").agg(F.count(F.lit(1)).alias("n"))
+    asked = names.join(counted, ["lake", "gt_name"], "left").fillna(0, ["n"])
+    questions = asked.select(
+        "lake", "gt_name", F.concat(F.lit("How many rows has "), "gt_name", F.lit("?")).alias("information_need"), "n",
+        answer_text(F.create_map(F.lit("n"), F.array(F.col("n").cast("string")))).alias("answer"), F.lit("n").alias("answer_columns"))
+    config = AnswerConfig(slicer=GridSlicer("rowwise", _TILES), index=TruthIndex(), context_tokens=_BUDGET, embedder=EMBEDDER, layout="table")
+    root = os.path.join(checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
+    prepared, result = prepare_requests(lake, questions, config, truth, root)
+    prepared = materialize(prepared, "prepared")
+    said = F.when(F.col("n") % 2 == 0, F.col("n").cast("string")).otherwise(F.concat(F.lit("about, "), "n"))
+    content = F.concat(F.lit('```csv\r\n"n"\r\n\r\n"'), said, F.lit('"\r\n```'))
+    responses = prepared.select("request_hash", F.to_json(F.struct(F.array(F.struct(F.struct(content.alias("content")).alias("message"))).alias("choices"))).alias("response"))
+    rows = score_requests(lake, prepared, responses, result, truth, config)
+    return rows.select(
+        "gt_name", "answer", "prediction", "correct", "num_retrieved_tiles", "num_result_tiles", "num_result_cells", "num_ground_truth_cells",
+        "TP", "FP", "FN", "TN", "near_end", "slicer", "index", "merger", "TpT", "tok")
+
+
 _SQL_ASKED = (
     f"{sql_grid_tiles(_TILES, 'star')}, {_sql_costs().replace(sql_cells(STAR, 'star') + ', ', '')},"
     f" tv as (select table_name || '/' || b || '/0' as tile_id, " + ", ".join(f"(o{i} + 2 * r{i}) / 8 as v{i}" for i in range(DIM)) + " from cellmean),"

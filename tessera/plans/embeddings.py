@@ -25,9 +25,9 @@ def _out(df, *keys):
     return df.select(*keys, *[(F.round(F.col("vec")[i], 6) + 0.0).alias(f"v{i}") for i in R])
 
 
-# all parts of every cell of the dims lake: value (c), column name (n), table name (t)
+# all parts of every cell of the star lake: value (c), column name (n), table name (t)
 _CELL_PARTS = (
-    f"{sql_tables(STAR)}, {sql_cells(STAR, 'dims')}, parts as (select table_name, row_id, col_pos, "
+    f"{sql_tables(STAR)}, {sql_cells(STAR, 'star')}, parts as (select table_name, row_id, col_pos, "
     + ", ".join(f"{sql_hash('value_or_nan', i)} as c{i}" for i in R) + ", "
     + ", ".join(f"{sql_hash(sql_name('col_name'), i)} as n{i}" for i in R) + ", "
     + ", ".join(f"{sql_hash(sql_name('table_name'), i)} as t{i}" for i in R)
@@ -54,23 +54,24 @@ def embed_zero(spark, sf_dir):
 
 @query("embed_table_cells", f"with {_CELL_PARTS} select table_name, row_id, col_pos, " + ", ".join(f"(c{i} + n{i}) / 2 as v{i}" for i in R) + " from parts")
 def embed_table_cells(spark, sf_dir):
-    vectors = embedding.embed_table(melt(star_lake(spark, sf_dir, STAR, "dims")), "table-cells", EMBEDDER)
+    lake = star_lake(spark, sf_dir, STAR, "star")
+    vectors = embedding.embed_table(melt(lake), "table-cells", EMBEDDER, embedding.name_vectors(lake, EMBEDDER))
     return vectors.select("table_name", "row_id", "col_pos", *vector_columns("vec", DIM, digits=None))
 
 
 @query("embed_table_rows", f"with {_CELL_PARTS}, p as (select table_name, row_id, " + ", ".join(f"avg(c{i}) as v{i}" for i in R) + f" from parts group by all) select table_name, row_id, {_rounded()} from p")
 def embed_table_rows(spark, sf_dir):
-    return _out(embedding.embed_wide_rows(star_lake(spark, sf_dir, STAR, "dims"), EMBEDDER), "table_name", "row_id")
+    return _out(embedding.embed_wide_rows(star_lake(spark, sf_dir, STAR, "star"), EMBEDDER), "table_name", "row_id")
 
 
 @query("embed_table_rows_of_cells", f"with {_CELL_PARTS}, p as (select table_name, row_id, " + ", ".join(f"avg(c{i}) as v{i}" for i in R) + f" from parts group by all) select table_name, row_id, {_rounded()} from p")
 def embed_table_rows_of_cells(spark, sf_dir):
-    return _out(embedding.embed_table(melt(star_lake(spark, sf_dir, STAR, "dims")), "table-rows", EMBEDDER), "table_name", "row_id")
+    return _out(embedding.embed_table(melt(star_lake(spark, sf_dir, STAR, "star")), "table-rows", EMBEDDER), "table_name", "row_id")
 
 
 @query("embed_table_cols", f"with {_CELL_PARTS}, p as (select table_name, col_pos, " + ", ".join(f"avg(c{i} + n{i}) / 2 as v{i}" for i in R) + f" from parts group by table_name, col_pos) select table_name, col_pos, {_rounded()} from p")
 def embed_table_cols(spark, sf_dir):
-    return _out(embedding.embed_table(melt(star_lake(spark, sf_dir, STAR, "dims")), "table-cols", EMBEDDER), "table_name", "col_pos")
+    return _out(embedding.embed_table(melt(star_lake(spark, sf_dir, STAR, "star")), "table-cols", EMBEDDER), "table_name", "col_pos")
 
 
 _SQL_TABLE = "tab as (select table_name, " + ", ".join(f"avg(2 * t{i} + n{i} + c{i}) / 4 as v{i}" for i in R) + " from parts group by table_name)"
@@ -78,11 +79,12 @@ _SQL_TABLE = "tab as (select table_name, " + ", ".join(f"avg(2 * t{i} + n{i} + c
 
 @query("embed_table", f"with {_CELL_PARTS}, {_SQL_TABLE} select table_name, {_rounded()} from tab")
 def embed_table(spark, sf_dir):
-    return _out(embedding.embed_table(melt(star_lake(spark, sf_dir, STAR, "dims")), "table", EMBEDDER), "table_name")
+    lake = star_lake(spark, sf_dir, STAR, "star")
+    return _out(embedding.embed_table(melt(lake), "table", EMBEDDER, embedding.name_vectors(lake, EMBEDDER)), "table_name")
 
 
 def _value_vectors(spark, sf_dir):
-    return embedding.embed_texts(melt(star_lake(spark, sf_dir, STAR, "dims")), F.col("value"), "vec", EMBEDDER)
+    return embedding.embed_texts(melt(star_lake(spark, sf_dir, STAR, "star")), F.col("value"), "vec", EMBEDDER)
 
 
 def _pool_sql(keys: str) -> str:
@@ -119,7 +121,7 @@ def l2_normalize(spark, sf_dir):
 
 @query("weighted_combine", f"with {_CELL_PARTS} select table_name, row_id, col_pos, " + ", ".join(f"round((4 * t{i} + n{i} + 2 * c{i}) / 7, 6) + 0.0 as v{i}" for i in R) + " from parts")
 def weighted_combine(spark, sf_dir):
-    texts = embedding.component_texts(melt(star_lake(spark, sf_dir, STAR, "dims")))
+    texts = embedding.component_texts(melt(star_lake(spark, sf_dir, STAR, "star")))
     parts = [(EMBEDDER.model(F.col(c)), w) for c, w in (("table_text", 4.0), ("col_text", 1.0), ("cell_text", 2.0))]
     return _out(texts.withColumn("vec", weighted_mean(parts)), "table_name", "row_id", "col_pos")
 
@@ -129,10 +131,10 @@ def weighted_combine(spark, sf_dir):
 _TPT = 50
 
 
-def sql_grid_tiles(tiles_per_table: int, lake: str = "dims") -> str:
+def sql_grid_tiles(tiles_per_table: int, lake: str = "star") -> str:
     """``cellmean``: sums of the parts of row-wise tiles, and ``g``: rows of a tile of each table."""
     return (
-        f"{_CELL_PARTS.replace(sql_cells(STAR, 'dims'), sql_cells(STAR, lake))}, {sql_catalog(STAR, lake)}, g as (select table_name, ceil(n_rows / (1 + ({tiles_per_table - 1} * (select count(*) from tables) * num_cells) // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
+        f"{_CELL_PARTS.replace(sql_cells(STAR, 'star'), sql_cells(STAR, lake))}, {sql_catalog(STAR, lake)}, g as (select table_name, ceil(n_rows / (1 + ({tiles_per_table - 1} * (select count(*) from tables) * num_cells) // (select cast(sum(num_cells) as bigint) from tables)))::bigint as s from tables),"
         " a as (select parts.*, row_id // s as b from parts join g using (table_name)), cellmean as (select table_name, b, "
         + ", ".join(f"avg(4 * t{i} + n{i} + c{i}) as o{i}, avg(c{i}) as r{i}" for i in R) + " from a group by table_name, b)"
     )
@@ -144,22 +146,22 @@ def sql_grid_tiles(tiles_per_table: int, lake: str = "dims") -> str:
     + ", ".join(f"round((o{i} + 2 * r{i}) / 8, 6) + 0.0 as v{i}" for i in R) + " from cellmean",
 )
 def tile_embedding(spark, sf_dir):
-    lake = star_lake(spark, sf_dir, STAR, "dims")
+    lake = star_lake(spark, sf_dir, STAR, "star")
     strides = slicing.grid(catalog(lake), [("rowwise", _TPT)])
-    return _out(embedding.embed_grid_tiles(melt(lake), strides, EMBEDDER), "table_name", "tile_id")
+    return _out(embedding.embed_grid_tiles(melt(lake), strides, EMBEDDER, embedding.name_vectors(lake, EMBEDDER)), "table_name", "tile_id")
 
 
 _SQL_TRUTH_CELLS = (
-    f"{_CELL_PARTS}, {sql_truth_rows(BLOCKS, 'dims')}, {sql_truth_cols(BLOCKS, 'dims')},"
+    f"{_CELL_PARTS}, {sql_truth_rows(BLOCKS, 'star')}, {sql_truth_cols(BLOCKS, 'star')},"
     " inside as (select gt_name, parts.* from truth_rows join truth_cols using (gt_name, table_name) join parts using (table_name, row_id, col_pos)),"
     " rv as (select table_name, row_id, " + ", ".join(f"avg(c{i}) as r{i}" for i in R) + " from parts group by table_name, row_id)"
 )
 
 
 def _truth_vectors(spark, sf_dir, component):
-    lake = star_lake(spark, sf_dir, STAR, "dims")
+    lake = star_lake(spark, sf_dir, STAR, "star")
     spans = provenance.ground_truth_tiles(lake, BLOCKS)
-    found = embedding.embed_tiles(melt(lake), spans, component, EMBEDDER)
+    found = embedding.embed_tiles(melt(lake), spans, component, EMBEDDER, embedding.name_vectors(lake, EMBEDDER))
     return found.withColumn("gt_name", F.regexp_extract("tile_id", "^ground-truth-(.*)/", 1))
 
 

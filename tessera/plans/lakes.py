@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_name, truncate_value
 from tessera.operators import embedding, profiling, provenance, tiles
+from tessera.operators.rectangles import expand_rows
 from tessera.plans.corpus import (
-    BLOCKS, SQL_CHAT_CELLS, STAR, STAR_COLUMNS, chat_cells, sql_catalog, sql_cells, sql_name,
+    BLOCKS, EMBEDDER, SQL_CHAT_CELLS, STAR, STAR_COLUMNS, chat_cells, sql_catalog, sql_cells, sql_name,
     sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
 )
 from tessera.plans.registry import query
@@ -129,12 +130,31 @@ def ground_truth_load(spark, sf_dir):
     return loaded.select("lake", "gt_name", "partition", "information_need", F.md5("data").alias("data_md5"))
 
 
-@query("lake_roundtrip", f"with {sql_tables(STAR)}, {sql_cells(STAR, 'dims')} select lake, table_name, row_id, col_name, value from cells")
+_SQL_ROUNDTRIP = (
+    f"with {sql_tables(STAR)}, {sql_cells(STAR, 'star')}, {sql_truth_rows()}, {sql_truth_cols()}"
+    " select 'cells' as frame, table_name, row_id, col_name as name, value from cells"
+    " union all select 'truths', table_name, row_id, gt_name, string_agg(col_pos::varchar, ',' order by col_pos) from truth_rows join truth_cols using (gt_name, table_name) group by all"
+    " union all select 'vectors', table_name, -1, 'table', '8' from (select distinct table_name from cells)"
+)
+
+
+@query("lake_roundtrip", _SQL_ROUNDTRIP)
 def lake_roundtrip(spark, sf_dir):
-    lake = star_lake(spark, sf_dir, STAR, "dims")
-    path = stages.stage_path(checkpoint_dir(spark), f"cells-{uuid.uuid4().hex}", {"lake": "dims"})
-    cells = stages.read_or_compute(spark, path, lambda: lakes.melt(lake))
-    return cells.select("lake", "table_name", "row_id", "col_name", "value")
+    """Cells, ground-truth tiles and table vectors of the lake written as one version and read back."""
+    lake = star_lake(spark, sf_dir)
+    root = os.path.join(checkpoint_dir(spark), f"versions-{uuid.uuid4().hex}")
+    cells = lakes.melt(lake)
+    stages.save_version({
+        "cells": cells, "truths": provenance.ground_truth_tiles(lake, BLOCKS), "catalog": lakes.catalog(lake),
+        "vectors": embedding.embed_table(cells, "table", EMBEDDER)}, root)
+    read = stages.load_version(spark, root)
+    shown = [
+        read["cells"].select(F.lit("cells").alias("frame"), "table_name", "row_id", F.col("col_name").alias("name"), "value"),
+        read["truths"].select(F.lit("truths").alias("frame"), "table_name", F.col("row_lo").alias("row_id"), F.col("gt_name").alias("name"), F.array_join("cols", ",").alias("value")),
+        read["vectors"].join(read["catalog"].select("lake", "table_name"), ["lake", "table_name"]).select(
+            F.lit("vectors").alias("frame"), "table_name", F.lit(-1).cast("long").alias("row_id"), F.lit("table").alias("name"), F.size("vec").cast("string").alias("value")),
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 @query("melt_cells", f"with {sql_tables()}, {sql_cells()} select table_name, row_id, col_pos, value from cells")
@@ -195,6 +215,23 @@ def drop_lakes_with_empty_table(spark, sf_dir):
     return lakes.drop_lakes_with_empty_table(_customer_tables(spark, sf_dir))
 
 
+@query(
+    "corpus_catalog",
+    f"with {_SQL_CUSTOMER_LAKES} select lake, table_name, num_cells // 11 as n_rows, 11 as n_cols, num_cells, lake in (select lake from customer_tables where num_cells = 0) as dropped from customer_tables",
+)
+def corpus_catalog(spark, sf_dir):
+    """Orders as corpus records, those without lines included; lakes with such a table are dropped."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.collect_list(F.array(*[F.col(c).cast("string") for c in STAR_COLUMNS["lineitem"]])).alias("rows"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    records = table(spark, sf_dir, "orders").join(known, "o_custkey", "left_semi").join(lines, "o_orderkey", "left").select(
+        F.concat(F.lit("c"), F.col("o_custkey")).alias("lake"), F.concat(F.lit("order-"), F.col("o_orderkey")).alias("table_name"),
+        F.array(*[F.lit(c) for c in STAR_COLUMNS["lineitem"]]).alias("header"), "rows")
+    tables = lakes.corpus_catalog(records, F.col("lake"))
+    left = lakes.drop_lakes_with_empty_table(tables).select("lake").distinct().withColumn("dropped", F.lit(False))
+    return tables.join(left, "lake", "left").withColumn("dropped", F.coalesce("dropped", F.lit(True)))
+
+
 @query(
     "skip_large_lakes",
     f"with {_SQL_CUSTOMER_LAKES} select lake, table_name, num_cells from customer_tables"
@@ -238,22 +275,26 @@ def row_ids(spark, sf_dir):
     return numbered.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "row_id")
 
 
+_SQL_SHUFFLED = (
+    "all_rows as (" + " union all ".join(f"select '{t}' as table_name, row_id from t_{t}" for t in STAR) + "),"
+    " all_cols as (select table_name, unnest(range(0, n_cols)) as col_pos from tables),"
+    " rows_new as (select table_name, row_id, row_number() over (partition by table_name order by md5('7|star|' || table_name || '|' || row_id), row_id) - 1 as new_row from all_rows),"
+    " cols_new as (select table_name, col_pos, row_number() over (partition by table_name order by md5('8|star|' || table_name || '|' || col_pos), col_pos) - 1 as new_col from all_cols)"
+)
+
+
 @query(
     "shuffle_remap",
-    f"with {sql_tables()}, {sql_truth_rows()}, {sql_catalog()}, all_rows as ("
-    + " union all ".join(f"select '{t}' as table_name, row_id from t_{t}" for t in STAR)
-    + "), rows_new as (select table_name, row_id, row_number() over (partition by table_name order by md5('7|star|' || table_name || '|' || row_id), row_id) - 1 as new_row from all_rows)"
-    " select gt_name, table_name, row_id, new_row from truth_rows join rows_new using (table_name, row_id)",
+    f"with {sql_tables()}, {sql_truth_rows()}, {sql_truth_cols()}, {sql_catalog()}, {_SQL_SHUFFLED}"
+    " select gt_name, table_name, new_row, string_agg(new_col::varchar, ',' order by new_col) as cols from truth_rows"
+    " join truth_cols using (gt_name, table_name) join rows_new using (table_name, row_id) join cols_new using (table_name, col_pos) group by all",
 )
 def shuffle_remap(spark, sf_dir):
+    """Rows and columns of every table shuffled; the ground-truth tiles as they lie afterwards."""
     lake = star_lake(spark, sf_dir)
-    positions = None
-    for name, df in lake.tables.items():
-        part = df.select(F.lit(lake.name).alias("lake"), F.lit(name).alias("table_name"), "row_id")
-        positions = part if positions is None else positions.unionByName(part)
-    shuffled = tiles.shuffle_positions(positions, 7, "row_id", "new_row")
-    rows = provenance.provenance_rows(lake, BLOCKS)
-    return rows.join(shuffled, ["lake", "table_name", "row_id"]).select("gt_name", "table_name", "row_id", "new_row")
+    rows, cols = tiles.shuffle_maps(lakes.catalog(lake), 7)
+    moved = tiles.shuffle_spans(provenance.ground_truth_tiles(lake, BLOCKS), rows, cols)
+    return expand_rows(moved).select("gt_name", "table_name", F.col("row_id").alias("new_row"), F.array_join("cols", ",").alias("cols"))
 
 
 @query(
@@ -349,8 +390,8 @@ def truncate_values(spark, sf_dir):
 
 @query(
     "component_texts",
-    f"with {sql_tables(STAR)}, {sql_cells(STAR, 'dims')} select table_name, row_id, col_pos, coalesce(value, 'nan') as cell_text,"
+    f"with {sql_tables(STAR)}, {sql_cells()} select table_name, row_id, col_pos, coalesce(value, 'nan') as cell_text,"
     f" {sql_name('col_name')} as col_text, {sql_name('table_name')} as table_text from cells",
 )
 def component_texts(spark, sf_dir):
-    return embedding.component_texts(lakes.melt(star_lake(spark, sf_dir, STAR, "dims"))).drop("lake")
+    return embedding.component_texts(lakes.melt(star_lake(spark, sf_dir))).drop("lake")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.text import answer_columns, answer_text
 from tessera.operators import provenance, resolution
 from tessera.plans.corpus import (
     BLOCKS, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
@@ -77,6 +78,21 @@ def answer_table(spark, sf_dir):
     return provenance.answer_table(star_lake(spark, sf_dir), _ANSWERS, _ORDERED)
 
 
+_SQL_FIELD = "case when {x} is null then '' when regexp_matches({x}, '[\",\\r\\n]') then '\"' || replace({x}, '\"', '\"\"') || '\"' else {x} end"
+
+
+@query(
+    "answer_texts",
+    f"with a as ({_answer_sql()}), lines as (select gt_name, pos, string_agg({_SQL_FIELD.format(x='value')}, ',' order by col_pos) as line from a group by all),"
+    " heads as (select gt_name, string_agg(col_name, ',' order by col_pos) as header, string_agg(col_name, ', ' order by col_pos) as answer_columns from (select distinct gt_name, col_pos, col_name from a) group by all)"
+    " select gt_name, answer_columns, header || chr(10) || string_agg(line, chr(10) order by pos) || chr(10) as answer from lines join heads using (gt_name) group by gt_name, answer_columns, header",
+)
+def answer_texts(spark, sf_dir):
+    """Answers as maps, and from them the column list and the CSV text of a request."""
+    maps = provenance.answer_maps(provenance.answer_table(star_lake(spark, sf_dir), _ANSWERS, _ORDERED))
+    return maps.select("gt_name", answer_columns(F.col("answer_table")).alias("answer_columns"), answer_text(F.col("answer_table")).alias("answer"))
+
+
 # every part is a query: its type names a table of the lake of its brand, its name a column
 _SQL_PART_LAKE = (
     "cols as (select distinct p_brand as lake, p_type as table_name, p_name as col_name from part),"

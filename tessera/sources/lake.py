@@ -168,6 +168,18 @@ def corpus_to_cells(
     ).select("lake", "table_name", "row_id", "col_pos", F.element_at("header", F.col("col_pos") + 1).alias("col_name"), "value")
 
 
+def corpus_catalog(corpus: DataFrame, lake, table_name: str = "table_name") -> DataFrame:
+    """The catalog of a corpus, tables without rows or without columns included, which leave no cells behind.
+
+    ``lake`` is a name or a column. A table may be several records; all have its header.
+    """
+    name = F.lit(lake) if isinstance(lake, str) else lake
+    n_rows = F.coalesce(F.size("rows"), F.lit(0))
+    sized = corpus.groupBy(name.alias("lake"), F.col(table_name).alias("table_name")).agg(
+        F.sum(F.greatest(n_rows, F.lit(0))).alias("n_rows"), F.max(F.greatest(F.coalesce(F.size("header"), F.lit(0)), F.lit(0))).alias("n_cols"))
+    return sized.withColumn("num_cells", F.col("n_rows") * F.col("n_cols"))
+
+
 def composed_name(page_title: str, section_title: str, caption: str):
     """The table name of a corpus record, from its three titles."""
     return F.concat(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import posixpath
+import time
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,40 @@ def read_or_compute(
     return load_stage(spark, path)
 
 
+def _children(spark: SparkSession, path: str) -> list[str]:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def save_version(frames: Mapping[str, DataFrame], root: str) -> str:
+    """Write the frames of a lake (cells, tiles, vectors, truths, ...) as one version and return its name.
+
+    Data come first, then a manifest that names them; a version without a complete manifest is never read, so a write
+    that breaks off leaves the last version in force. Names of versions ascend with time.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    for name, df in frames.items():
+        df.write.parquet(posixpath.join(root, "data", version, name))
+    listed = spark.createDataFrame([(name, df.schema.json()) for name, df in frames.items()], "name string, schema string")
+    listed.coalesce(1).write.json(posixpath.join(root, "manifests", version))
+    return version
+
+
+def load_version(spark: SparkSession, root: str, version: str | None = None) -> dict[str, DataFrame]:
+    """The frames of a version, by default of the newest complete one."""
+    manifests = posixpath.join(root, "manifests")
+    complete = [v for v in _children(spark, manifests) if stage_exists(spark, posixpath.join(manifests, v))]
+    if not complete or (version is not None and version not in complete):
+        raise FileNotFoundError(f"no complete version {version or ''} under {root}")
+    chosen = version or complete[-1]
+    listed = spark.read.schema("name string, schema string").json(posixpath.join(manifests, chosen)).collect()
+    return {
+        r["name"]: spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).parquet(posixpath.join(root, "data", chosen, r["name"]))
+        for r in listed}
+
+
 def add_config(results: DataFrame, config_name: str) -> DataFrame:
     """Add one column per ``k=v`` of a configuration name."""
     tail = config_name.split("/")[-1]

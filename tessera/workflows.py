@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scores import accuracy_aggregates, add_confusion_scores
 from tessera.operators import divisive, evaluation, packing, provenance, rectangles, requests, retrieval, slicing
-from tessera.operators.embedding import Embedder, embed_grid_tiles, embed_questions, embed_table, embed_tiles
+from tessera.operators.embedding import Embedder, embed_grid_tiles, embed_questions, embed_table, embed_tiles, name_vectors
 from tessera.operators.provenance import Block
 from tessera.operators.tiles import limit_per_lake, tile_sizes
 from tessera.session import materialize
@@ -34,6 +34,10 @@ def evaluate_slicing(lake: Lake, blocks: Sequence[Block], configs: Sequence[tupl
     return add_confusion_scores(counts)
 
 
+def _names(lake: Lake, embedder: Embedder) -> DataFrame | None:
+    return None if embedder.costly else name_vectors(lake, embedder)
+
+
 # ---- slicers ---------------------------------------------------------------------------------------------------------
 
 
@@ -55,7 +59,7 @@ class GridSlicer:
         return slicing.grid_tiles(self._strides(lake)).select(*SPANS)
 
     def tile_vectors(self, lake: Lake, spans: DataFrame, embedder: Embedder) -> DataFrame:
-        return embed_grid_tiles(melt(lake), self._strides(lake), embedder).select("lake", "tile_id", "vec")
+        return embed_grid_tiles(melt(lake), self._strides(lake), embedder, _names(lake, embedder)).select("lake", "tile_id", "vec")
 
 
 @dataclass(frozen=True)
@@ -78,7 +82,7 @@ class DivisiveSlicer:
         return divisive.tile_spans(named).select(*SPANS)
 
     def tile_vectors(self, lake: Lake, spans: DataFrame, embedder: Embedder) -> DataFrame:
-        return embed_tiles(melt(lake), spans, "tile", embedder).select("lake", "tile_id", "vec")
+        return embed_tiles(melt(lake), spans, "tile", embedder, _names(lake, embedder)).select("lake", "tile_id", "vec")
 
 
 # ---- indexes ---------------------------------------------------------------------------------------------------------
@@ -202,7 +206,7 @@ def slice_lake(lake: Lake, config: AnswerConfig, root: str | None = None) -> Sli
         return materialize(compute(), name) if root is None else read_or_compute(spark, stage_path(root, name, settings), compute)
 
     def cell_vectors() -> DataFrame:
-        return stage("embedded", embedded, lambda: embed_table(melt(lake), "table-cells", cells_by))
+        return stage("embedded", embedded, lambda: embed_table(melt(lake), "table-cells", cells_by, _names(lake, cells_by)))
 
     spans = stage("sliced", sliced, lambda: slicer.tiles(lake, cell_vectors, cells_by.dim)).select(*SPANS)
     return Sliced(spans, lambda: stage("tile-embedded", tiled, lambda: slicer.tile_vectors(lake, spans, config.embedder)).select("lake", "tile_id", "vec"))
