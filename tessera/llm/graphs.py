@@ -74,8 +74,9 @@ def bucket_components(
     inside one component are never formed, so large groups of near copies stay linear.
     """
     check = verify or (lambda pairs: pairs)
-    keys = materialize(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    shared = materialize(with_few(postings, keys, "key"), "shared")
+    met = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    keys = materialize(met.where("low < high").select("key"), "keys")
+    shared = materialize(with_few(postings, keys, "key").distinct(), "shared")
     reps = materialize(shared.groupBy("key").agg(F.min(F.struct("node", "print")).alias("rep")), "reps")
     members = shared.join(reps, "key")
     star = (
