@@ -77,7 +77,8 @@ def test_answers_as_maps(spark):
     lake = lakes.Lake("l", {"t": spark.createDataFrame([(0, "x,y", 2), (1, None, 1)], "row_id long, n string, v int")})
     long = provenance.answer_table(lake, {"q": "SELECT v, n, v AS v2 FROM {t}", "p": "SELECT n FROM {t} WHERE v > 5"}, [])
     got = {r["gt_name"]: r["answer_table"] for r in provenance.answer_maps(long).collect()}
-    assert got == {"q": {"v": ["1", "2"], "n": [None, "x,y"], "v2": ["1", "2"]}} and list(got["q"]) == ["v", "n", "v2"]
+    assert got == {"q": {"v": ["1", "2"], "n": [None, "x,y"], "v2": ["1", "2"]}}
+    assert provenance.answer_maps(long).select(F.map_keys("answer_table")).first()[0] == ["v", "n", "v2"]
 
 
 def test_newest_entries(spark):
