@@ -15,8 +15,8 @@ from tessera.llm.registry import query, table
 GRAMS = (1, 2, 3)
 #: Slots of the presence vector that n-grams are hashed to.
 SLOTS = 1 << 15
-#: Bound of the training sample, of the landmarks among it, and of the languages told apart.
-TRAIN_ROWS, LANDMARKS, LANGUAGES = 2_000, 256, 200
+#: Bound of the training sample, and of the landmarks among it; each language has one text of either at least.
+TRAIN_ROWS, LANDMARKS = 2_000, 256
 RIDGE = 1e-2
 #: Steepness of the scores' normalisation to shares.
 SHARPNESS = 8.0
@@ -79,8 +79,9 @@ def _hash_limit(rows: int, wanted: int) -> int:
     return 2**63 - 1 if rows <= wanted else -2**63 + wanted * 2**64 // rows
 
 
-def training_sample(docs: DataFrame, max_rows: int = TRAIN_ROWS, languages: int = LANGUAGES) -> list[tuple[str, bytes]]:
-    """Language and packed presence of at most ``max_rows`` texts, spread evenly over the most frequent languages.
+def training_sample(docs: DataFrame, max_rows: int = TRAIN_ROWS) -> list[tuple[str, bytes]]:
+    """Language and packed presence of at most ``max_rows`` texts, spread evenly over all languages (one text each if
+    there are more languages than that), by language and text hash.
 
     Texts are those of the smallest hashes within each language, copies once, so the sample depends on content only.
     The limit of the hashes follows from the different texts of a language, so copies take no places: each language has
@@ -88,8 +89,8 @@ def training_sample(docs: DataFrame, max_rows: int = TRAIN_ROWS, languages: int
     What reaches the driver is bounded by ``max_rows`` times ``SLOTS`` bits.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).select("lang", "text")
-    different = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.count("*").alias("rows"))
-    counts = different.groupBy("lang").agg(F.sum("rows").alias("rows"), F.count("*").alias("n")).orderBy(F.desc("rows"), "lang").limit(languages).collect()
+    different = usable.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = different.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return []
     each = max(1, max_rows // len(counts))
@@ -101,16 +102,18 @@ def training_sample(docs: DataFrame, max_rows: int = TRAIN_ROWS, languages: int
 
     def features(batches):
         for batch in batches:
-            rows = [(lang, np.packbits(presence(t)).tobytes())
-                    for lang, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())],
-                                             names=["lang", "bits"])
+            rows = [(lang, h, np.packbits(presence(t)).tobytes())
+                    for lang, h, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) if has_letter(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.binary()))],
+                                             names=["lang", "h", "bits"])
 
-    return sorted((r["lang"], bytes(r["bits"])) for r in chosen.select("lang", "text").mapInArrow(features, "lang string, bits binary").collect())
+    found = chosen.select("lang", "h", "text").mapInArrow(features, "lang string, h long, bits binary").collect()
+    return [(lang, bits) for lang, _, bits in sorted((r["lang"], r["h"], bytes(r["bits"])) for r in found)]
 
 
 def fit(sample: list[tuple[str, bytes]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel | None:
-    """One-versus-rest kernel ridge regression on Nyström landmarks; None without a sample."""
+    """One-versus-rest kernel ridge regression on Nyström landmarks, the first of each language in the order of the sample
+    (which is that of text hashes, so neither short nor long texts are preferred); None without a sample."""
     if not sample:
         return None
     languages = tuple(sorted({lang for lang, _ in sample}))
@@ -136,7 +139,8 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``(doc_id, lang_pred, score)`` of every row of ``docs(doc_id, text)``, read where it lies.
 
     Texts that are null or have no letter are ``und`` with score 0, as are all texts where nothing could be learned.
-    Repeated rows and rows without ``doc_id`` stay; equal texts get equal predictions.
+    Repeated rows and rows without ``doc_id`` stay; equal texts get equal predictions. Very long texts are read whole, in
+    steps. Other columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -162,7 +166,9 @@ def held_out() -> Column:
 
 def known_language(docs: DataFrame, least_score: float = 0.4) -> DataFrame:
     """``docs`` whose language is identified with at least ``least_score``, learned from the same documents' ``lang``
-    without the held-out quarter. Texts without a letter go; if nothing can be learned, texts with a letter stay."""
+    without the held-out quarter. Null texts and texts without a letter go; if nothing can be learned, texts with a letter
+    stay. Repeated rows are kept or go together. All columns are carried, whatever their names; an empty table stays
+    empty."""
     model = learn(docs.where(~held_out()))
     columns = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
