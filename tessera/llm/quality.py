@@ -31,7 +31,7 @@ RULES = {
     "lines": ("n_dup_lines = 0", "4 * n_dup_lines > n_lines"),
     "capitals": ("10 * n_upper <= word_chars", "3 * n_upper > word_chars"),
     "function_words": ("10 * n_function >= n_words", "50 * n_function < n_words"),
-    "variety": ("3 * n_distinct >= n_words", "n_words < 2000 and 10 * n_distinct < n_words"),
+    "variety": ("3 * n_distinct >= n_words", "10 * n_distinct < n_words and cast(n_distinct as bigint) * n_distinct < 20 * n_words"),
     "exclamations": ("50 * n_bangs <= n_words", "4 * n_bangs > n_words"),
     "word_length": ("word_chars between 3 * n_words and 9 * n_words", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
 }
@@ -181,9 +181,9 @@ def assess(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without those that fail the base or are more likely bad than good, estimated on the same documents."""
-    voted = features(docs.select(F.struct(*docs.columns).alias("doc"), "text")).withColumn("votes", votes())
-    weights = estimated(voted.select("votes"))
-    judged = _with_posterior(voted, weights)
+    voted = features(docs.select(F.struct(*docs.columns).alias("doc"), "text")).drop("text").withColumn("votes", votes())
+    voted = materialize(voted.select("doc", "n_words", "n_repeat_words", "votes"), "votes")  # counts are worked out once
+    judged = _with_posterior(voted, estimated(voted.select("votes")))
     return judged.where(~base_failed() & (F.col("quality") >= KEEP_FROM)).select("doc.*")
 
 
