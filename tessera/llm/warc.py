@@ -16,6 +16,8 @@ from tessera.llm.registry import query, table
 from tessera.session import materialize
 
 RECORD_END = b"\r\n\r\n"
+#: Bytes of archives that one task reads back, about.
+READ_BYTES = 8 << 20
 #: Payloads of fewer bytes are never written as revisits.
 MIN_REVISIT_BYTES = 0
 #: Bytes inflated at a time.
@@ -167,7 +169,9 @@ def read_records(index: DataFrame) -> DataFrame:
                 [(n, pa.int64() if n == "payload_bytes" else pa.string()) for n in
                  ("record_id", "record_type", "refers_to", "header_digest", "payload_bytes", "payload_digest")]))
 
-    return index.select("path", "offset", "length").mapInArrow(
+    size = index.agg(F.sum("length")).first()[0] or 0
+    spread = index.select("path", "offset", "length").repartitionByRange(max(1, -(-size // READ_BYTES)), "path", "offset")
+    return spread.sortWithinPartitions("path", "offset").mapInArrow(
         run, "record_id string, record_type string, refers_to string, header_digest string, payload_bytes long, payload_digest string")
 
 
@@ -176,7 +180,7 @@ def archive_pages(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BY
 
     Every row is a record, repeated rows and rows without ``page_id`` too (the latter named ``none``, never revisits).
     Null html is an empty payload. Rows that repeat the largest ``page_id`` of a payload are all responses. Other
-    columns are ignored; an empty table gives archives without records.
+    columns are ignored; an empty table gives archives without records. A payload is one value of a task, however large.
     """
     write_whole_gzip(page_records(pages, min_bytes), f"{folder}/whole")
     return normalise(pages.sparkSession, f"{folder}/whole", f"{folder}/records")
