@@ -124,13 +124,28 @@ def test_grams_and_keys_of_lines():
         assert len(code) == 32 - size + 1 and code[0] == code[16] and len(set(code.tolist())) == 16
     norms = [b"a b c d e", b"one two three four five six seven eight nine ten eleven twelve thirteen", b"a b c d e", b"x" * 30 + b" a b c " + b"y" * 25]
     together = line_dedup.line_keys(norms)
-    assert [len(k) for k in together] == [24, 18, 24, 42]
+    assert [len(k) for k in together] == [24, 21, 24, 45]
     for norm, keys in zip(norms, together, strict=True):  # the neighbours of a line in its batch do not matter
         assert line_dedup.line_keys([norm])[0].tolist() == keys.tolist()
     assert line_dedup.normalised("One, TWO-three  (4) É!") == "one two three 4 é".encode() and line_dedup.normalised("a b c d") is None
     assert line_dedup.normalised("Page 1 of MANY pages.") == b"page 1 of many pages"
 
 
+def test_counts_of_grams_reject_no_true_pair():
+    rng = random.Random(11)
+    for n in (9, 60, 400, 1990, 2005, 5000):
+        for _ in range(6):
+            a = "".join(rng.choices("abcdé  𝄞ß", k=n))
+            b, allowed = list(a), n // 10
+            for _ in range(allowed):
+                at = rng.randrange(len(b))
+                b[at:at + 1] = rng.choice([[], ["x"], [b[at], "y"]])
+            assert line_dedup.grams_allow(a, "".join(b), allowed)
+    words = ["".join(rng.choices("abcdefghijkl", k=rng.randrange(2, 9))) for _ in range(4000)]
+    one, other = (" ".join(rng.sample(words, 3000)) for _ in range(2))
+    assert not line_dedup.grams_allow(one, other, len(one) // 20)
+
+
 def test_no_lines(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
