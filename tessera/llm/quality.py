@@ -182,7 +182,7 @@ def assess(docs: DataFrame) -> DataFrame:
 def good_documents(docs: DataFrame) -> DataFrame:
     """``docs`` without those that fail the base or are more likely bad than good, estimated on the same documents."""
     voted = features(docs.select(F.struct(*docs.columns).alias("doc"), "text")).drop("text").withColumn("votes", votes())
-    voted = materialize(voted.select("doc", "n_words", "n_repeat_words", "votes"), "votes")  # counts are worked out once
+    voted = materialize(voted, "votes")  # with all counts: a count that is not written is worked out where it is used
     judged = _with_posterior(voted, estimated(voted.select("votes")))
     return judged.where(~base_failed() & (F.col("quality") >= KEEP_FROM)).select("doc.*")
 
