@@ -1,10 +1,10 @@
-"""Shuffled lakes, corpora with empty tables, versions of a lake, answers, cached responses, costly texts."""
+"""Bounded retrieval, shuffled lakes, corpora with empty tables, versions of a lake, answers, cached responses, costly texts."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import hashed_text
-from tessera.operators import embedding, provenance, requests, tiles
+from tessera.operators import embedding, provenance, requests, retrieval, tiles
 from tessera.operators.rectangles import expand_rows
 from tessera.sources import lake as lakes, stages
 
@@ -105,3 +105,25 @@ def test_names_are_embedded_per_column(spark):
     texts = spark.createDataFrame([("x",), ("x",), (None,), ("",), ("y",)], "t string")
     got = sorted((str(r["t"]), r["v"]) for r in embedding.embed_texts(texts, F.col("t"), "v", costly).collect() if r["t"] is not None)
     assert got == sorted((str(r["t"]), r["v"]) for r in embedding.embed_texts(texts, F.col("t"), "v", embedder).collect() if r["t"] is not None)
+
+
+@pytest.mark.parametrize("metric", [retrieval.COSINE, retrieval.INNER_PRODUCT])
+@pytest.mark.parametrize("misled", [False, True])
+def test_bounded_retrieval_equals_all_distances(spark, monkeypatch, metric, misled):
+    """With a bound from a sample, and with a sample of other questions that rules out too much."""
+    import numpy as np
+
+    monkeypatch.setattr(retrieval, "TILES_PER_BLOCK", 64)
+    rng = np.random.default_rng(2)
+    vectors = [("l", f"t{i:04d}", rng.normal(size=4).round(2).tolist()) for i in range(900)] + [("m", f"t{i}", rng.normal(size=4).tolist()) for i in range(9)]
+    tiles_df = spark.createDataFrame(vectors, "lake string, tile_id string, vec array<double>")
+    asked = spark.createDataFrame([(lake, f"q{i}", rng.normal(size=4).tolist()) for lake in "lm" for i in range(6)], "lake string, gt_name string, vec array<double>")
+    if misled:
+        true_bounds = retrieval._with_bounds
+        monkeypatch.setattr(retrieval, "_with_bounds", lambda *a: true_bounds(*a).withColumn("bound", F.when(F.col("gt_name") < "q3", F.col("bound") - 5).otherwise(F.col("bound"))))
+    handed = retrieval._best(asked, tiles_df, metric, 20, None).filter("tile_id IS NOT NULL")
+    if not misled:
+        assert handed.filter("lake = 'l'").count() < 6 * 15 * 20 / 2  # half of what 15 blocks hand on without a bound
+    got = sorted(map(tuple, retrieval.retrieve(asked, tiles_df, metric, 20).select("lake", "gt_name", "tile_id", "rank").collect()))
+    every = retrieval.rank(retrieval.retrieve(asked, tiles_df, metric, None), 20)
+    assert got == sorted(map(tuple, every.select("lake", "gt_name", "tile_id", "rank").collect()))
