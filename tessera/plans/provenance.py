@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
-from tessera.functions.text import answer_columns, answer_text
+from tessera.functions.text import answer_columns, answer_text, list_answer
 from tessera.operators import provenance, resolution
 from tessera.plans.corpus import (
     BLOCKS, sql_tables, sql_truth_cols, sql_truth_rows, star_lake, table,
 )
 from tessera.plans.registry import query
-from tessera.sources import ground_truth
+from tessera.session import checkpoint_dir
+from tessera.sources import ground_truth, stages
 
 _PLAIN = [b for b in BLOCKS if "{" not in b.predicate]
 _NESTED = [b for b in BLOCKS if "{" in b.predicate]
@@ -165,11 +169,20 @@ def resolve_columns(spark, sf_dir):
 
 @query(
     "gt_table_join",
-    "select d.doc_id, l.quality, d.lang, d.source from labels l join documents d using (doc_id)",
+    "select 'ground-truth-' || (row_number() over (order by l.doc_id) - 1) as gt_name, d.source as lake, 'doc ' || d.doc_id as table_name, l.doc_id || '?' as information_need,"
+    " 'select ' || l.quality as sql_query, l.quality || ',' || l.toxic as answer from labels l join documents d using (doc_id)",
 )
 def gt_table_join(spark, sf_dir):
-    questions = table(spark, sf_dir, "labels")
-    return questions.join(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "quality", "lang", "source")
+    """Questions that name their table, written as JSON and joined with the tables of the lakes."""
+    path = os.path.join(checkpoint_dir(spark), f"questions-{uuid.uuid4().hex}")
+    labels = table(spark, sf_dir, "labels")
+    labels.sort("doc_id").select(
+        F.concat(F.lit("t"), "doc_id").alias("original_table_id"), F.concat("doc_id", F.lit("?")).alias("question"), F.concat(F.lit("select "), "quality").alias("sql"),
+        F.array(F.col("quality").cast("string"), F.col("toxic").cast("string")).alias("answer")).write.json(path)
+    docs = table(spark, sf_dir, "documents")
+    tables = docs.select(F.concat(F.lit("t"), "doc_id").alias("original_table_id"), F.col("source").alias("lake"), F.concat(F.lit("doc "), "doc_id").alias("table_name"))
+    loaded = ground_truth.load_table_questions(spark, {"train": path}, tables)
+    return loaded.select("gt_name", "lake", "table_name", "information_need", "sql_query", list_answer(F.col("answer_list")).alias("answer"))
 
 
 @query(
@@ -224,10 +237,10 @@ def gt_skip_reasons(spark, sf_dir):
 
 @query("concat_runs", "select 'a' as run, doc_id, n_chars, null as quality from documents union all by name select 'b' as run, doc_id, quality from labels")
 def concat_runs(spark, sf_dir):
-    from tessera.sources.stages import concat_runs as concat
-
-    a = table(spark, sf_dir, "documents").select(F.lit("a").alias("run"), "doc_id", "n_chars")
-    b = table(spark, sf_dir, "labels").select(F.lit("b").alias("run"), "doc_id", "quality")
-    return concat([a, b])
+    """Two runs with different columns, written as CSV and united by name when they are read."""
+    root = os.path.join(checkpoint_dir(spark), f"runs-{uuid.uuid4().hex}")
+    stages.save_run(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), root, "run=a")
+    stages.save_run(table(spark, sf_dir, "labels").select("doc_id", "quality"), root, "run=b")
+    return stages.load_runs(spark, root, "run string, doc_id long, n_chars long, quality int")
 
 

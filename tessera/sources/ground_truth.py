@@ -46,6 +46,34 @@ def name_ground_truths(records: DataFrame, partition: str, order_by: list[str])
     )
 
 
+TABLE_QUESTION = "original_table_id string, question string, sql string, answer array<string>"
+
+
+def load_table_questions(
+    spark: SparkSession, groups: dict[str, str], tables: DataFrame, schema: str = TABLE_QUESTION, multi_line: bool = False
+) -> DataFrame:
+    """Question files of the layout that names one table per question, as ground truths with ``lake``, ``table_name`` and
+    ``answer_list``, numbered per partition in file order.
+
+    ``tables (original_table_id, lake, table_name)`` are the tables of the lakes. Questions about other tables are left
+    out after they were numbered.
+    """
+    parts = []
+    for partition, path in groups.items():
+        reader = spark.read.option("multiLine", multi_line).option("mode", "FAILFAST").schema(schema)
+        records = reader.json(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_arrival", F.monotonically_increasing_id())
+        fields = [c for c in records.columns if not c.startswith("_")]
+        numbered = dense_positions(records, ["_file", "_arrival"], out="_ix")
+        parts.append(numbered.select(
+            "original_table_id", F.concat(F.lit(GT_PREFIX), F.col("_ix").cast("string")).alias("gt_name"), F.lit(partition).alias("partition"),
+            F.col("question").alias("information_need"), F.col("sql").alias("sql_query"), F.col("answer").alias("answer_list"),
+            F.to_json(F.struct(*fields)).alias("data")))
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    return united.join(tables.select("original_table_id", "lake", "table_name"), "original_table_id")
+
+
 def tile_kind(gt_name):
     """The kind of the tiles of a ground truth: the prefix again, in front of a name that has it already."""
     return F.concat(F.lit(GT_PREFIX), gt_name)

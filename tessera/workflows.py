@@ -18,7 +18,7 @@ from tessera.operators.embedding import Embedder, embed_grid_tiles, embed_questi
 from tessera.operators.provenance import Block
 from tessera.operators.tiles import limit_per_lake, tile_sizes
 from tessera.session import materialize
-from tessera.sources.lake import Lake, catalog, lake_sizes, melt
+from tessera.sources.lake import Lake, catalog, lake_sizes, melt, require_cells
 from tessera.sources.stages import read_or_compute, stage_path
 
 QUESTION = ["lake", "gt_name"]
@@ -43,7 +43,8 @@ def _names(lake: Lake, embedder: Embedder) -> DataFrame | None:
 
 @dataclass(frozen=True)
 class GridSlicer:
-    """Tiles from two strides per table; they need no cell vectors, and their own vectors no membership join."""
+    """Tiles from two strides per table; they need no cell vectors, and their own vectors no membership join. A table
+    without cells fails the run, as it does with every slicer."""
 
     name: str = slicing.ROWWISE
     tiles_per_table: int = 10
@@ -53,7 +54,7 @@ class GridSlicer:
         return asdict(self)
 
     def _strides(self, lake: Lake) -> DataFrame:
-        return slicing.grid(catalog(lake), [(self.name, self.tiles_per_table)], self.distribution)
+        return slicing.grid(require_cells(catalog(lake)), [(self.name, self.tiles_per_table)], self.distribution)
 
     def tiles(self, lake: Lake, cell_vectors: Callable[[], DataFrame], dim: int) -> DataFrame:
         return slicing.grid_tiles(self._strides(lake)).select(*SPANS)
@@ -75,7 +76,7 @@ class DivisiveSlicer:
         return asdict(self)
 
     def tiles(self, lake: Lake, cell_vectors: Callable[[], DataFrame], dim: int) -> DataFrame:
-        tables = catalog(lake)
+        tables = require_cells(catalog(lake))
         budgets = slicing.tile_budget(tables, F.lit(self.tiles_per_table), self.distribution).select("lake", "table_name", "budget")
         _, members = divisive.slice_divisive(tables, cell_vectors(), budgets, dim, self.rule)
         named = members.withColumn("tile_id", F.concat_ws("/", "table_name", "tile_id"))

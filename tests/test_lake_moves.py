@@ -127,3 +127,27 @@ def test_bounded_retrieval_equals_all_distances(spark, monkeypatch, metric, misl
     got = sorted(map(tuple, retrieval.retrieve(asked, tiles_df, metric, 20).select("lake", "gt_name", "tile_id", "rank").collect()))
     every = retrieval.rank(retrieval.retrieve(asked, tiles_df, metric, None), 20)
     assert got == sorted(map(tuple, every.select("lake", "gt_name", "tile_id", "rank").collect()))
+
+
+def test_questions_that_name_their_table(spark, tmp_path):
+    from tessera.sources.ground_truth import load_table_questions
+
+    (tmp_path / "q.json").write_text('{"original_table_id":"a","question":"q0","sql":"s","answer":["x","y"]}\n{"original_table_id":"gone","question":"q1","sql":"s","answer":[]}\n'
+                                     '{"original_table_id":"b","question":"q2","sql":"s","answer":null}\n')
+    tables = spark.createDataFrame([("a", "l", "t a"), ("b", "l", "t b")], "original_table_id string, lake string, table_name string")
+    rows = {r["gt_name"]: r for r in load_table_questions(spark, {"val": str(tmp_path / "q.json")}, tables).collect()}
+    assert set(rows) == {"ground-truth-0", "ground-truth-2"}
+    assert (rows["ground-truth-0"]["table_name"], rows["ground-truth-0"]["answer_list"], rows["ground-truth-2"]["answer_list"]) == ("t a", ["x", "y"], None)
+    assert '"question":"q2"' in rows["ground-truth-2"]["data"]
+
+
+def test_empty_tables_fail_and_counters_are_kept(spark, tmp_path):
+    from tessera.workflows import AnswerConfig, DivisiveSlicer, GridSlicer, slice_lake
+
+    lake = lakes.Lake("l", {"t": spark.range(0).select(F.col("id").alias("row_id"), F.lit("x").alias("c"))})
+    for slicer in (GridSlicer(), DivisiveSlicer()):
+        with pytest.raises(Exception, match="empty table"):
+            slice_lake(lake, AnswerConfig(slicer=slicer)).spans.collect()
+    counted = provenance.count_reasons(spark.createDataFrame([("a",), ("a",), (None,)], "skip_reason string"))
+    stages.save_statistics(counted, str(tmp_path / "stats"))
+    assert {(r["skip_reason"], r["n"]) for r in spark.read.json(str(tmp_path / "stats")).collect()} == {("a", 2), (None, 1)}
