@@ -78,12 +78,23 @@ def bucket_components(
     keys = materialize(met.where("low < high").select("key"), "keys")
     shared = materialize(with_few(postings, keys, "key").distinct(), "shared")
     reps = materialize(shared.groupBy("key").agg(F.min(F.struct("node", "print")).alias("rep")), "reps")
-    members = shared.join(reps, "key")
-    star = (
-        members.where((F.col("node") != F.col("rep.node")) & close(F.col("print"), F.col("rep.print")))
-        .select(F.col("rep.node").alias("a"), F.col("node").alias("b")).distinct()
-    )
-    first = materialize(components(check(star)), "first")
+    near = shared.join(reps, "key").where((F.col("node") != F.col("rep.node")) & close(F.col("print"), F.col("rep.print")))
+    star = near.groupBy(F.col("rep.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys"))
+    if verify is None:
+        first = materialize(components(star.select("a", "b")), "first")
+    else:
+        # a pair is costly: each node is tried with the node it shares most keys with, and only then, if that has not
+        # joined them, with the smallest nodes of its other buckets
+        star = materialize(star, "star")
+        likely = star.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+        found = check(likely.select("a", "b"))
+        joined = materialize(components(found), "joined")
+        label = lambda side: joined.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        apart = star.join(label("a"), "a", "left").join(label("b"), "b", "left").where(
+            F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b").join(likely.select("a", "b"), ["a", "b"], "left_anti")
+        more = check(apart)
+        first = materialize(components(found.unionByName(more)), "first")
+        forget(star, joined, found, more)
 
     labelled = materialize(
         shared.join(first, "node", "left")
