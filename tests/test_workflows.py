@@ -91,11 +91,11 @@ def test_truth_index_and_table_layout(toy, spark):
 
 
 def test_second_tile_ends_in_a_cut_context(toy, spark):
-    config = AnswerConfig(slicer=GridSlicer("none", 1), context_tokens=26, embedder=EMBEDDER, second_tile=True)
+    config = AnswerConfig(slicer=GridSlicer("none", 1), context_tokens=10, embedder=EMBEDDER, second_tile=True)
     prepared, result = prepare_requests(toy, questions_of(spark), config)
     for row in prepared.collect():
         assert row["cut"] and not row["near_end"]
-        assert len(__import__("re").findall(r"\w+|[^\w\s]", row["context"])) == 26
+        assert len(__import__("re").findall(r"\w+|[^\w\s]", row["context"])) == 10
 
 
 def test_limits_of_lakes_and_questions(toy, spark):
