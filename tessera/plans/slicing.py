@@ -129,7 +129,8 @@ def precision_pivot(spark, sf_dir):
     return pivoted.select("slicer", *[F.round(f"tpt_{t}", 9).alias(f"tpt_{t}") for t in TPTS])
 
 
-_DIVISIVE_TPT = 50
+#: Tiles per table: of the many small tables, and of the dims lake, where larger tables go level by level.
+_DIVISIVE_TPT, _DIMS_TPT = 50, 3
 
 
 def _order_vectors(spark, sf_dir):
@@ -195,10 +196,10 @@ def split_tile(spark, sf_dir):
     return divisive.split_members(nodes, spread, means, rule, DIM).select("lake", "table_name", "axis", "member", "label")
 
 
-def _divisive(spark, sf_dir, cells):
+def _divisive(spark, sf_dir, cells, tiles_per_table=_DIVISIVE_TPT):
     cells = materialize(cells, "cells")  # the stage that slicing starts from
     tables = materialize(catalog_of_cells(cells), "tables")
-    budgets = slicing.tile_budget(tables, F.lit(_DIVISIVE_TPT))
+    budgets = slicing.tile_budget(tables, F.lit(tiles_per_table))
     vectors = embed_table(cells, "table-cells", EMBEDDER)
     tiles, members = divisive.slice_divisive(tables, vectors, budgets.select("lake", "table_name", "budget"), DIM)
     return tables, tiles, members
@@ -212,13 +213,13 @@ def slice_divisive(spark, sf_dir):
 
 @query("slice_divisive_confusion")
 def slice_divisive_confusion(spark, sf_dir):
-    """Divisive tiles of the star lake, scored against every ground truth."""
-    lake = star_lake(spark, sf_dir)
+    """Divisive tiles of the dimension tables, scored against every ground truth over them."""
+    lake = dims_lake(spark, sf_dir)
     cells = melt(lake)
-    tables, tiles, members = _divisive(spark, sf_dir, cells)
+    tables, tiles, members = _divisive(spark, sf_dir, cells, _DIMS_TPT)
     spans = divisive.tile_spans(members)
-    rows = provenance.provenance_rows(lake, BLOCKS)
-    truth_cols = provenance.provenance_columns(lake, BLOCKS)
+    rows = provenance.provenance_rows(lake, DIM_BLOCKS)
+    truth_cols = provenance.provenance_columns(lake, DIM_BLOCKS)
     truths = rows_to_spans(rows.join(truth_cols, ["lake", "gt_name", "table_name"]))
     hits = tile_hits(spans, truths, ["tile_id", "table_name"], ["gt_name"])
     hits = hits.withColumn("tile_id", F.concat_ws("/", "table_name", "tile_id"))
