@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import accuracy_aggregates, add_confusion_scores
-from tessera.operators.rectangles import row_cover
+from tessera.operators.rectangles import paired_covers
 
 QUESTION = ["lake", "gt_name"]
 #: Configuration columns of a result row.
@@ -20,8 +20,7 @@ def retrieval_confusion(result: DataFrame, truth: DataFrame, lake_cells: DataFra
 
     ``result`` and ``truth`` are span frames with ``gt_name``; ``lake_cells (lake, lake_cells)``.
     """
-    on = [*QUESTION, "table_name", "row_id", "word"]
-    covers = row_cover(result, QUESTION).join(row_cover(truth, QUESTION).withColumnRenamed("mask", "other"), on, "full")
+    covers = paired_covers(result, truth, QUESTION)
     none = F.lit(0).cast("long")
     got, wanted = F.coalesce("mask", none), F.coalesce("other", none)
     both = F.bit_count(got.bitwiseAND(wanted))

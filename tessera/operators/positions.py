@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize
+from tessera.session import local_frame, materialize
 
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number of a partition in the low 33 bits
 
@@ -42,7 +42,7 @@ def dense_positions(
     for part, n in sizes:
         offsets.append((part, total))
         total += n
-    offset_df = df.sparkSession.createDataFrame(offsets, "_part long, _offset long")
+    offset_df = local_frame(df.sparkSession, offsets, "_part long, _offset long")
     placed = stored.join(offset_df, "_part").withColumn(out, F.col("_offset") + F.col("_local"))
     placed = placed.drop("_part", "_local", "_offset")
     if not group_by:

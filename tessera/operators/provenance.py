@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.positions import dense_positions
 from tessera.operators.rectangles import rows_to_spans
+from tessera.session import local_frame
 from tessera.sources.ground_truth import GT_PREFIX
 from tessera.sources.lake import Lake
 from tessera.sources.tables import ROW_ID
@@ -90,9 +91,7 @@ def provenance_columns(lake: Lake, blocks: Sequence[Block]) -> DataFrame:
         mentioned = names if "*" in block.columns else block.columns
         found.setdefault((block.gt_name, block.table), set()).update(names.index(c) for c in mentioned)
     rows = [(lake.name, gt, table, sorted(cols)) for (gt, table), cols in found.items()]
-    return lake.any_session().createDataFrame(
-        rows, "lake string, gt_name string, table_name string, cols array<int>"
-    )
+    return local_frame(lake.any_session(), rows, "lake string, gt_name string, table_name string, cols array<int>")
 
 
 def ground_truth_tiles(lake: Lake, blocks: Sequence[Block]) -> DataFrame:

@@ -60,13 +60,16 @@ def remove_tiles(spans: DataFrame, removed: DataFrame) -> DataFrame:
 def invalid_tiles(spans: DataFrame, tables: DataFrame) -> DataFrame:
     """Tiles that name a table, row or column the lake does not have, with the first reason."""
     joined = spans.join(tables.select(*TABLE, "n_rows", "n_cols"), TABLE, "left")
+    # numbers in the order of the texts: they are combined by hashing, texts would be sorted
     reason = (
-        F.when(F.col("n_rows").isNull(), "no such table")
-        .when((F.col("row_lo") < 0) | (F.col("row_hi") > F.col("n_rows")), "no such row")
-        .when(F.exists("cols", lambda c: (c < 0) | (c >= F.col("n_cols"))), "no such column")
+        F.when(F.col("n_rows").isNull(), 3)
+        .when((F.col("row_lo") < 0) | (F.col("row_hi") > F.col("n_rows")), 2)
+        .when(F.exists("cols", lambda c: (c < 0) | (c >= F.col("n_cols"))), 1)
     )
-    bad = joined.withColumn("reason", reason).filter("reason IS NOT NULL")
-    return bad.groupBy(*TABLE, "tile_id").agg(F.min("reason").alias("reason"))
+    bad = joined.withColumn("_reason", reason).filter("_reason IS NOT NULL")
+    first = bad.groupBy(*TABLE, "tile_id").agg(F.min("_reason").alias("_reason"))
+    texts = F.array(F.lit("no such column"), F.lit("no such row"), F.lit("no such table"))
+    return first.select(*TABLE, "tile_id", F.element_at(texts, F.col("_reason")).alias("reason"))
 
 
 def wrong_embeddings(vectors: DataFrame, dim: int, key: Sequence[str], expected: DataFrame) -> DataFrame:

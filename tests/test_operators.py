@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import packing, requests, retrieval, tiles
+from tessera.operators import packing, provenance, requests, retrieval, tiles
 from tessera.operators.positions import dense_positions
-from tessera.session import materialize
+from tessera.plans.corpus import BLOCKS, star_lake
+from tessera.session import local_frame, materialize
 from tessera.sources import lake as lakes, stages
 from tessera.sources.ground_truth import load_ground_truths
+from tessera.sources.lake import catalog
 from tessera.sources.tables import read_table
 from tessera.streaming.rates import start_rate_stream, windowed_rate
 
@@ -267,3 +269,32 @@ def test_braces_and_order_of_queries(spark):
 def test_positions_within_null_groups(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, v int")
     assert sorted((str(r["g"]), r["v"], r["row_id"]) for r in dense_positions(df, ["v"], ["g"]).collect()) == [("None", 1, 0), ("None", 2, 1), ("a", 5, 0)]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_of_the_driver_do_not_spread_large_ones_by_their_keys(spark):
+    """Eleven keys of a catalog would put all rows of the largest table into one sorted partition."""
+    from tessera.operators.tiles import invalid_tiles
+
+    frame = local_frame(spark, [("a", 1, [2]), ("b", None, [])], "name string, n long, cols array<int>")
+    assert [tuple(r) for r in frame.collect()] == [("a", 1, [2]), ("b", None, [])]
+    assert local_frame(spark, [], "name string, cols array<int>").collect() == []
+    lake = star_lake(spark, "/root/testdata/sf0.001")
+    tiles = provenance.ground_truth_tiles(lake, BLOCKS)
+    spans = spark.range(1000).selectExpr("'star' AS lake", "'part' AS table_name", "id AS tile_id", "id AS row_lo", "id + 1 AS row_hi", "array(0) AS cols")
+    for df in (tiles, invalid_tiles(spans, catalog(lake))):
+        assert "SortMergeJoin" not in _plan(df) and "ExistingRDD" not in _plan(df)
+
+
+def test_covers_of_two_sets_need_no_join(spark):
+    from tessera.operators.rectangles import paired_covers, tile_set_overlap
+
+    columns = "lake string, gt_name string, table_name string, tile_id string, row_lo long, row_hi long, cols array<int>"
+    a = spark.createDataFrame([("l", "g", "t", "x", 0, 4, [0, 1]), ("l", "g", "t", "y", 2, 6, [1, 70]), ("l", "h", "t", "z", 0, 1, [0])], columns)
+    b = spark.createDataFrame([("l", "g", "t", "u", 3, 9, [1, 2, 70]), ("l", "only-b", "t", "v", 0, 5, [0])], columns)
+    got = {r["gt_name"]: (r["num_in"], r["num_out"]) for r in tile_set_overlap(a, b, ["gt_name"]).collect()}
+    assert got == {"g": (6, 8), "h": (0, 1)}
+    assert "Join" not in _plan(paired_covers(a, b, ["gt_name"]))
