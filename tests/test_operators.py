@@ -298,3 +298,40 @@ def test_covers_of_two_sets_need_no_join(spark):
     got = {r["gt_name"]: (r["num_in"], r["num_out"]) for r in tile_set_overlap(a, b, ["gt_name"]).collect()}
     assert got == {"g": (6, 8), "h": (0, 1)}
     assert "Join" not in _plan(paired_covers(a, b, ["gt_name"]))
+
+
+def test_text_vectors_share_one_digest(spark):
+    """All components of a text come from one digest, and rare numbers do not blow up the code of a table."""
+    import hashlib
+
+    from tessera.functions.text import value_text
+    from tessera.functions.vectors import hashed_text
+
+    texts = ["", "a", "wörd", "12.5"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for dim in (1, 8, 13, 32):
+        got = {r["text"]: list(r["v"]) for r in df.select("text", hashed_text(dim)(F.col("text")).alias("v")).collect()}
+        want = {t: [2.0 * int(c, 16) - 15.0 for c in hashlib.md5(t.encode()).hexdigest()[:dim]] for t in texts}
+        assert got == want
+    numbers = [0.0, 1e-3, 9.99e-4, 1e-5, 9999999.5, 12345678.5, 1.5e16, float("nan"), float("inf"), None, -2.5]
+    cells = spark.createDataFrame([(x,) for x in numbers], "x double")
+    shown = [r[0] for r in cells.coalesce(1).select(value_text(F.col("x"), cells.schema["x"].dataType)).collect()]
+    assert shown == ["0.0", "0.001", "0.000999", "1e-05", "9999999.5", "12345678.5", "1.5e+16", "NaN", "Infinity", None, "-2.5"]
+    plan = df.select(hashed_text(8)(F.col("text")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" in plan and "instr(" not in plan
+
+
+def test_tile_vectors_read_the_cells_once(spark, monkeypatch):
+    from tessera.operators import embedding, slicing
+    from tessera.plans.corpus import EMBEDDER
+
+    lake = star_lake(spark, SF)
+    strides = slicing.grid(catalog(lake), [("cell", 1), ("rowwise", 5)]).filter("table_name = 'region' OR slicer = 'rowwise'")
+    cells = lakes.melt(lake.only(["region", "nation"]))
+    names = embedding.name_vectors(lake, EMBEDDER)
+    got = {r["tile_id"] + r["slicer"]: r["vec"] for r in embedding.embed_grid_tiles(cells, strides, EMBEDDER, names).collect()}
+    spans = slicing.grid_tiles(strides.filter("table_name IN ('region', 'nation')")).withColumn("tile_id", F.concat("tile_id", "slicer"))
+    want = {r["tile_id"]: r["vec"] for r in embedding.embed_tiles(cells, spans, "tile", EMBEDDER, names).collect()}
+    assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want if k.endswith("rowwise"))
+    plan = embedding.embed_grid_tiles(cells, strides, EMBEDDER, names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan  # the means are written
