@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import csv_field, csv_line_of_array, tile_text, token_count, truncate_tokens, value_text
 from tessera.operators.rectangles import TABLE, expand_rows, rows_to_spans
+from tessera.session import materialize
 from tessera.sources.lake import Lake, column_catalog
 
 QUESTION = ["lake", "gt_name"]
@@ -150,8 +151,8 @@ def _prefix_tokens() -> Column:
 def tile_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
     """(lake, table_name, tile_id, tokens): what each tile's text costs, line by line as it is written."""
     tile = [*TABLE, "tile_id"]
-    members = expand_rows(spans.select(*tile, "row_lo", "row_hi", "cols"))
-    lines = members.join(tokens, [*TABLE, "row_id"]).select(
+    members = materialize(expand_rows(spans.select(*tile, "row_lo", "row_hi", "cols")), "tile-rows")
+    lines = members.join(tokens_of(tokens, members), [*TABLE, "row_id"]).select(
         *tile, _line_tokens("tokens", "lone").alias("_line"), _line_tokens("header_tokens", "header_lone").alias("_header"))
     costs = lines.groupBy(*tile).agg((F.sum("_line") + F.max("_header")).alias("_cost"))
     return costs.select(*tile, (F.col("_cost") + _prefix_tokens()).cast("long").alias("tokens"))
@@ -203,6 +204,22 @@ def expanded_to_spans(spans: DataFrame) -> DataFrame:
     return rows_to_spans(expand_rows(spans))
 
 
+def _affordable(spans: DataFrame, budget: int) -> DataFrame:
+    """(lake, table_name, tile_id) of tiles whose commas alone do not cost more than the budget.
+
+    A line of n > 1 columns has n - 1 commas, whatever its fields hold, so most tiles of large tables are ruled out by
+    their shape, before any text is read.
+    """
+    shape = spans.groupBy(*TABLE, "tile_id").agg(F.sum(F.col("row_hi") - F.col("row_lo")).alias("_rows"), F.max(F.size("cols")).alias("_cols"))
+    return shape.filter((F.col("_rows") + 1) * (F.col("_cols") - 1) <= budget).select(*TABLE, "tile_id")
+
+
+def tokens_of(tokens: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``tokens`` that are in ``members``; tables without any are passed over. Members are written before, as unrolled spans are many times what the planner takes them for, and would be
+    sent to all tasks through the driver."""
+    return tokens.join(members.select(*TABLE, "row_id").distinct(), [*TABLE, "row_id"], "left_semi")
+
+
 def pack_closure(ranked: DataFrame, spans: DataFrame, tokens: DataFrame, budget: int, second_tile: bool = False) -> DataFrame:
     """The same walk, but tiles of one table are merged to their closure before the fit is tested.
 
@@ -212,12 +229,13 @@ def pack_closure(ranked: DataFrame, spans: DataFrame, tokens: DataFrame, budget:
     (limit x budget) lines, whatever the table sizes (lines whose only field is white space cost nothing and come on top).
     """
     asked = spans.join(ranked.select("lake", "tile_id").distinct(), ["lake", "tile_id"], "left_semi")
-    small = least_tokens(asked, tokens).filter(F.col("tokens") <= budget).select(*TABLE, "tile_id")
+    possible = asked.join(_affordable(asked, budget), [*TABLE, "tile_id"], "left_semi")
+    small = materialize(least_tokens(possible, tokens).filter(F.col("tokens") <= budget).select(*TABLE, "tile_id"), "small")
     last = ranked.groupBy(*QUESTION).agg(F.max("rank").alias("_last"))
     candidates = ranked.select(*QUESTION, "rank", "tile_id").join(last, QUESTION).join(
         spans.join(small, [*TABLE, "tile_id"], "left_semi").select(*TABLE, "tile_id", "row_lo", "row_hi", "cols"), ["lake", "tile_id"])
-    members = expand_rows(candidates)
-    needed = members.select(*QUESTION, "table_name", "row_id").distinct().join(tokens, [*TABLE, "row_id"])
+    members = materialize(expand_rows(candidates), "members")
+    needed = members.select(*QUESTION, "table_name", "row_id").distinct().join(tokens_of(tokens, members), [*TABLE, "row_id"])
     needed = needed.select(
         *QUESTION, "table_name", "row_id", "tokens", "lone", "header_tokens", "header_lone", _prefix_tokens().alias("prefix"))
 

@@ -335,3 +335,14 @@ def test_tile_vectors_read_the_cells_once(spark, monkeypatch):
     assert set(got) == set(want) and all(np.allclose(got[k], want[k]) for k in want if k.endswith("rowwise"))
     plan = embedding.embed_grid_tiles(cells, strides, EMBEDDER, names)._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan  # the means are written
+
+
+def test_tiles_of_too_many_commas_are_not_read(spark):
+    """A tile that its commas alone rule out is left out by shape; one column has no commas and is counted."""
+    columns = "lake string, table_name string, tile_id string, row_lo long, row_hi long, cols array<int>"
+    spans = spark.createDataFrame(
+        [("l", "t", "fits", 0, 9, [0, 1]), ("l", "t", "long", 0, 10, [0, 1]), ("l", "t", "long", 20, 21, [0, 1]), ("l", "t", "single", 0, 99, [3])], columns)
+    assert {r["tile_id"] for r in packing._affordable(spans, 10).collect()} == {"fits", "single"}
+    rows = spark.range(100).selectExpr("'l' AS lake", "'t' AS table_name", "id AS row_id", "array('a') AS values", "array('n') AS names")
+    counted = packing.tokens_of(packing.row_tokens(rows), spans.selectExpr("lake", "table_name", "row_lo AS row_id"))
+    assert sorted(r["row_id"] for r in counted.collect()) == [0, 20]
