@@ -215,8 +215,8 @@ def _affordable(spans: DataFrame, budget: int) -> DataFrame:
 
 
 def tokens_of(tokens: DataFrame, members: DataFrame) -> DataFrame:
-    """The rows of ``tokens`` that are in ``members``; tables without any are passed over. Members are written before, as unrolled spans are many times what the planner takes them for, and would be
-    sent to all tasks through the driver."""
+    """The rows of ``tokens`` that are in ``members``; tables without any are passed over. Members are written before, as
+    unrolled spans are many times what the planner takes them for, and would be sent to all tasks through the driver."""
     return tokens.join(members.select(*TABLE, "row_id").distinct(), [*TABLE, "row_id"], "left_semi")
 
 
