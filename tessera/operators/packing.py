@@ -61,17 +61,17 @@ def _pick(values: Column, cols: Column) -> Column:
 def linearize_tiles(spans: DataFrame, rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Number of cells and text (header, CSV rows) of each tile, whatever its size.
 
-    A text is one value, so a tile must fit into one; the header line is worked out once per tile.
+    A text is one value, so a tile must fit into one.
     """
     group = list(dict.fromkeys([*keys, *TABLE, "tile_id"]))
     members = expand_rows(spans.select(*group, "row_lo", "row_hi", "cols"))
     lines = members.join(rows, [*TABLE, "row_id"]).select(
-        *group, "row_id", "cols", "names", csv_line_of_array(_pick(F.col("values"), F.col("cols"))).alias("line"))
+        *group, "row_id", csv_line_of_array(_pick(F.col("names"), F.col("cols"))).alias("header"),
+        csv_line_of_array(_pick(F.col("values"), F.col("cols"))).alias("line"))
     text = lines.groupBy(*group).agg(
-        F.first(F.struct("cols", "names")).alias("_first"), F.array_sort(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
+        F.first("header").alias("header"), F.array_sort(F.collect_list(F.struct("row_id", "line"))).alias("_lines")
     )
-    header = csv_line_of_array(_pick(F.col("_first.names"), F.col("_first.cols")))
-    csv = F.concat(header, F.lit("\n"), F.array_join(F.col("_lines.line"), "\n"), F.lit("\n"))
+    csv = F.concat("header", F.lit("\n"), F.array_join(F.col("_lines.line"), "\n"), F.lit("\n"))
     done = text.select(*group, tile_text(F.col("table_name"), csv).alias("text"))
     sizes = spans.groupBy(*group).agg(F.sum((F.col("row_hi") - F.col("row_lo")) * F.size("cols")).alias("num_cells"))
     return sizes.join(done, group, "left")

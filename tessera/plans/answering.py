@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tessera.functions.text import answer_text, clean_prediction as clean, list_answer, token_count, truncate_tokens as truncate
 from tessera.operators import evaluation, packing, provenance, requests, retrieval, slicing
 from tessera.plans.corpus import (
-    BLOCKS, DIM, EMBEDDER, ORDER_COLUMNS, STAR, STAR_COLUMNS, TOKEN, order_cells, sql_cells, sql_hash, sql_order_cells, sql_tables, star_lake, table,
+    BLOCKS, DIM, EMBEDDER, ORDER_COLUMNS, STAR, STAR_COLUMNS, TOKEN, order_rows, sql_cells, sql_hash, sql_order_cells, sql_tables, star_lake, table,
 )
 from tessera.plans.embeddings import sql_grid_tiles
 from tessera.plans.ranking import SQL_RANKED, document_tiles, ranked_documents, sql_perfect
 from tessera.plans.registry import query
 from tessera.session import checkpoint_dir, materialize
-from tessera.sources.lake import catalog, catalog_of_cells
+from tessera.sources.lake import catalog, catalog_of_rows
 from tessera.streaming.rates import flag_limits, windowed_rate
 from tessera.workflows import AnswerConfig, GridSlicer, TruthIndex, prepare_requests, score_requests, select_context
 
@@ -51,9 +51,10 @@ def linearize_csv(spark, sf_dir):
     " select table_name, num_cells, 'table: \"' || table_name || '\"' || chr(10) || chr(10) || header || chr(10) || body || chr(10) || chr(10) as text from tile",
 )
 def linearize_tiles(spark, sf_dir):
-    cells = materialize(order_cells(spark, sf_dir), "cells")
-    spans = slicing.grid_tiles(slicing.grid(catalog_of_cells(cells), [("none", 1)])).select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
-    return packing.linearize_tiles(spans, packing.table_rows(cells)).select("table_name", "num_cells", "text")
+    rows = order_rows(spark, sf_dir)
+    tables = materialize(catalog_of_rows(rows), "tables")
+    spans = slicing.grid_tiles(slicing.grid(tables, [("none", 1)])).select("lake", "table_name", "tile_id", "row_lo", "row_hi", "cols")
+    return packing.linearize_tiles(spans, rows).select("table_name", "num_cells", "text")
 
 
 @query("linearize_list", "select doc_id, lang || ',' || source || ',' || n_chars as answer from documents")
