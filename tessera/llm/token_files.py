@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ MAGIC = b"DACTOK01"
 CHUNK_BITS = 8
 #: Bits between two entries of a rank directory.
 RANK_BLOCK = 512
-#: Ids after which a task starts a new file; bounds memory, not content.
-FILE_IDS = 8_000_000
+#: Ids after which a task starts a new file, and ids read together; both bound memory, not content.
+FILE_IDS, READ_IDS = 2_000_000, 500_000
 #: Tasks that read files, at most; more files share tasks.
 MOST_READERS = 20_000
 
@@ -116,7 +117,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     """
 
     def run(batches):
-        encode, part, number, held = byte_level(tokenizer_path), TaskContext.get().partitionId(), 0, []
+        encode, part, number, held, size = byte_level(tokenizer_path), TaskContext.get().partitionId(), 0, [], 0
         end = np.array([end_id], "<u4").tobytes()
 
         def flush():
@@ -132,15 +133,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
             texts = (text.as_py() or "" for text in batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode.many(texts), strict=True):
                 held.append((doc_id, ids + end))
-                if sum_of(held) >= 4 * FILE_IDS:
+                size += len(held[-1][1])
+                if size >= 4 * FILE_IDS:
                     yield flush()
-                    held, number = [], number + 1
+                    held, number, size = [], number + 1, 0
         if held:
             yield flush()
 
-    def sum_of(held):
-        return sum(len(x) for _, x in held)
-
     ordered = (
         docs.select(F.col("doc_id").cast("long"), "text")
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -148,6 +147,30 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     return materialize(ordered.mapInArrow(run, "part int, number int, path string, n_ids long"), "token-files")
 
 
+def file_rows(held: TokenFile, before: int) -> Iterator[pa.RecordBatch]:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of the documents of one file, ``before`` ids after the first of all.
+
+    Documents of ``READ_IDS`` ids together are read at a time; a longer one is read in parts of that size.
+    """
+    first = 0
+    while first < len(held.lengths):
+        begin = int(held.starts[first])
+        last = max(first + 1, int(np.searchsorted(held.starts + held.lengths, begin + READ_IDS, "right")))
+        starts, lengths = held.starts[first:last].tolist(), held.lengths[first:last].tolist()
+        if last == first + 1:
+            sums = [0]
+            for at in range(begin, begin + lengths[0], READ_IDS):
+                sums[0] = zlib.crc32(held.tokens(at, min(at + READ_IDS, begin + lengths[0])), sums[0])
+        else:
+            ids = memoryview(held.tokens(begin, starts[-1] + lengths[-1]))
+            sums = [zlib.crc32(ids[s - begin:s - begin + n]) for s, n in zip(starts, lengths, strict=True)]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(held.doc_ids[first:last], pa.int64()), pa.array([before + s for s in starts], pa.int64()),
+            pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()),
+        ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        first = last
+
+
 def read_token_files(files: DataFrame) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files alone.
 
@@ -156,16 +179,10 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        byte_level.cache_clear()  # a worker that wrote files before needs its remembered units no more
         for batch in batches:
             for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = TokenFile(read_file(path))
-                ids = held.tokens(0, held.size).tobytes()
-                starts, lengths = held.starts.tolist(), held.lengths.tolist()
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(held.doc_ids, pa.int64()), pa.array([before + s for s in starts], pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array([zlib.crc32(ids[4 * s:4 * (s + n)]) for s, n in zip(starts, lengths, strict=True)], pa.int64()),
-                ], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield from file_rows(TokenFile(read_file(path)), before)
 
     order = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))

@@ -8,9 +8,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Units remembered in one worker; later ones are encoded each time they occur.
-REMEMBERED = 2_000_000
+#: Units remembered in one worker, about 150 MB; later ones are encoded again in each batch where they occur.
+REMEMBERED = 700_000
 #: New units encoded in one text, and characters of texts that are looked through for them together.
 TOGETHER, LOOKED_THROUGH = 200, 4 << 20
 
@@ -38,11 +39,11 @@ class _Units(dict):
         cut = np.frombuffer(self._encoded(between), "<u4")
         for at in range(0, len(new), TOGETHER):
             part = new[at:at + TOGETHER]
-            ids = np.frombuffer(self._encoded(between.join(self.prefix + u for u in part)), "<u4")
-            ends = np.flatnonzero(ids == cut[0]) if len(cut) == 1 else cut
+            ids = self._encoded(between.join(self.prefix + u for u in part))
+            ends = 4 * np.flatnonzero(np.frombuffer(ids, "<u4") == cut[0]) if len(cut) == 1 else cut
             if len(ends) == len(part) - 1:
-                for unit, a, b in zip(part, [0, *(ends + 1).tolist()], [*ends.tolist(), len(ids)], strict=True):
-                    self[unit] = ids[a:b].tobytes()
+                for unit, a, b in zip(part, [0, *(ends + 4).tolist()], [*ends.tolist(), len(ids)], strict=True):
+                    self[unit] = ids[a:b]
 
     def __missing__(self, unit: str | bytes) -> bytes:
         text = unit.decode() if isinstance(unit, bytes) else unit
@@ -131,17 +132,13 @@ class ByteLevelIds:
     def _joined_many(self, texts: list[str]) -> Iterator[bytes]:
         """``_joined`` of many texts: units are numbered, each different one is looked up once, and the ids of all
         occurrences are gathered together. A unit that begins a line has no space before it and is another one."""
-        units, counts = [], []
-        for text in texts:
-            own = text.replace("\n", " \n ").split(" ")
-            units += own
-            counts.append(len(own))
-        if not units:
+        if not texts:
             return
-        coded = pa.array(units, pa.string()).dictionary_encode()
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n "), " ")
+        coded = split.flatten().dictionary_encode()
         known, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         begins = np.concatenate(([True], code[:-1] == known.index("\n") if "\n" in known else np.zeros(len(code) - 1, bool)))
-        ends = np.cumsum(counts)
+        ends = split.offsets.to_numpy()[1:].astype(np.int64)
         begins[ends[:-1]] = True
         key = 2 * code + begins
         used = np.flatnonzero(np.bincount(key, minlength=2 * len(known)))

@@ -82,6 +82,21 @@ def test_token_files_hold_all_documents(spark, docs, no_docs, monkeypatch):
     assert token_files.read_token_files(token_files.write_token_files(no_docs, BYTE, 2, shared_folder(spark, "t"))).count() == 0
 
 
+def test_files_are_read_in_parts(monkeypatch):
+    """However long a file and its documents are, no more than ``READ_IDS`` ids are held at once."""
+    documents, asked, read = [[7] * n for n in (0, 3, 9, 1, 40, 2, 10, 11, 0, 0)], [], token_files.TokenFile.tokens
+    monkeypatch.setattr(token_files, "READ_IDS", 10)
+    monkeypatch.setattr(token_files.TokenFile, "tokens", lambda held, a, b: asked.append(b - a) or read(held, a, b))
+    flat = np.array([300 * x + k for k, x in enumerate(x for d in documents for x in d)], "<u4")
+    lengths = [len(d) for d in documents]
+    held = token_files.TokenFile(token_files.encode_file(flat, list(range(len(documents))), lengths))
+    got = [r for batch in token_files.file_rows(held, 1000) for r in batch.to_pylist()]
+    starts = np.cumsum([0, *lengths]).tolist()
+    assert [tuple(r.values()) for r in got] == [
+        (k, 1000 + starts[k], n, zlib.crc32(flat[starts[k]:starts[k] + n].tobytes())) for k, n in enumerate(lengths)]
+    assert max(asked) == 10 and len(asked) < 2 * len(documents)
+
+
 @pytest.mark.parametrize(("chunk", "overlap"), [(50, 20), (700, 100), (16_384, 512)])
 def test_stitched_chunks_equal_whole_text(docs, chunk, overlap):
     encoding, _ = rank_encoding(RANKS, PATTERN)
