@@ -375,3 +375,40 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in docs.collect()}
     assert corpus_pipeline.run(spark, sf).count() == len(packed)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_written_tables_leave_no_shuffle_files(tmp_path):
+    """The write of a chain of tables keeps no shuffle files; run in a session of its own, whose local folder is known."""
+    import subprocess
+    import sys
+
+    code = f"""
+import os, time
+from tessera.session import build_session, materialize
+spark = build_session("free", "local[2]", spark__ui__enabled="false", spark__local__dir={str(tmp_path / "local")!r},
+                      spark__checkpoint__dir={str(tmp_path / "shared")!r}, spark__sql__shuffle__partitions="3")
+count = lambda: sum(f.startswith("shuffle_") for _, _, files in os.walk({str(tmp_path / "local")!r}) for f in files)
+many = spark.range(20000).selectExpr("id % 700 as k", "id")
+few = many.groupBy("k").count()
+got = materialize(many.join(few.hint("merge"), "k").distinct(), "joined")
+time.sleep(2)
+left = count()
+assert got.count() == 20000 and few.count() == 700 and materialize(few, "few").count() == 700 and few.count() == 700
+print("LEFT", left)
+"""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=200, env=os.environ | {"PYTHONPATH": root})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("LEFT")[1].split()[0]) == 0
+
+
+def test_slices_of_keys_join_the_same_nodes(spark):
+    from tessera.llm.graphs import bucket_components
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(-40, 40), k % 60, 0) for k in range(150)]
+    postings = frame(spark, rows, "key long, node long, print int")
+    found = [Counter(map(tuple, bucket_components(postings, lambda a, b: a == b, None, n).collect())) for n in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) > 10
