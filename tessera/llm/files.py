@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, opened
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -15,13 +15,6 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def opened(path: str):
-    """File system and path in it of a URI or an absolute path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def new_file(folder: str, name: str):
     """Output stream of a new file of ``folder`` and its path.
 
