@@ -346,3 +346,21 @@ def test_tiles_of_too_many_commas_are_not_read(spark):
     rows = spark.range(100).selectExpr("'l' AS lake", "'t' AS table_name", "id AS row_id", "array('a') AS values", "array('n') AS names")
     counted = packing.tokens_of(packing.row_tokens(rows), spans.selectExpr("lake", "table_name", "row_lo AS row_id"))
     assert sorted(r["row_id"] for r in counted.collect()) == [0, 20]
+
+
+def test_sums_of_hashed_texts_are_those_of_their_vectors(spark):
+    """Up to 17 digits share a byte; more texts take several sums, and very many a lambda. Rows of a lake take no lambda."""
+    from tessera.functions.vectors import hashed_text
+    from tessera.operators.embedding import Embedder, embed_wide_rows
+    from tessera.sources.lake import Lake
+
+    model = hashed_text(11)
+    rows = spark.createDataFrame([(i, f"t{i}" if i % 3 else None) for i in range(40)], "id long, text string")
+    for n in (1, 2, 17, 18, 40, 70):
+        texts = [F.concat(F.coalesce("text", F.lit("nan")), F.lit(str(k))) for k in range(n)]
+        each = F.array(*[model(t) for t in texts])
+        got = rows.select(model.total(texts).alias("sum"), each.alias("each")).collect()
+        assert all(r["sum"] == [sum(v[i] for v in r["each"]) for i in range(11)] for r in got), n
+    lake = Lake("l", {"t": rows.withColumnRenamed("id", "row_id")})
+    plan = embed_wide_rows(lake, Embedder(model=model, dim=11))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "md5" in plan
