@@ -151,3 +151,24 @@ def test_empty_tables_fail_and_counters_are_kept(spark, tmp_path):
     counted = provenance.count_reasons(spark.createDataFrame([("a",), ("a",), (None,)], "skip_reason string"))
     stages.save_statistics(counted, str(tmp_path / "stats"))
     assert {(r["skip_reason"], r["n"]) for r in spark.read.json(str(tmp_path / "stats")).collect()} == {("a", 2), (None, 1)}
+
+
+def test_rows_meet_their_places_before_they_are_cells(spark):
+    """Cells at new places equal cells joined to them one by one, and rows are not unrolled before the join."""
+    from pyspark.sql import functions as F
+    from tessera.operators.tiles import cells_at
+    from tessera.sources.lake import Lake, melt
+
+    a = spark.createDataFrame([(i, f"a{i}", None if i % 3 else 1.5 * i) for i in range(9)], "row_id long, _new_row string, y double")
+    b = spark.createDataFrame([(i, i * i) for i in range(4)], "row_id long, _at_row int")
+    lake = Lake("l", {"a": a, "b": b})
+    rows = spark.createDataFrame([("l", t, i, n - 1 - i) for t, n in (("a", 9), ("b", 4)) for i in range(n)], "lake string, table_name string, row_id long, new_row long")
+    cols = spark.createDataFrame([("l", "a", 0, 1), ("l", "a", 1, 0), ("l", "b", 0, 0)], "lake string, table_name string, col_pos int, new_col long")
+    moved = cells_at(lake, rows, cols)
+    want = melt(lake).join(rows, ["lake", "table_name", "row_id"]).join(cols, ["lake", "table_name", "col_pos"]).select(*moved.columns)
+    assert sorted(map(str, moved.collect())) == sorted(map(str, want.collect())) and want.count() == 22
+    plan = [line.strip(" +-:") for line in moved._jdf.queryExecution().optimizedPlan().toString().split("\n")]
+    assert sum(line.startswith("Generate") for line in plan) == 2
+    for i, line in enumerate(plan):
+        if line.startswith("Generate"):
+            assert next(x for x in plan[i + 1:] if x.startswith(("Join", "Union", "Generate"))).startswith("Join")
